@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.replies import strip_think
 from ..functions.text import sentences
@@ -20,6 +21,12 @@ from .frames import ordered_text
 Client = Callable[[str, str, int, float], tuple[str, int]]
 
 
+def _responses_schema(requests: DataFrame) -> T.StructType:
+    """RESPONSES, with document ids of the type the requests use."""
+    ids = requests.schema["doc_id"].dataType
+    return T.StructType([T.StructField(f.name, ids if f.name == "doc_id" else f.dataType) for f in RESPONSES])
+
+
 def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
                   partitions: int | None = None) -> DataFrame:
     """Requests in, responses out; a failing call is recorded, not raised.
@@ -49,7 +56,7 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
                 completion_tokens=[o[2] for o in out], error=[o[3] for o in out],
             )
 
-    replies = dealt.mapInPandas(calls, RESPONSES)
+    replies = dealt.mapInPandas(calls, _responses_schema(requests))
     return replies.withColumn("text", strip_think(F.col("text")))
 
 
@@ -79,7 +86,7 @@ def run_batches(requests: DataFrame, factory: Callable[[], tuple[Callable[[list[
                 yield batch[["doc_id", "index", "win_idx", "kind"]].assign(
                     text=texts, elapsed=each, completion_tokens=0, error=error)
 
-    return dealt.mapInPandas(calls, RESPONSES)
+    return dealt.mapInPandas(calls, _responses_schema(requests))
 
 
 def merge_translations(responses: DataFrame, sep: str = "\n") -> DataFrame:
