@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import report as rp
 from ..functions.codes import report_url
+from .joins import salted_lookup
 
 # Segments nested in one result row; a longer document continues in the next part.
 SEGMENTS_PER_ROW = 1024
@@ -63,7 +64,7 @@ def result_json(results: DataFrame, nested: DataFrame) -> DataFrame:
     """
     fields = ["language", "total_pages", "segments", "global_summary", "keywords",
               "wordcloud_image_url", "report_pdf_url"]
-    joined = nested.join(results, "doc_id")
+    joined = salted_lookup(nested, results, "doc_id", F.col("part"), "inner")
     payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     return joined.select("doc_id", "part", payload.alias("result"))
 

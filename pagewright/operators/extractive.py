@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, sentences, words
+from .joins import salted_lookup
 
 
 def extractive_summary(texts: DataFrame, keywords: DataFrame, keep: int = 3) -> DataFrame:
@@ -21,7 +22,7 @@ def extractive_summary(texts: DataFrame, keywords: DataFrame, keep: int = 3) ->
     weights = keywords.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights")
     )
-    rows = texts.join(weights, "doc_id", "left")
+    rows = salted_lookup(texts, weights, "doc_id", F.col("index"))
     known = F.coalesce("weights", F.create_map().cast("map<string,double>"))
 
     def score(sentence: Column, at: Column) -> Column:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 MAX_HOT = 1000
 
 
-def hot_keys(counts: DataFrame, n: str, max_hot: int = MAX_HOT) -> DataFrame:
+def hot_keys(counts: DataFrame, n: str, total: DataFrame, max_hot: int = MAX_HOT) -> DataFrame:
     """Rows of ``counts`` whose ``n`` is more than 1/max_hot of the total.
 
-    Fewer than ``max_hot`` keys can pass, whatever the data, so the result is
-    always safe to broadcast, and every key left out is small.
+    ``total`` is the sum of all ``n`` as a one-row table.  Fewer than ``max_hot``
+    keys can pass, whatever the data, so the result is always safe to broadcast,
+    and every key left out is small.
     """
-    total = counts.agg(F.sum(n).alias("total"))
     return counts.filter(F.col(n) * max_hot > total.scalar())
 
 
@@ -26,8 +26,12 @@ def salted_lookup(facts: DataFrame, dim: DataFrame, key: str, spread: Column, ho
     varies within the key) and the matching rows of ``dim`` are repeated once
     per bucket.  Both sides learn the hot keys from a broadcast of fewer than
     ``max_hot`` rows.  Works for inner, left, left_semi and left_anti.
+
+    ``facts`` is read twice, the first time for ``key`` alone: keys that are dear
+    to compute should come from a stored table.
     """
-    hot = hot_keys(facts.groupBy(key).agg(F.count("*").alias("_n")), "_n", max_hot)
+    counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = hot_keys(counts, "_n", facts.agg(F.count("*").alias("total")), max_hot)
     hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     bucket = F.pmod(F.xxhash64(spread), F.lit(fanout)).cast("int")
     left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(0))

@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..session import stage
 from .joins import hot_keys, salted_lookup
 
 MAX_BROADCAST_TERMS = 100_000
@@ -38,12 +40,20 @@ def ratio_4_digits(part: Column, whole: Column) -> Column:
     return F.when(tie, (below + F.when(up, 1).otherwise(0)) / 10000.0).otherwise(F.bround(x, 4))
 
 
+def _position(texts: DataFrame) -> Column:
+    """(ord, pos) as one sortable number, so that counting stays a hash aggregate.
+
+    A struct would force sorting.  32-bit ordinals fit a long, wider ones a decimal.
+    """
+    narrow = texts.schema["ord"].dataType in (T.IntegerType(), T.ShortType(), T.ByteType())
+    scale = F.col("ord").cast("bigint" if narrow else "decimal(20,0)") * F.lit(1 << 31)
+    return scale + F.col("pos")
+
+
 def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.words) -> DataFrame:
     """(doc_id, word, n, first): count and first position of every term."""
     found = texts.select("doc_id", "ord", F.posexplode(terms(F.col("text"))).alias("pos", "word"))
-    return found.groupBy("doc_id", "word").agg(
-        F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first")
-    )
+    return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min(_position(texts)).alias("first"))
 
 
 def _top(df: DataFrame, order: list[Column], top_k: int) -> DataFrame:
@@ -67,10 +77,13 @@ def with_idf(counts: DataFrame) -> DataFrame:
     1/MAX_BROADCAST_TERMS of all rows are fewer than that and are broadcast; the
     other terms are each a small group and are joined by shuffle, while rows
     already served are spread by document.
+
+    ``counts`` is read several times and should be a stored table.
     """
     frequency = counts.groupBy("word").agg(F.count("*").alias("df"))
     documents = counts.agg(F.count_distinct("doc_id").alias("N"))
-    hot = hot_keys(frequency, "df", MAX_BROADCAST_TERMS).withColumnRenamed("df", "hot_df")
+    rows = counts.agg(F.count("*").alias("total"))
+    hot = hot_keys(frequency, "df", rows, MAX_BROADCAST_TERMS).withColumnRenamed("df", "hot_df")
     seen = counts.join(F.broadcast(hot), "word", "left")
     spread = F.concat_ws("\x00", "word", F.col("doc_id").cast("string"))
     seen = seen.withColumn("term", F.when(F.col("hot_df").isNull(), F.col("word")).otherwise(spread))
@@ -88,7 +101,7 @@ def tfidf_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
     Within a document the term total is constant, so it is not needed for the
     ranking and only joined to the top rows.
     """
-    counts = term_counts(texts, terms)
+    counts = stage(term_counts(texts, terms).drop("first"), "terms")
     scored = with_idf(counts).withColumn("score", F.round(F.col("n") * F.col("idf"), 8))
     top = _top(scored, [F.desc("score"), F.asc("word")], top_k)
     totals = counts.groupBy("doc_id").agg(F.sum("n").alias("total"))

@@ -12,6 +12,7 @@ from .joins import hot_keys
 
 GRAM = 3
 MAX_BROADCAST_GRAMS = 100_000
+MAX_LANGUAGES = 200
 
 
 def document_scripts(texts: DataFrame) -> DataFrame:
@@ -44,64 +45,53 @@ def train_profile(labelled: DataFrame) -> DataFrame:
     return grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
+def languages_of(profile: DataFrame) -> list[str]:
+    """The languages of a stored profile: a handful of names."""
+    names = profile.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"a profile may hold at most {MAX_LANGUAGES} languages")
+    return sorted(r["lang"] for r in names)
+
+
 def classify(texts: DataFrame, profile: DataFrame) -> DataFrame:
     """(doc_id, language, score) by the add-one smoothed 3-gram model.
 
     score(lang) = sum over grams of ln(n+1)  -  grams * ln(total(lang) + V)
 
-    A gram the language never showed adds ln(1) = 0, so only known pairs meet in
-    the join.  Grams that make up more than 1/MAX_BROADCAST_GRAMS of the profile
-    are broadcast and their scores summed within the map task; the rare rest is
-    counted per document first and joined by shuffle.
+    A gram the language never showed adds ln(1) = 0.  Every language is a column,
+    so one pass over the grams sums them all.  Grams that make up more than
+    1/MAX_BROADCAST_GRAMS of the profile are broadcast and summed within the map
+    task; the rare rest is counted per document first and joined by shuffle.
+
+    ``profile`` is read several times and should be a stored table.
     """
-    totals = profile.groupBy("lang").agg(F.sum("n").alias("n"))
-    distinct = profile.agg(F.count_distinct("gram").alias("V"))
-    # One small value: an entry per language.
-    norms = totals.agg(F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("norms"))
-
-    per_gram = profile.groupBy("gram").agg(
-        F.sum("n").alias("n"),
-        F.collect_list(F.struct("lang", F.ln(F.col("n") + 1).alias("w"))).alias("weights"),
-    )
-    hot = hot_keys(per_gram, "n", MAX_BROADCAST_GRAMS).select("gram", F.col("weights").alias("hot"))
+    langs = languages_of(profile)
+    names = [f"w{i}" for i in range(len(langs))]
+    seen = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in langs]
+    weights = profile.groupBy("gram").agg(F.sum("n").alias("n"), *[F.ln(n + 1).alias(w) for n, w in zip(seen, names)])
+    totals = profile.agg(F.count_distinct("gram").alias("V"), F.array(*seen).alias("totals"))
+    hot = hot_keys(weights, "n", profile.agg(F.sum("n").alias("total")), MAX_BROADCAST_GRAMS).withColumn("hot", F.lit(True)).drop("n")
 
     grams = texts.select("doc_id", F.explode_outer(tx.grams(F.col("text"), GRAM)).alias("gram"))
-    served = grams.join(F.broadcast(hot), "gram", "left")
-    none = F.array().cast("array<struct<lang:string,w:double>>")
-    blank = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("w")))
-    rest = F.when(F.col("hot").isNull(), F.col("gram"))
-    pairs = F.when(F.col("hot").isNull(), blank).otherwise(F.coalesce("hot", none))
-    # The count of grams rides on the first pair of each gram.
-    spread = served.select("doc_id", rest.alias("gram"), F.posexplode(pairs).alias("nth", "pair"))
-    known_gram = F.col("hot_gram") | F.col("gram").isNotNull()
-    spread = spread.withColumn("hot_gram", F.col("pair.lang").isNotNull())
-    part = spread.groupBy("doc_id", F.col("pair.lang").alias("lang"), "gram").agg(
-        F.sum("pair.w").alias("w"),
-        F.sum(F.when((F.col("nth") == 0) & known_gram, 1).otherwise(0)).alias("c"),
-    )
-    cold_rows = part.filter("gram is not null").join(
-        per_gram.select("gram", F.explode("weights").alias("pair")), "gram"
-    )
-    scores = part.select("doc_id", "lang", "w", "c").unionByName(
-        cold_rows.select("doc_id", F.col("pair.lang").alias("lang"),
-                         (F.col("pair.w") * F.col("c")).alias("w"), F.lit(0).cast("bigint").alias("c"))
-    )
-    by_lang = scores.groupBy("doc_id", "lang").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
-    entry = F.when(F.col("lang").isNotNull(), F.struct("lang", "w"))
-    docs = by_lang.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("found"), F.sum("c").alias("c")
-    )
-
-    vocabulary, languages = distinct.scalar(), norms.scalar()
-
-    def rated(l: Column) -> Column:
-        seen = F.coalesce(F.try_element_at(F.col("found"), l["lang"]), F.lit(0.0))
-        score = F.round(seen - F.col("c") * F.ln(l["n"] + F.col("V")), 6)
-        return F.struct((-score).alias("cost"), l["lang"].alias("lang"))
-
-    rates = docs.withColumn("V", vocabulary).withColumn("norms", languages)
-    best = F.array_min(F.transform("norms", rated))
-    return rates.withColumn("best", best).select(
+    rare = F.when(F.col("hot").isNull(), F.col("gram")).alias("rare")
+    part = grams.join(F.broadcast(hot), "gram", "left").groupBy("doc_id", rare).agg(
+        F.count("gram").alias("c"), *[F.sum(F.coalesce(F.col(w), F.lit(0.0))).alias(w) for w in names])
+    known = part.filter("rare is not null").select("doc_id", F.col("rare").alias("gram"), "c").join(
+        weights.drop("n"), "gram")
+    rest = known.select("doc_id", F.lit(0).cast("bigint").alias("c"), *[(F.col("c") * F.col(w)).alias(w) for w in names])
+    sums = part.select("doc_id", "c", *names).unionByName(rest).groupBy("doc_id").agg(
+        F.sum("c").alias("c"), *[F.sum(w).alias(w) for w in names])
+
+    model = totals.select(F.struct("V", "totals")).scalar()
+    rates = [
+        F.struct(
+            (-F.round(F.col(w) - F.col("c") * F.ln(F.col("m.totals")[i] + F.col("m.V")), 6)).alias("cost"),
+            F.lit(lang).alias("lang"),
+        )
+        for i, (w, lang) in enumerate(zip(names, langs))
+    ]
+    best = sums.withColumn("m", model).withColumn("best", F.array_min(F.array(*rates)))
+    return best.select(
         "doc_id",
         F.when(F.col("c") > 0, F.col("best.lang")).alias("language"),
         F.when(F.col("c") > 0, -F.col("best.cost")).alias("score"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 
 STEPS_PER_BLOCK = 4096
+_EVENT = "struct<type:string,progress:int,message:string>"
 
 
 def segment_progress(done: Column, total: Column) -> Column:
@@ -30,52 +31,59 @@ def progress_events(docs: DataFrame) -> DataFrame:
     do_summary, do_wordcloud, do_report, and for failed documents ``error`` with
     ``failed_after`` (finished segments, -1 = failed while reading).
 
-    Events per segment follow from the counts alone, no text is read.  They are
-    generated in blocks that are spread over the cluster before the second
-    expansion, so one document may have any number of segments.
+    Events per segment follow from the counts alone, no text is read.  A document
+    first becomes spans: single events, and blocks of up to STEPS_PER_BLOCK
+    segment events.  The spans are spread over the cluster before they are
+    expanded, so one document may have any number of segments.
     """
-    n = F.col("n_chunks")
+    n = F.col("n_chunks").cast("bigint")
     failed = F.col("error").isNotNull()
     read = ~failed | (F.col("failed_after") >= 0)
     empty = read & (n == 0)
     skip = read & (n > 0) & F.col("skip_translation")
     going_on = ~failed & (n > 0)
 
-    head = F.array_compact(F.array(
+    head = [
         _event("progress", fv.STEP_EXTRACT, F.lit(fv.MSG_EXTRACT)),
         _when(read, _event("progress", fv.STEP_EXTRACTED, F.format_string(fv.MSG_EXTRACTED, "total_pages", n))),
         _when(empty, _event("error", fv.STEP_END, F.lit(fv.MSG_NO_TEXT))),
         _when(skip, _event("progress", fv.STEP_SKIP_TRANSLATION, F.format_string(fv.MSG_SKIP_TRANSLATION, "language"))),
-    ))
-    tail = F.array_compact(F.array(
+    ]
+    tail = [
         _when(going_on & F.col("do_summary"), _event("progress", fv.STEP_OVERVIEW, F.lit(fv.MSG_OVERVIEW))),
         _when(going_on & F.col("do_wordcloud"), _event("progress", fv.STEP_KEYWORDS, F.lit(fv.MSG_KEYWORDS))),
         _when(going_on & F.col("do_report"), _event("progress", fv.STEP_REPORT, F.lit(fv.MSG_REPORT))),
         _when(going_on, _event("result", fv.STEP_END, F.lit(fv.MSG_DONE))),
         _when(failed & ~empty, _event("error", fv.STEP_END, F.format_string(fv.MSG_FAILED, "error"))),
-    ))
+    ]
     finished = F.when(failed, F.greatest(F.least(n, F.col("failed_after")), F.lit(0))).otherwise(n)
-    plan = docs.select("doc_id", n.alias("n"), finished.cast("bigint").alias("steps"), head.alias("head"), tail.alias("tail"))
-    fixed = ["doc_id", F.col("seq").cast("bigint").alias("seq"), "e.type", "e.progress", "e.message"]
+    plan = docs.select("doc_id", n.alias("n"), finished.cast("bigint").alias("steps"),
+                       F.array_compact(F.array(*head)).alias("head"), F.array_compact(F.array(*tail)).alias("tail"))
 
-    heads = plan.select("doc_id", F.posexplode("head").alias("seq", "e")).select(*fixed)
-    tails = plan.select("doc_id", (F.size("head") + F.col("steps")).alias("start"), F.posexplode("tail").alias("at", "e"))
-    tails = tails.withColumn("seq", F.col("start") + F.col("at")).select(*fixed)
+    def span(seq: Column, size: Column, event: Column) -> Column:
+        return F.struct(seq.cast("bigint").alias("seq"), size.cast("bigint").alias("size"), event.alias("e"))
 
+    def block(b: Column) -> Column:
+        begin = b * STEPS_PER_BLOCK
+        size = F.least(F.col("steps") - begin, F.lit(STEPS_PER_BLOCK).cast("bigint"))
+        return span(F.size("head") + begin, size, F.lit(None).cast(_EVENT))
+
+    no_blocks = F.array().cast("array<bigint>")
     last_block = F.floor((F.col("steps") - 1) / STEPS_PER_BLOCK)
-    blocks = plan.filter("steps > 0").select(
-        "doc_id", "n", "steps", F.size("head").alias("start"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("block"),
-    ).repartition("doc_id", "block")
-    begin = F.col("block") * STEPS_PER_BLOCK
-    end = F.least(begin + STEPS_PER_BLOCK, F.col("steps")) - 1
-    steps = blocks.select("doc_id", "n", "start", F.explode(F.sequence(begin, end)).alias("i"))
-    steps = steps.select(
-        "doc_id", (F.col("start") + F.col("i")).alias("seq"),
-        _event("progress", segment_progress(F.col("i") + 1, F.col("n")),
-               F.format_string(fv.MSG_SEGMENT, F.col("i") + 1, "n")).alias("e"),
-    ).select(*fixed)
-    return heads.unionByName(steps).unionByName(tails)
+    blocks = F.when(F.col("steps") > 0, F.sequence(F.lit(0).cast("bigint"), last_block)).otherwise(no_blocks)
+    one = F.lit(1)
+    spans = plan.select("doc_id", "n", F.size("head").alias("start"), F.explode(F.concat(
+        F.transform("head", lambda e, i: span(i, one, e)),
+        F.transform(blocks, block),
+        F.transform("tail", lambda e, i: span(F.size("head") + F.col("steps") + i, one, e)),
+    )).alias("s"))
+    spread = spans.repartition("doc_id", F.col("s.seq"))
+    rows = spread.select("doc_id", "n", "s.e", (F.col("s.seq") - F.col("start")).alias("begin"), "s.seq",
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.size") - 1)).alias("i"))
+    done = F.col("begin") + F.col("i") + 1
+    step = _event("progress", segment_progress(done, F.col("n")), F.format_string(fv.MSG_SEGMENT, done, "n"))
+    return rows.select("doc_id", (F.col("seq") + F.col("i")).alias("seq"),
+                       F.when(F.col("e").isNull(), step).otherwise(F.col("e")).alias("e")).select("doc_id", "seq", "e.*")
 
 
 def cache_hit_events(hits: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..config import Config
 from ..functions import codes, replies
 from ..functions import text as tx
 from ..operators import assemble as asm
@@ -16,6 +15,7 @@ from ..operators import pages as pg
 from ..operators import progress as pr
 from ..operators import requests as rq
 from ..operators.packing import chunk_pages as pack
+from ..session import stage
 from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES, html_text
 from ..sources.uploads import extract_pages, first_copies, text_pages as read_text_pages, validate, with_digest
 from . import sql as q
@@ -269,8 +269,8 @@ result AS (SELECT p.doc_id, total_pages, n_chunks, chunk_chars, language, coales
 def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Results and chunks of the pages grouped by source."""
     raw = headed_pages(spark, sf_dir)
-    kept = pg.meaningful_pages(raw)
-    chunks = pack(kept, fv.CHUNK_CHARS)
+    kept = stage(pg.meaningful_pages(raw), "kept")
+    chunks = stage(pack(kept, fv.CHUNK_CHARS), "chunks")
     languages = detected_languages(chunks, documents(spark, sf_dir))
     texts = kept.select("doc_id", F.col("page_no").alias("ord"), "text")
     words = kw.keyword_arrays(kw.frequency_keywords(texts))
@@ -356,7 +356,7 @@ ev AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, i) - 1 AS seq, type, progress, message FROM ev""")
 def progress_events(spark, sf_dir):
     raw = headed_pages(spark, sf_dir)
-    marked = pg.classify_pages(raw)
+    marked = stage(pg.classify_pages(raw).select("doc_id", "page_no", "meaningful", "clean"), "marked")
     kept = marked.filter("meaningful and clean != ''").select("doc_id", "page_no", F.col("clean").alias("text"))
     counts = pg.chunk_counts(pack(kept, fv.CHUNK_CHARS))
     by_source = pg.page_counts(raw).join(counts, "doc_id", "left").select(

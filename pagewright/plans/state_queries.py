@@ -9,7 +9,7 @@ from ..functions import codes
 from ..operators import metrics
 from ..operators import progress as pr
 from ..operators import state as st
-from ..session import scratch_dir
+from ..session import scratch_dir, stage
 from ..sinks.tables import write_events
 from ..sources.events import parse_events, read_events
 from ..streaming import events as se
@@ -51,7 +51,7 @@ l AS (SELECT doc_id, key, source = 'src3' AS refresh, CASE WHEN source <> 'src3'
 
 
 def _looked_up(spark, sf_dir) -> DataFrame:
-    keyed = _keyed(spark, sf_dir)
+    keyed = stage(_keyed(spark, sf_dir), "keyed")
     seen = keyed.filter("lang in ('en', 'de')").select("key", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("result"),
                                                       F.col("doc_id").cast("double").alias("created_at"))
     requests = keyed.select("doc_id", "key", (F.col("source") == "src3").alias("refresh"))

@@ -15,6 +15,7 @@ from ..operators import pages as pg
 from ..operators.extractive import extractive_summary as extract_sentences
 from ..operators.packing import chunk_pages as pack
 from ..operators.requests import translation_budget, translation_windows as split_windows
+from ..session import stage
 from . import sql as q
 from .registry import query, table
 
@@ -145,7 +146,7 @@ def script_language(spark, sf_dir):
 @query(f"WITH {q.profile_scores('documents', 'documents')} SELECT doc_id, language, round(score, 3) AS score FROM best")
 def language_profile(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    profile = lg.train_profile(docs.select("lang", "text"))
+    profile = stage(lg.train_profile(docs.select("lang", "text")), "profile")
     return lg.classify(docs.select("doc_id", "text"), profile).withColumn("score", F.round("score", 3))
 
 
@@ -160,7 +161,7 @@ detected AS (SELECT s.doc_id, coalesce({q.script('s.d', 's.han', 's.kana', 's.ha
 
 def detected_languages(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     scripts = lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text")))
-    profile = lg.train_profile(docs.select("lang", "text"))
+    profile = stage(lg.train_profile(docs.select("lang", "text")), "profile")
     return lg.detect_language(scripts, lg.classify(lg.document_heads(chunks), profile))
 
 
@@ -173,7 +174,7 @@ def detect_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     mixed = F.when(F.col("source").isin("src1", "src2", "src3"), foreign()).otherwise(F.col("text"))
     pages = docs.select(F.concat_ws("-", "source", "lang").alias("doc_id"), F.col("doc_id").alias("page_no"), mixed.alias("text"))
-    return detected_languages(pack(pages, fv.CHUNK_CHARS), docs)
+    return detected_languages(stage(pack(pages, fv.CHUNK_CHARS), "chunks"), docs)
 
 
 def _case(table_: dict[str, str], key: str, default: str) -> str:
