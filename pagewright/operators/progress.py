@@ -29,7 +29,8 @@ def progress_events(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, total_pages, n_chunks, language, skip_translation,
     do_summary, do_wordcloud, do_report, and for failed documents ``error`` with
-    ``failed_after`` (finished segments, -1 = failed while reading).
+    ``failed_after``: finished segments, -1 = failed while reading; with all
+    segments finished it was the overview that failed.
 
     Events per segment follow from the counts alone, no text is read.  A document
     first becomes spans: single events, and blocks of up to STEPS_PER_BLOCK
@@ -42,6 +43,7 @@ def progress_events(docs: DataFrame) -> DataFrame:
     empty = read & (n == 0)
     skip = read & (n > 0) & F.col("skip_translation")
     going_on = ~failed & (n > 0)
+    overview_failed = failed & (n > 0) & (F.col("failed_after") >= n)
 
     head = [
         _event("progress", fv.STEP_EXTRACT, F.lit(fv.MSG_EXTRACT)),
@@ -50,7 +52,7 @@ def progress_events(docs: DataFrame) -> DataFrame:
         _when(skip, _event("progress", fv.STEP_SKIP_TRANSLATION, F.format_string(fv.MSG_SKIP_TRANSLATION, "language"))),
     ]
     tail = [
-        _when(going_on & F.col("do_summary"), _event("progress", fv.STEP_OVERVIEW, F.lit(fv.MSG_OVERVIEW))),
+        _when((going_on | overview_failed) & F.col("do_summary"), _event("progress", fv.STEP_OVERVIEW, F.lit(fv.MSG_OVERVIEW))),
         _when(going_on & F.col("do_wordcloud"), _event("progress", fv.STEP_KEYWORDS, F.lit(fv.MSG_KEYWORDS))),
         _when(going_on & F.col("do_report"), _event("progress", fv.STEP_REPORT, F.lit(fv.MSG_REPORT))),
         _when(going_on, _event("result", fv.STEP_END, F.lit(fv.MSG_DONE))),

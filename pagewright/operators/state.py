@@ -98,6 +98,11 @@ def history_delete(history: DataFrame, tombstones: DataFrame) -> DataFrame:
     return history.join(tombstones.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def delete_reports(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Report rows without those of deleted documents, which may be very long ones."""
+    return salted_lookup(rows, tombstones.select("doc_id").distinct(), "doc_id", F.col("index"), "left_anti")
+
+
 def delete_outcome(history: DataFrame, tombstones: DataFrame) -> DataFrame:
     """(doc_id, deleted): whether each requested delete removes a row."""
     known = history.select("doc_id", F.lit(True).alias("known"))

@@ -42,6 +42,20 @@ class Analysis:
     events: DataFrame
 
 
+def _failures(responses: DataFrame) -> DataFrame:
+    """The first failed call of each document."""
+    first = F.struct("index", F.col("kind") != "summary", "win_idx")
+    return responses.filter("error is not null").groupBy("doc_id").agg(
+        F.min_by("error", first).alias("error"), F.min("index").alias("failed_after"))
+
+
+def _overview_failures(said: DataFrame, responses: DataFrame) -> DataFrame:
+    """Documents whose overview failed, after all of their segments."""
+    failed = said.groupBy("doc_id").agg(F.min_by("error", "index").alias("error")).filter("error is not null")
+    segments = responses.filter("kind = 'summary'").groupBy("doc_id").agg(F.count("*").alias("failed_after"))
+    return failed.join(segments, "doc_id")
+
+
 def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.Client],
             features: str, ocr_pages: DataFrame | None = None, profile: DataFrame | None = None,
             fix_script: Callable | None = None, tasks: int | None = None) -> Analysis:
@@ -83,13 +97,17 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
         responses = stage(replied.withColumn("text", fixed(F.col("text"))), "responses")
 
     overviews, summaries, translations = None, None, None
+    failures = _failures(responses) if asked else None
     if do_summary:
         summaries = responses.filter("kind = 'summary'").select("doc_id", "index", "text")
-        asked_overviews = rq.overview_requests(summaries.filter("text is not null"))
+        # A failed document ends there: it is asked for no overview and has no result.
+        good = salted_lookup(summaries, failures.select("doc_id"), "doc_id", F.col("index"), "left_anti")
+        asked_overviews = rq.overview_requests(good)
         said = stage(inf.run_inference(asked_overviews, client_factory, tasks), "overviews")
         # A very long document was asked in parts; the first answers for it.
         overviews = said.filter("index = 0").select(
             "doc_id", replies.parse_overview(fixed(F.col("text"))).alias("global_summary"))
+        failures = failures.unionByName(_overview_failures(said, responses))
     if do_translate:
         translations = inf.merge_translations(responses).select("doc_id", "index", "text")
 
@@ -100,12 +118,15 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
         keywords = stage(kw.extract_keywords(texts, languages), "keywords")
         arrays, cloud = kw.keyword_arrays(keywords), kw.wordcloud_terms(keywords)
     chunk_counts = stage(pg.chunk_counts(chunks), "chunk-counts")
-    results = stage(asm.document_results(counts, chunk_counts, languages, arrays, overviews, reports=do_report), "results")
+    results = asm.document_results(counts, chunk_counts, languages, arrays, overviews, reports=do_report)
+    if failures is not None:
+        failures = stage(failures, "failures")
+        results = results.join(failures.select("doc_id"), "doc_id", "left_anti")
+        finished = salted_lookup(segments, failures.select("doc_id"), "doc_id", F.col("index"), "left_anti")
+    else:
+        finished = segments
+    results = stage(results, "results")
 
-    failures = None
-    if responses is not None:
-        failures = responses.filter("error is not null").groupBy("doc_id").agg(
-            F.min_by("error", "index").alias("error"), F.min("index").alias("failed_after"))
     state = counts.join(chunk_counts, "doc_id", "left").join(languages, "doc_id", "left")
     if failures is None:
         state = state.withColumns({"error": F.lit(None).cast("string"), "failed_after": F.lit(None).cast("bigint")})
@@ -118,6 +139,6 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
     })
     return Analysis(
         chunks=chunks, languages=languages, responses=responses, segments=segments, keywords=keywords, wordcloud=cloud,
-        results=results, payloads=asm.result_json(results, asm.nest_segments(segments)),
-        report=asm.report_rows(results, segments) if do_report else None, events=pr.progress_events(state),
+        results=results, payloads=asm.result_json(results, stage(asm.nest_segments(finished), "nested")),
+        report=asm.report_rows(results, finished) if do_report else None, events=pr.progress_events(state),
     )

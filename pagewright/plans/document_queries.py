@@ -345,7 +345,7 @@ ev AS (
     UNION ALL SELECT doc_id, 2, 0, 'progress', 16, '原文已是目標語言（zh），略過翻譯' FROM d WHERE n_chunks > 0 AND skip
     UNION ALL SELECT doc_id, 3, k, 'progress', 15 + floor(75 * (k + 1) / n_chunks)::INTEGER, '完成第 ' || (k + 1) || '/' || n_chunks || ' 段'
         FROM (SELECT doc_id, n_chunks, unnest(range(0, CASE WHEN error IS NULL THEN n_chunks ELSE least(n_chunks, after) END)) AS k FROM d)
-    UNION ALL SELECT doc_id, 4, 0, 'progress', 90, '{fv.MSG_OVERVIEW}' FROM d WHERE n_chunks > 0 AND error IS NULL AND summ
+    UNION ALL SELECT doc_id, 4, 0, 'progress', 90, '{fv.MSG_OVERVIEW}' FROM d WHERE n_chunks > 0 AND (error IS NULL OR after >= n_chunks) AND summ
     UNION ALL SELECT doc_id, 5, 0, 'progress', 93, '{fv.MSG_KEYWORDS}' FROM d WHERE n_chunks > 0 AND error IS NULL AND cloud
     UNION ALL SELECT doc_id, 6, 0, 'progress', 97, '{fv.MSG_REPORT}' FROM d WHERE n_chunks > 0 AND error IS NULL AND rep
     UNION ALL SELECT doc_id, 7, 0, 'result', 100, '{fv.MSG_DONE}' FROM d WHERE n_chunks > 0 AND error IS NULL
