@@ -14,7 +14,11 @@ Extractor = Callable[[bytes], list[str]]
 
 
 def scan_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(filename, length, content) of every file below ``path``."""
+    """(filename, length, content) of every file below ``path``.
+
+    Spark's file scan passes over files of no bytes; uploads that come as table
+    rows keep theirs, and ``validate`` rejects them.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     return with_filename(files.load(path))
 
