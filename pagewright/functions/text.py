@@ -116,10 +116,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(strip(text), _SENTENCE_GAP), lambda s: s != "")
 
 
+def raw_words(text: Column) -> Column:
+    """ASCII words as written, stop words included, in order of occurrence."""
+    return F.regexp_extract_all(text, F.lit(fv.WORD), F.lit(0))
+
+
+def is_stop_word(word: Column) -> Column:
+    return word.isin(fv.STOP_WORDS)
+
+
 def words(text: Column) -> Column:
-    """Lower-cased ASCII words without the stop words, in order of occurrence."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(fv.WORD), F.lit(0)), F.lower)
-    return F.filter(found, lambda w: ~w.isin(fv.STOP_WORDS))
+    """Lower-cased ASCII words without the stop words."""
+    return F.filter(F.transform(raw_words(text), F.lower), lambda w: ~is_stop_word(w))
 
 
 def grams(text: Column, size: int) -> Column:

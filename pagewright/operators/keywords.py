@@ -50,9 +50,13 @@ def _position(texts: DataFrame) -> Column:
     return scale + F.col("pos")
 
 
-def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.words) -> DataFrame:
-    """(doc_id, word, n, first): count and first position of every term."""
-    found = texts.select("doc_id", "ord", F.posexplode(terms(F.col("text"))).alias("pos", "word"))
+def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
+    """(doc_id, word, n, first): count and first position of every term.
+
+    Case and stop words are seen to after the terms are rows, in compiled code.
+    """
+    found = texts.select("doc_id", "ord", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    found = found.withColumn("word", F.lower("term")).filter(~tx.is_stop_word(F.col("word")))
     return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min(_position(texts)).alias("first"))
 
 
@@ -62,12 +66,17 @@ def _top(df: DataFrame, order: list[Column], top_k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
 
 
+def most_frequent(counts: DataFrame, top_k: int) -> DataFrame:
+    """Top terms by count; equal counts keep the order of first occurrence."""
+    top = _top(counts, [F.desc("n"), F.asc("first")], top_k)
+    top = top.withColumn("most", F.max("n").over(Window.partitionBy("doc_id")))  # at most top_k rows each
+    return top.select("doc_id", "rank", "word", ratio_4_digits(F.col("n"), F.col("most")).alias("weight"))
+
+
 def frequency_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
-                       terms: Callable[[Column], Column] = tx.words) -> DataFrame:
-    """(doc_id, rank, word, weight); equal counts keep the order of first occurrence."""
-    top = _top(term_counts(texts, terms), [F.desc("n"), F.asc("first")], top_k)
-    most = F.max("n").over(Window.partitionBy("doc_id"))  # at most top_k rows each
-    return top.select("doc_id", "rank", "word", ratio_4_digits(F.col("n"), most).alias("weight"))
+                       terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
+    """(doc_id, rank, word, weight) by word frequency."""
+    return most_frequent(term_counts(texts, terms), top_k)
 
 
 def with_idf(counts: DataFrame) -> DataFrame:
@@ -94,14 +103,12 @@ def with_idf(counts: DataFrame) -> DataFrame:
     return joined.withColumn("idf", idf).drop("term", "hot_df", "cold_df")
 
 
-def tfidf_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
-                   terms: Callable[[Column], Column] = tx.words) -> DataFrame:
-    """(doc_id, rank, word, weight) by term frequency times corpus idf.
+def most_specific(counts: DataFrame, top_k: int) -> DataFrame:
+    """Top terms by term frequency times corpus idf; ``counts`` is a stored table.
 
     Within a document the term total is constant, so it is not needed for the
     ranking and only joined to the top rows.
     """
-    counts = stage(term_counts(texts, terms).drop("first"), "terms")
     scored = with_idf(counts).withColumn("score", F.round(F.col("n") * F.col("idf"), 8))
     top = _top(scored, [F.desc("score"), F.asc("word")], top_k)
     totals = counts.groupBy("doc_id").agg(F.sum("n").alias("total"))
@@ -109,17 +116,24 @@ def tfidf_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
     return top.join(totals, "doc_id").select("doc_id", "rank", "word", weight.alias("weight"))
 
 
+def tfidf_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
+                   terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
+    """(doc_id, rank, word, weight) by TF-IDF."""
+    return most_specific(stage(term_counts(texts, terms).drop("first"), "terms"), top_k)
+
+
 def extract_keywords(texts: DataFrame, languages: DataFrame, top_k: int = fv.TOP_KEYWORDS) -> DataFrame:
-    """Chinese documents by TF-IDF of Han pairs and words, all others by word frequency.
+    """Chinese documents by TF-IDF of words and Han pairs, all others by word frequency.
 
-    ``languages`` is (doc_id, language).
+    ``languages`` is (doc_id, language).  The texts are read once and never
+    shuffled: both kinds of terms are counted for every document, and languages
+    meet the counts, or for the common case only the few top rows of a document.
     """
+    counts = stage(term_counts(texts, lambda t: F.concat(tx.raw_words(t), tx.han_bigrams(t))), "terms")
     zh = languages.filter("language = 'zh'").select("doc_id")
-    chinese = salted_lookup(texts, zh, "doc_id", F.col("ord"), "left_semi")
-    other = salted_lookup(texts, zh, "doc_id", F.col("ord"), "left_anti")
-    return frequency_keywords(other, top_k).unionByName(
-        tfidf_keywords(chinese, top_k, lambda t: F.concat(tx.words(t), tx.han_bigrams(t)))
-    )
+    plain = most_frequent(counts.filter(F.ascii("word") < 128), top_k).join(zh, "doc_id", "left_anti")
+    chinese = stage(salted_lookup(counts.drop("first"), zh, "doc_id", F.col("word"), "left_semi"), "zh-terms")
+    return plain.unionByName(most_specific(chinese, top_k))
 
 
 def keyword_arrays(keywords: DataFrame) -> DataFrame:

@@ -14,16 +14,18 @@ def merge_ocr(pages: DataFrame, ocr_pages: DataFrame | None, min_chars: int = fv
     """Take the OCR text of a nearly empty page when it is strictly longer.
 
     ``ocr_pages`` is (doc_id, page_no, ocr_text), one row per page.  Only pages
-    under ``min_chars`` can use it, so longer pages keep out of the match.
+    under ``min_chars`` take part in the join; the bulk of the text stays put.
     """
     stripped = pages.withColumn("text", tx.strip(F.col("text")))
     if ocr_pages is None:
         return stripped
     keys = ["doc_id", "page_no"]
-    joined = stripped.join(ocr_pages.select(*keys, F.coalesce("ocr_text", F.lit("")).alias("_ocr")), keys, "left")
     size = F.length("text")
-    better = (size < min_chars) & (F.length("_ocr") > size)
-    return joined.withColumn("text", F.when(better, F.col("_ocr")).otherwise(F.col("text"))).drop("_ocr")
+    long = stripped.filter(size >= min_chars)
+    short = stripped.filter(size < min_chars).join(
+        ocr_pages.select(*keys, F.coalesce("ocr_text", F.lit("")).alias("_ocr")), keys, "left")
+    text = F.when(F.length("_ocr") > size, F.col("_ocr")).otherwise(F.col("text"))
+    return long.unionByName(short.withColumn("text", text).drop("_ocr"))
 
 
 def ocr_candidates(pages: DataFrame, min_chars: int = fv.OCR_MIN_CHARS) -> DataFrame:

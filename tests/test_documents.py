@@ -144,7 +144,7 @@ def test_salted_lookup_equals_a_join(spark):
     dim = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), ("unused", 4)], "key string, v int")
     for how in ("left", "inner", "left_semi", "left_anti"):
         want = facts.join(dim, "key", how)
-        got = salted_lookup(facts, dim, "key", F.col("id"), how, max_hot=4, fanout=5)
+        got = salted_lookup(facts, dim, "key", F.col("id"), how, max_hot=4)
         assert sorted(got.select(want.columns).collect(), key=str) == sorted(want.collect(), key=str)
     counts = facts.groupBy("key").agg(F.count("*").alias("n"))
     hot = hot_keys(counts, "n", facts.agg(F.count("*").alias("t")), 4).collect()
