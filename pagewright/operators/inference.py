@@ -16,6 +16,8 @@ from ..functions.text import sentences
 from ..schemas import RESPONSES
 from .frames import ordered_text
 
+CALLS_AT_ONCE = 256  # replies held in a task before they are handed on
+
 # A client takes (system, user, max_tokens, temperature) and returns
 # (text, completion_tokens).
 Client = Callable[[str, str, int, float], tuple[str, int]]
@@ -59,7 +61,7 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
             except Exception as problem:
                 return None, time.perf_counter() - started, 0, str(problem) or type(problem).__name__
 
-        for batch in batches:
+        for batch in (frame.iloc[at:at + CALLS_AT_ONCE] for frame in batches for at in range(0, len(frame), CALLS_AT_ONCE)):
             out = [call(row) for row in batch.itertuples(index=False)]
             yield batch[["doc_id", "index", "win_idx", "kind"]].assign(
                 text=[o[0] for o in out], elapsed=[o[1] for o in out],

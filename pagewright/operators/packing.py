@@ -26,7 +26,7 @@ from ..functions.text import bind
 
 BLOCK_BITS = 6
 FAN_IN_BITS = 12
-LEVELS = 1
+PAGE_BITS = 42
 SEPARATOR = "\n\n"
 
 # "Longer than any budget": the first page of a document always opens a chunk.
@@ -154,24 +154,29 @@ def _gather(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("children"))
 
 
-def _block_entries(blocks: DataFrame, budget: int, gap: int) -> DataFrame:
+def _levels(page_bits: int) -> int:
+    """Tree levels between the blocks and the document, so that no node is wide."""
+    return max(1, -(-(page_bits - BLOCK_BITS) // FAN_IN_BITS) - 1)
+
+
+def _block_entries(blocks: DataFrame, budget: int, gap: int, levels: int) -> DataFrame:
     """(doc_id, block, buf, n, next_cap): the state in which every block starts."""
     sizes = F.transform("pages", lambda p: F.length(p["text"]).cast("bigint"))
     function = bind(sizes, lambda z: _block_function(z, budget, gap))
     nodes = blocks.select("doc_id", F.col("block").alias("b0"), function.alias("f"))
     nodes = nodes.select("doc_id", "b0", "f.total", "f.steps")
     groups = []
-    for level in range(1, LEVELS + 1):
+    for level in range(1, levels + 1):
         below, here = f"b{level - 1}", f"b{level}"
         up = nodes.withColumn(here, _parent(below, FAN_IN_BITS))
         grouped = _gather(up, ["doc_id", here], below)
         groups.append(grouped)
         nodes = grouped.select("doc_id", here, _fold(F.col("children")).alias("f"))
         nodes = nodes.select("doc_id", here, "f.total", "f.steps")
-    top = _gather(nodes, ["doc_id"], f"b{LEVELS}")
+    top = _gather(nodes, ["doc_id"], f"b{levels}")
     fresh = _entry(_long(_FULL), _long(0))
     state = top.select("doc_id", F.inline(_hand_down(F.col("children"), fresh, _long(-1))))
-    for level in range(LEVELS, 0, -1):
+    for level in range(levels, 0, -1):
         grouped = groups[level - 1]
         joined = grouped.join(state.withColumnRenamed("at", f"b{level}"), ["doc_id", f"b{level}"])
         down = _hand_down(F.col("children"), F.struct("buf", "n"), F.col("next_cap"))
@@ -220,10 +225,12 @@ def _pack_block(pages: Column, buf: Column, n: Column, next_cap: Column, budget:
     return F.aggregate(pages, state, scan, pieces)
 
 
-def chunk_pages(pages: DataFrame, max_chars: int) -> DataFrame:
+def chunk_pages(pages: DataFrame, max_chars: int, page_bits: int = PAGE_BITS) -> DataFrame:
     """(doc_id, page_no, text) -> (doc_id, index, original).
 
-    ``page_no`` orders the pages of a document and is unique in it.
+    ``page_no`` orders the pages of a document, is unique in it and may have
+    gaps.  With numbers below 2**page_bits no node of the tree has more than
+    2**FAN_IN_BITS children; larger numbers are packed right too, just slower.
     """
     gap = len(SEPARATOR)
     # Stated null checks keep the branches below identical, so that Spark sees
@@ -234,7 +241,7 @@ def chunk_pages(pages: DataFrame, max_chars: int) -> DataFrame:
         .groupBy("doc_id", "block")
         .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
     )
-    entries = _block_entries(blocks, max_chars, gap)
+    entries = _block_entries(blocks, max_chars, gap, _levels(page_bits))
     packed = _pack_block(F.col("pages"), F.col("buf"), F.col("n"), F.col("next_cap"), max_chars, gap)
     parts = blocks.join(entries, ["doc_id", "block"]).select("doc_id", "block", F.inline(packed))
     whole = parts.filter("whole").select("doc_id", "index", "original")

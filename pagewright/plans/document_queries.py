@@ -235,16 +235,16 @@ def sentence_translation(spark, sf_dir):
 # --- assembly ---------------------------------------------------------------------
 
 _SEGMENT_SQL = f"""seg AS (SELECT doc_id, idx, original,
-    CASE WHEN length(original) % 3 <> 0 THEN upper(doc_id) || ': ' || original END AS summary,
-    CASE WHEN length(original) % 2 = 0 THEN replace(original, 'e', '&') END AS translated FROM chunks)"""
+    CASE WHEN doc_id NOT LIKE '%1' THEN upper(doc_id) || ': ' || original END AS summary,
+    CASE WHEN doc_id NOT LIKE '%c1%' THEN replace(original, 'e', '&') END AS translated FROM chunks)"""
 
 
 def _segments(chunks: DataFrame) -> DataFrame:
-    """Chunks with replies for some of them."""
-    size = F.length("original")
-    summaries = chunks.filter(size % 3 != 0).select(
+    """Chunks with replies; a few documents have no summaries or no translations."""
+    doc = F.col("doc_id")
+    summaries = chunks.filter(~doc.endswith("1")).select(
         "doc_id", "index", F.concat(F.upper("doc_id"), F.lit(": "), "original").alias("text"))
-    translations = chunks.filter(size % 2 == 0).select(
+    translations = chunks.filter(~doc.contains("c1")).select(
         "doc_id", "index", F.replace("original", F.lit("e"), F.lit("&")).alias("text"))
     return asm.assemble_segments(chunks, summaries, translations)
 
@@ -274,9 +274,11 @@ def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     languages = detected_languages(chunks, documents(spark, sf_dir))
     texts = kept.select("doc_id", F.col("page_no").alias("ord"), "text")
     words = kw.keyword_arrays(kw.frequency_keywords(texts))
-    overviews = table(spark, sf_dir, "conversations").filter("turn = 1").select(
-        F.concat(F.lit("src"), F.col("conv_id").cast("string")).alias("doc_id"),
-        replies.parse_overview(F.concat(F.lit("結論\n"), "text", F.lit("\n行動\n"), "role")).alias("global_summary"))
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("src"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("index"), "text")
+    reply = F.concat(F.lit("結論\n"), "joined", F.lit("\n行動\n"), "doc_id")
+    overviews = rq.overview_prompts(turns).filter("part = 0").select(
+        "doc_id", replies.parse_overview(reply).alias("global_summary"))
     results = asm.document_results(pg.page_counts(raw), pg.chunk_counts(chunks), languages, words, overviews)
     return results, chunks
 
@@ -299,7 +301,7 @@ def _clipped_sql() -> str:
 
 
 @query(f"""WITH RECURSIVE {_RESULT_SQL}, {_SEGMENT_SQL},
-ov AS (SELECT 'src' || conv_id AS doc_id, {q.strip('text')} AS conclusion, role AS action FROM conversations WHERE turn = 1),
+{_OVERVIEW_SQL}, ov AS (SELECT 'src' || doc_id AS doc_id, {q.strip('joined')} AS conclusion, 'src' || doc_id AS action FROM o WHERE part = 0),
 r AS (SELECT result.*, conclusion, action FROM result LEFT JOIN ov USING (doc_id)),
 sb AS (SELECT *, {q.strip('original')} AS b, left({q.strip('original')}, 700) AS h FROM seg),
 head_rows AS (

@@ -12,6 +12,9 @@ from ..functions.codes import digest, upload_status
 
 Extractor = Callable[[bytes], list[str]]
 
+_PAGE_COLUMNS = ["doc_id", "page_no", "text"]
+_FLUSH_CHARS = 16_000_000  # text held back in a task before it is handed on
+
 
 def scan_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(filename, length, content) of every file below ``path``.
@@ -59,14 +62,22 @@ def extract_pages(uploads: DataFrame, factory: Callable[[], Extractor]) -> DataF
 
     def pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()
+        rows: list[tuple[str, int, str]] = []
+        chars = 0
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
                 try:
                     texts = [t.strip() for t in extract(bytes(content))]
                 except Exception:
                     texts = []
-                if texts:
-                    yield pd.DataFrame({"doc_id": doc_id, "page_no": range(len(texts)), "text": texts})
+                for no, text in enumerate(texts):
+                    rows.append((doc_id, no, text))
+                    chars += len(text)
+                    if chars > _FLUSH_CHARS:
+                        yield pd.DataFrame(rows, columns=_PAGE_COLUMNS)
+                        rows, chars = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_PAGE_COLUMNS)
 
     return uploads.select("doc_id", "content").mapInPandas(pages_of, "doc_id string, page_no long, text string")
 

@@ -23,12 +23,12 @@ def groups(sizes, budget, gap):
     return out
 
 
-def packed(spark, docs, budget):
+def packed(spark, docs, budget, page_bits=packing.PAGE_BITS):
     rows = [(d, n, t) for d, texts in docs.items() for n, t in enumerate(texts)]
     random.Random(7).shuffle(rows)
     pages = spark.createDataFrame(rows, "doc_id string, page_no long, text string")
     got = {}
-    for r in packing.chunk_pages(pages, budget).collect():
+    for r in packing.chunk_pages(pages, budget, page_bits).collect():
         got.setdefault(r.doc_id, {})[r["index"]] = r.original
     return {d: [c[i] for i in sorted(c)] for d, c in got.items()}, got
 
@@ -47,18 +47,17 @@ def test_small_cases(spark):
     assert "none" not in got
 
 
-@pytest.mark.parametrize("block_bits,fan_bits,levels,budget", [(1, 1, 1, 10), (1, 1, 3, 25), (2, 1, 2, 40), (6, 12, 1, 300)])
-def test_blocks_do_not_show(spark, monkeypatch, block_bits, fan_bits, levels, budget):
+@pytest.mark.parametrize("block_bits,fan_bits,page_bits,budget", [(1, 1, 3, 10), (1, 1, 5, 25), (2, 1, 5, 40), (6, 12, 42, 300)])
+def test_blocks_do_not_show(spark, monkeypatch, block_bits, fan_bits, page_bits, budget):
     """Any cut into blocks gives what one walk over the pages gives."""
     monkeypatch.setattr(packing, "BLOCK_BITS", block_bits)
     monkeypatch.setattr(packing, "FAN_IN_BITS", fan_bits)
-    monkeypatch.setattr(packing, "LEVELS", levels)
     rng = random.Random(budget)
     docs = {}
     for d in range(40):
         low, high = rng.choice([(1, 2), (1, 5), (0, 12), (1, budget + 4), (budget - 4, budget + 4)])
         docs[f"d{d}"] = texts_of([rng.randint(low, high) for _ in range(rng.choice([1, 2, 5, 17, 40]))])
-    got, raw = packed(spark, docs, budget)
+    got, raw = packed(spark, docs, budget, page_bits)
     for d, texts in docs.items():
         texts = [t for t in texts if t]
         want = ["\n\n".join(texts[i] for i in g) for g in groups([len(t) for t in texts], budget, 2)]
@@ -86,6 +85,10 @@ def test_texts_are_shuffled_once(spark):
     assert "CartesianProduct" not in final and "BroadcastNestedLoop" not in final
 
 
+def test_tree_depth():
+    assert [packing._levels(b) for b in (10, 18, 30, 31, 42, 43)] == [1, 1, 1, 2, 2, 3]
+
+
 def test_windows(one):
     def parts(*sizes):
         return [chr(97 + i) * (z - 1) + "." for i, z in enumerate(sizes)]
