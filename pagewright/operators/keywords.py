@@ -83,24 +83,20 @@ def with_idf(counts: DataFrame) -> DataFrame:
     """Add ``idf`` = ln((N+1)/(df+1)) to term counts.
 
     Frequent terms would all meet in a few tasks of a plain join.  Those above
-    1/MAX_BROADCAST_TERMS of all rows are fewer than that and are broadcast; the
-    other terms are each a small group and are joined by shuffle, while rows
-    already served are spread by document.
+    1/MAX_BROADCAST_TERMS of all rows are fewer than that: they are broadcast,
+    and their rows, most of the table, are not shuffled at all.  Each other term
+    is a small group, joined by shuffle.
 
     ``counts`` is read several times and should be a stored table.
     """
     frequency = counts.groupBy("word").agg(F.count("*").alias("df"))
     documents = counts.agg(F.count_distinct("doc_id").alias("N"))
     rows = counts.agg(F.count("*").alias("total"))
-    hot = hot_keys(frequency, "df", rows, MAX_BROADCAST_TERMS).withColumnRenamed("df", "hot_df")
-    seen = counts.join(F.broadcast(hot), "word", "left")
-    spread = F.concat_ws("\x00", "word", F.col("doc_id").cast("string"))
-    seen = seen.withColumn("term", F.when(F.col("hot_df").isNull(), F.col("word")).otherwise(spread))
-    cold = frequency.select(F.col("word").alias("term"), F.col("df").alias("cold_df"))
-    joined = seen.join(cold, "term", "left")
-    df = F.coalesce("hot_df", "cold_df")
-    idf = F.ln((documents.scalar() + 1) / (df + 1))
-    return joined.withColumn("idf", idf).drop("term", "hot_df", "cold_df")
+    hot = F.broadcast(hot_keys(frequency, "df", rows, MAX_BROADCAST_TERMS))
+    served = counts.join(hot, "word")
+    rare = counts.join(hot.select("word"), "word", "left_anti").join(frequency, "word")
+    idf = F.ln((documents.scalar() + 1) / (F.col("df") + 1))
+    return served.unionByName(rare).withColumn("idf", idf).drop("df")
 
 
 def most_specific(counts: DataFrame, top_k: int) -> DataFrame:

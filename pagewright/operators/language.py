@@ -76,11 +76,13 @@ def classify(texts: DataFrame, profile: DataFrame) -> DataFrame:
     rare = F.when(F.col("hot").isNull(), F.col("gram")).alias("rare")
     part = grams.join(F.broadcast(hot), "gram", "left").groupBy("doc_id", rare).agg(
         F.count("gram").alias("c"), *[F.sum(F.coalesce(F.col(w), F.lit(0.0))).alias(w) for w in names])
-    known = part.filter("rare is not null").select("doc_id", F.col("rare").alias("gram"), "c").join(
-        weights.drop("n"), "gram")
-    rest = known.select("doc_id", F.lit(0).cast("bigint").alias("c"), *[(F.col("c") * F.col(w)).alias(w) for w in names])
-    sums = part.select("doc_id", "c", *names).unionByName(rest).groupBy("doc_id").agg(
-        F.sum("c").alias("c"), *[F.sum(w).alias(w) for w in names])
+    # Rows without a rare gram get a key of their own that is longer than any gram:
+    # nulls would all be sent to one task.
+    lone = F.concat(F.lit("\0" * (GRAM + 1)), F.col("doc_id").cast("string"))
+    rated = part.withColumn("gram", F.coalesce("rare", lone)).join(
+        weights.select("gram", *[F.col(w).alias(f"r{w}") for w in names]), "gram", "left")
+    sums = rated.groupBy("doc_id").agg(F.sum("c").alias("c"), *[
+        F.sum(F.col(w) + F.col("c") * F.coalesce(F.col(f"r{w}"), F.lit(0.0))).alias(w) for w in names])
 
     model = totals.select(F.struct("V", "totals")).scalar()
     rates = [
