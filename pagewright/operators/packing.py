@@ -13,8 +13,9 @@ enters it is a step function with few steps:
 
 Step functions compose, so the blocks are folded up a fixed tree, the entering
 length of every block comes back down, and each block then packs its own pages.
-Page texts are shuffled once, by (document, block); the tree carries numbers.
-Chunks that cross a block edge are the only pieces joined up afterwards.
+The tree is a job of its own over page sizes and leaves a small stored table.
+Page texts are shuffled once, by (document, block); chunks that cross a block
+edge are the only pieces joined up afterwards.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind
+from ..session import stage
 
 BLOCK_BITS = 6
 FAN_IN_BITS = 12
@@ -159,9 +161,15 @@ def _levels(page_bits: int) -> int:
     return max(1, -(-(page_bits - BLOCK_BITS) // FAN_IN_BITS) - 1)
 
 
+def _in_order(pages: DataFrame, column: str) -> DataFrame:
+    """(doc_id, block, pages): one column of each block's pages, in page order."""
+    rows = F.array_sort(F.collect_list(F.struct("page_no", column)))
+    return pages.groupBy("doc_id", "block").agg(rows.alias("pages"))
+
+
 def _block_entries(blocks: DataFrame, budget: int, gap: int, levels: int) -> DataFrame:
     """(doc_id, block, buf, n, next_cap): the state in which every block starts."""
-    sizes = F.transform("pages", lambda p: F.length(p["text"]).cast("bigint"))
+    sizes = F.transform("pages", lambda p: p["size"])
     function = bind(sizes, lambda z: _block_function(z, budget, gap))
     nodes = blocks.select("doc_id", F.col("block").alias("b0"), function.alias("f"))
     nodes = nodes.select("doc_id", "b0", "f.total", "f.steps")
@@ -231,17 +239,23 @@ def chunk_pages(pages: DataFrame, max_chars: int, page_bits: int = PAGE_BITS) ->
     ``page_no`` orders the pages of a document, is unique in it and may have
     gaps.  With numbers below 2**page_bits no node of the tree has more than
     2**FAN_IN_BITS children; larger numbers are packed right too, just slower.
+
+    Page sizes are read first and texts afterwards, so texts that are dear to
+    compute should come from a stored table.  If that has a ``size`` column with
+    the length of each text, the first pass reads no texts at all.
     """
     gap = len(SEPARATOR)
-    # Stated null checks keep the branches below identical, so that Spark sees
-    # one and the same exchange of the texts and runs it once.
-    blocks = (
-        pages.filter("doc_id is not null and page_no is not null and text != ''")
-        .withColumn("block", _parent("page_no", BLOCK_BITS))
-        .groupBy("doc_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
-    )
-    entries = _block_entries(blocks, max_chars, gap, _levels(page_bits))
+    stored = "size" in pages.columns
+    # Stated null checks keep the two readers of the texts below identical, so that
+    # Spark sees one and the same exchange and runs it once.
+    used = pages.filter("doc_id is not null and page_no is not null").filter("size > 0" if stored else "text != ''")
+    used = used.withColumn("block", _parent("page_no", BLOCK_BITS))
+
+    size = (F.col("size") if stored else F.length("text")).cast("bigint").alias("size")
+    entries = stage(
+        _block_entries(_in_order(used.select("doc_id", "block", "page_no", size), "size"), max_chars, gap, _levels(page_bits)),
+        "packing")
+    blocks = _in_order(used, "text")
     packed = _pack_block(F.col("pages"), F.col("buf"), F.col("n"), F.col("next_cap"), max_chars, gap)
     parts = blocks.join(entries, ["doc_id", "block"]).select("doc_id", "block", F.inline(packed))
     whole = parts.filter("whole").select("doc_id", "index", "original")

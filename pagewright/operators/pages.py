@@ -75,9 +75,9 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 
 
 def meaningful_pages(pages: DataFrame) -> DataFrame:
-    """Cleaned text of the meaningful pages; pages empty after cleaning go."""
+    """Cleaned text and its ``size`` for the meaningful pages; pages empty after cleaning go."""
     kept = classify_pages(pages).filter("meaningful and clean != ''")
-    return kept.withColumn("text", F.col("clean")).drop("clean", "meaningful")
+    return kept.withColumn("text", F.col("clean")).withColumn("size", F.length("clean")).drop("clean", "meaningful")
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

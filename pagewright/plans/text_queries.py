@@ -103,7 +103,7 @@ def meaningful_pages(spark, sf_dir):
 
 @query(f"WITH {KEPT_SQL} SELECT doc_id, page_no, text FROM kept")
 def clean_pages(spark, sf_dir):
-    return kept_pages(spark, sf_dir)
+    return kept_pages(spark, sf_dir).drop("size")
 
 
 @query(f"""WITH RECURSIVE pages_in AS (SELECT source AS doc_id, doc_id AS page_no, text FROM documents),

@@ -67,6 +67,14 @@ def test_blocks_do_not_show(spark, monkeypatch, block_bits, fan_bits, page_bits,
             assert chunk and (len(chunk) <= budget + 2 or chunk in texts)
 
 
+def test_stored_sizes_give_the_same_chunks(spark):
+    rows = [("d", n, t) for n, t in enumerate(texts_of([3, 0, 8, 2, 2, 9]))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no long, text string")
+    plain = packing.chunk_pages(pages, 10).collect()
+    sized = packing.chunk_pages(pages.withColumn("size", F.length("text")), 10).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, sized)) and len(plain) == 4
+
+
 def test_one_document_with_most_pages(spark):
     docs = {"hot": texts_of([5] * 700)}
     docs.update({f"d{i}": texts_of([4, 4]) for i in range(20)})
