@@ -18,10 +18,10 @@ def _whole_number(raw: str | None, fallback: int) -> int:
 
 @dataclass(frozen=True)
 class Config:
-    model: str = "qwen3.5:4b"
-    translator: str = "qwen"
-    target_lang: str = "zho_Hant"
-    src_lang: str = "eng_Latn"
+    model: str = fv.MODEL
+    translator: str = fv.WINDOW_TRANSLATOR
+    target_lang: str = fv.TARGET_LANGUAGE
+    src_lang: str = fv.SOURCE_LANGUAGE
     max_chunk_chars: int = fv.CHUNK_CHARS
     max_body_mb: int = fv.UPLOAD_MAX_MB
     ocr: bool = True
@@ -32,6 +32,11 @@ class Config:
         """The script fix applies only when the target is Traditional Chinese."""
         return self.traditional and self.target_lang == "zho_Hant"
 
+    @property
+    def by_windows(self) -> bool:
+        """Translate windows with the chat model, else sentences with a named translator."""
+        return self.translator == fv.WINDOW_TRANSLATOR
+
     @property
     def max_body_bytes(self) -> int:
         return self.max_body_mb * 1024 * 1024
@@ -56,3 +61,9 @@ def check_features(features: str) -> str:
     if not any(part.strip() for part in features.split(",")):
         raise ValueError("choose at least one of: " + fv.FEATURES)
     return features
+
+
+def check_steps(summary: bool, translate: bool) -> None:
+    """The command-line variant has nothing to do with both steps off."""
+    if not (summary or translate):
+        raise ValueError("summary and translation cannot both be switched off")

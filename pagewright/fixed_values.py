@@ -166,6 +166,10 @@ MSG_CACHE_HIT = "快取命中"
 
 # --- service -----------------------------------------------------------------------------
 
+MODEL = "qwen3.5:4b"
+WINDOW_TRANSLATOR = "qwen"
+TARGET_LANGUAGE = "zho_Hant"
+SOURCE_LANGUAGE = "eng_Latn"
 FEATURES = "summary,translate,wordcloud,report"
 UPLOAD_MAX_MB = 50
 HISTORY_LIMIT = 200

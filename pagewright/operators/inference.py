@@ -22,6 +22,11 @@ CALLS_AT_ONCE = 256  # replies held in a task before they are handed on
 # (text, completion_tokens).
 Client = Callable[[str, str, int, float], tuple[str, int]]
 
+# A batch translator takes (sentences, source language code) and returns as many
+# translations; the target language is the factory's business.
+BatchTranslator = Callable[[list[str], str], list[str]]
+BATCH_SIZE = 16
+
 
 def _responses_schema(requests: DataFrame) -> T.StructType:
     """RESPONSES, with document ids of the type the requests use."""
@@ -72,29 +77,26 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
     return replies.withColumn("text", strip_think(F.col("text")))
 
 
-def batch_client(translate: Callable[[list[str]], list[str]], batch_size: int = 16):
-    """Factory for ``run_batches`` from a sentence-batch translator."""
-    return lambda: (translate, batch_size)
-
-
-def run_batches(requests: DataFrame, factory: Callable[[], tuple[Callable[[list[str]], list[str]], int]],
+def run_batches(requests: DataFrame, factory: Callable[[], BatchTranslator], batch_size: int = BATCH_SIZE,
                 tasks: int | None = None) -> DataFrame:
-    """Like ``run_inference`` for translators that take lists of sentences."""
-
-    def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translate, size = factory()
-        for frame in batches:
-            for at in range(0, len(frame), size):
-                batch = frame.iloc[at:at + size]
-                started = time.perf_counter()
-                texts, error = [None] * len(batch), None
-                try:
-                    texts = translate([m[1]["content"] for m in batch["messages"]])
-                except Exception as problem:
-                    error = str(problem) or type(problem).__name__
-                each = (time.perf_counter() - started) / len(batch)
-                yield batch[["doc_id", "index", "win_idx", "kind"]].assign(
-                    text=texts, elapsed=each, completion_tokens=0, error=error)
+    """``sentence_requests`` through a translator that takes lists of sentences of one language."""
+
+    def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        translate = factory()
+        for frame in frames:
+            sources = frame["messages"].map(lambda m: m[0]["content"])
+            for source, same in frame.groupby(sources, sort=False):
+                for at in range(0, len(same), batch_size):
+                    batch = same.iloc[at:at + batch_size]
+                    started = time.perf_counter()
+                    texts, error = [None] * len(batch), None
+                    try:
+                        texts = translate([m[1]["content"] for m in batch["messages"]], source)
+                    except Exception as problem:
+                        error = str(problem) or type(problem).__name__
+                    each = (time.perf_counter() - started) / len(batch)
+                    yield batch[["doc_id", "index", "win_idx", "kind"]].assign(
+                        text=texts, elapsed=each, completion_tokens=0, error=error)
 
     return _dealt_out(requests, tasks).mapInPandas(calls, _responses_schema(requests))
 

@@ -70,10 +70,15 @@ def translation_requests(chunks: DataFrame, target_lang: str = "zho_Hant", limit
                     translation_budget(F.col("window")), win_idx=F.col("win_idx"))
 
 
-def sentence_requests(chunks: DataFrame) -> DataFrame:
-    """One request per sentence, for sentence-level translators (win_idx = sentence)."""
-    sents = chunks.select("doc_id", "index", F.posexplode(tx.sentences(F.col("original"))).alias("win_idx", "sentence"))
-    return _request(sents, "translation", F.lit(""), F.col("sentence"), 0.0, F.lit(0), win_idx=F.col("win_idx"))
+def sentence_requests(chunks: DataFrame, source: Column) -> DataFrame:
+    """One request per sentence, for sentence-level translators.
+
+    ``win_idx`` numbers the sentences; ``source``, the code of the source language
+    (see ``codes.source_code``), takes the place of the instructions.
+    """
+    split = F.posexplode(tx.sentences(F.col("original"))).alias("win_idx", "sentence")
+    sents = chunks.select("doc_id", "index", source.alias("source"), split)
+    return _request(sents, "translation", F.col("source"), F.col("sentence"), 0.0, F.lit(0), win_idx=F.col("win_idx"))
 
 
 def sample_requests(chunks: DataFrame, target_lang: str = "zho_Hant",

@@ -7,15 +7,16 @@ later step or a lost executor.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, check_features
 from ..functions import replies
-from ..functions.codes import already_target
+from ..functions.codes import already_target, source_code
 from ..operators import assemble as asm
 from ..operators import inference as inf
 from ..operators import keywords as kw
@@ -58,13 +59,15 @@ def _overview_failures(said: DataFrame, responses: DataFrame) -> DataFrame:
 
 def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.Client],
             features: str, ocr_pages: DataFrame | None = None, profile: DataFrame | None = None,
-            fix_script: Callable | None = None, tasks: int | None = None) -> Analysis:
+            fix_script: Callable | None = None, tasks: int | None = None,
+            translators: Mapping[str, Callable[[], inf.BatchTranslator]] | None = None) -> Analysis:
     """Analyse every document of ``pages`` (doc_id, page_no, text).
 
     ``profile`` is a stored 3-gram profile for languages told apart by their
     letters only.  ``fix_script`` (Column -> Column) is applied to model output
-    when the target is Traditional Chinese.  ``tasks`` bounds the number of
-    tasks that call the model at a time.
+    when the target is Traditional Chinese.  ``tasks`` is the number of tasks
+    the model calls are dealt out to.  ``translators`` names factories of
+    sentence translators for settings other than the window translator.
     """
     wanted = check_features(features)
     do_summary, do_translate = "summary" in wanted, "translate" in wanted
@@ -83,21 +86,26 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
         classified = lg.classify(heads, profile)
     languages = stage(lg.detect_language(scripts, classified), "languages")
 
-    asked = []
+    replied = []
     if do_summary:
-        asked.append(rq.summary_requests(chunks))
+        replied.append(inf.run_inference(rq.summary_requests(chunks), client_factory, tasks))
     if do_translate:
         done = languages.filter(already_target(F.col("language"), config.target_lang)).select("doc_id")
         foreign = salted_lookup(chunks, done, "doc_id", F.col("index"), "left_anti")
-        asked.append(rq.translation_requests(foreign, config.target_lang))
+        if config.by_windows:
+            asked = rq.translation_requests(foreign, config.target_lang)
+            replied.append(inf.run_inference(asked, client_factory, tasks))
+        else:
+            told = salted_lookup(foreign, languages, "doc_id", F.col("index"))
+            asked = rq.sentence_requests(told, source_code(F.col("language"), config.src_lang))
+            replied.append(inf.run_batches(asked, (translators or {})[config.translator], tasks=tasks))
     responses = None
-    if asked:
-        requests = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
-        replied = inf.run_inference(requests, client_factory, tasks)
-        responses = stage(replied.withColumn("text", fixed(F.col("text"))), "responses")
+    if replied:
+        every = reduce(DataFrame.unionByName, replied)
+        responses = stage(every.withColumn("text", fixed(F.col("text"))), "responses")
 
     overviews, summaries, translations = None, None, None
-    failures = _failures(responses) if asked else None
+    failures = _failures(responses) if replied else None
     if do_summary:
         summaries = responses.filter("kind = 'summary'").select("doc_id", "index", "text")
         # A failed document ends there: it is asked for no overview and has no result.
@@ -109,7 +117,7 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
             "doc_id", replies.parse_overview(fixed(F.col("text"))).alias("global_summary"))
         failures = failures.unionByName(_overview_failures(said, responses))
     if do_translate:
-        translations = inf.merge_translations(responses).select("doc_id", "index", "text")
+        translations = inf.merge_translations(responses, "\n" if config.by_windows else " ").select("doc_id", "index", "text")
 
     segments = stage(asm.assemble_segments(chunks, summaries, translations), "segments")
     keywords = arrays = cloud = None

@@ -221,12 +221,14 @@ def run_inference_stub(spark, sf_dir):
     return inf.merge_translations(replied).select("doc_id", "text", "completion_tokens", "error")
 
 
-@query(f"""WITH s AS (SELECT doc_id, {q.sentence_list('text')} AS ss FROM documents)
-SELECT doc_id, array_to_string(list_transform(ss, lambda x: '(' || x || ')'), ' ') AS text, CAST(len(ss) AS BIGINT) AS n_sentences
+@query(f"""WITH s AS (SELECT doc_id, {q.sentence_list('text')} AS ss,
+    CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' ELSE 'spa_Latn' END AS code FROM documents)
+SELECT doc_id, array_to_string(list_transform(ss, lambda x: code || '(' || x || ')'), ' ') AS text, CAST(len(ss) AS BIGINT) AS n_sentences
 FROM s WHERE len(ss) > 0""")
 def sentence_translation(spark, sf_dir):
-    chunks = _docs_as_chunks(spark, sf_dir)
-    replied = inf.run_batches(rq.sentence_requests(chunks), inf.batch_client(lambda texts: [f"({t})" for t in texts]))
+    chunks = documents(spark, sf_dir).select("doc_id", "lang", F.lit(0).alias("index"), F.col("text").alias("original"))
+    asked = rq.sentence_requests(chunks, codes.source_code(F.col("lang"), fv.SOURCE_LANGUAGE))
+    replied = inf.run_batches(asked, lambda: lambda texts, source: [f"{source}({t})" for t in texts])
     merged = inf.merge_translations(replied, " ").select("doc_id", "text")
     counts = inf.with_sentence_count(chunks).select("doc_id", F.col("n_sentences").cast("bigint").alias("n_sentences"))
     return merged.join(counts, "doc_id")
@@ -259,8 +261,9 @@ def segments_nested(spark, sf_dir):
 
 _RESULT_SQL = f"""{KEPT_SQL}, {q.packed('kept')}, {_DETECT_SQL},
 {q.top_words('(SELECT doc_id, page_no AS ord, text FROM kept)')},
-kws AS (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS keywords FROM kw GROUP BY doc_id),
-result AS (SELECT p.doc_id, total_pages, n_chunks, chunk_chars, language, coalesce(keywords, '') AS keywords
+kws AS (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS keywords,
+    string_agg(word, ',' ORDER BY rank) FILTER (WHERE rank <= 30) AS shown FROM kw GROUP BY doc_id),
+result AS (SELECT p.doc_id, total_pages, n_chunks, chunk_chars, language, coalesce(keywords, '') AS keywords, coalesce(shown, '') AS shown
     FROM (SELECT doc_id, count(*) AS total_pages FROM headed GROUP BY doc_id) p
     JOIN (SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(original)) AS BIGINT) AS chunk_chars FROM chunks GROUP BY doc_id) c USING (doc_id)
     JOIN detected USING (doc_id) LEFT JOIN kws USING (doc_id))"""
@@ -284,11 +287,12 @@ def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""WITH RECURSIVE {_RESULT_SQL}
-SELECT doc_id, total_pages, n_chunks, chunk_chars, language, keywords, '/documents/' || doc_id || '/report.pdf' AS report_pdf_url FROM result""")
+SELECT doc_id, total_pages, n_chunks, chunk_chars, language, keywords, shown, '/documents/' || doc_id || '/report.pdf' AS report_pdf_url FROM result""")
 def document_result(spark, sf_dir):
     results, _ = _results(spark, sf_dir)
     return results.select("doc_id", "total_pages", "n_chunks", "chunk_chars", "language",
-                          F.array_join("keywords", ",").alias("keywords"), "report_pdf_url")
+                          F.array_join("keywords", ",").alias("keywords"),
+                          F.array_join(codes.shown_keywords(F.col("keywords")), ",").alias("shown"), "report_pdf_url")
 
 
 def _markup_sql(x: str) -> str:

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from pagewright import fixed_values as fv
-from pagewright.config import Config, check_features
+from pagewright.config import Config, check_features, check_steps
 from pagewright.operators import metrics
 from pagewright.operators import progress as pr
 from pagewright.operators import state as st
@@ -240,6 +240,8 @@ def test_settings():
     assert not Config.from_env({"DISABLE_OCR": "1"}).ocr
     with pytest.raises(ValueError):
         check_features(" , ")
+    with pytest.raises(ValueError):
+        check_steps(False, False)
 
 
 def test_analysis_end_to_end(spark):
@@ -270,5 +272,9 @@ def test_analysis_end_to_end(spark):
     assert {r.doc_id for r in out.report.collect()} == {"good"}
     assert out.segments.filter("translated is not null").count() == 3
 
+    by_sentence = analyze(pages, Config(max_chunk_chars=400, translator="other"), factory, "translate",
+                          translators={"other": lambda: lambda texts, source: [source + "!" for _ in texts]})
+    assert all(set(r.translated.split(" ")) == {"eng_Latn!"} for r in by_sentence.segments.collect())
+
     plain = analyze(pages, Config(target_lang="eng_Latn"), factory, "translate")
     assert plain.responses.count() == 0 and plain.report is None and plain.keywords is None
