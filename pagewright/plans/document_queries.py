@@ -362,8 +362,10 @@ ev AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, i) - 1 AS seq, type, progress, message FROM ev""")
 def progress_events(spark, sf_dir):
     raw = headed_pages(spark, sf_dir)
-    marked = stage(pg.classify_pages(raw).select("doc_id", "page_no", "meaningful", "clean"), "marked")
-    kept = marked.filter("meaningful and clean != ''").select("doc_id", "page_no", F.col("clean").alias("text"))
+    marked = pg.classify_pages(raw).select("doc_id", "page_no", "meaningful", "clean", F.length("clean").alias("size"))
+    marked = stage(marked, "marked")
+    kept = marked.filter("meaningful and clean != ''").select(
+        "doc_id", "page_no", F.col("clean").alias("text"), "size")
     counts = pg.chunk_counts(pack(kept, fv.CHUNK_CHARS))
     by_source = pg.page_counts(raw).join(counts, "doc_id", "left").select(
         "doc_id", "total_pages", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
