@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,14 +21,19 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder used instead.
+    Only a session on this one machine may leave the setting out; it then gets a
+    temporary folder.  On a cluster every executor would see its own disk there,
+    so the missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
