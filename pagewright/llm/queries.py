@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from ..session import stage
+from . import mixing, quality_rules, shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,20 @@ FROM v""")
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
+
+
+@query()
+def op5_mix_sources(spark, sf_dir):
+    return mixing.taken_words(read(spark, sf_dir, "documents")).drop("_row")
+
+
+@query()
+def op8_shard_splitters(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", shards.row_size().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+                       F.xxhash64("text", F.col("text").isNull()).alias("key"))
+    # Only numbers go on, so the texts are read once.
+    slim = stage(slim, "shard-keys")
+    out = shards.shard(slim, F.col("key"), F.col("doc_id"), F.col("size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"))
