@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import mixing, quality_rules, shards
+from . import chat, mixing, quality_rules, shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,25 @@ def op8_shard_splitters(spark, sf_dir):
     out = shards.shard(slim, F.col("key"), F.col("doc_id"), F.col("size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, chr(16), chr(16) || '0')"
+    for i, control in enumerate(chat.CONTROLS):
+        out = f"replace({out}, '{control}', chr(16) || chr({ord('A') + i}))"
+    return out
+
+
+@query(f"""
+WITH rows_in AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(replace({_escaped_sql('role')}, chr(10), chr(16) || '1')) + 1 + length({_escaped_sql('text')}) + 11) AS BIGINT) AS formatted_chars
+FROM rows_in GROUP BY conv_id""")
+def op7_chat_bytes(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
