@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
-from . import chat, mixing, quality_rules, shards
+from ..session import scratch_dir, stage
+from . import chat, mixing, quality_rules, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,25 @@ def op7_chat_bytes(spark, sf_dir):
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+w AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS winner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN winner IS NULL OR winner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN winner <> page_id THEN winner END AS refers_to, CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
+FROM w""")
+def op9_warc_transactions(spark, sf_dir):
+    path = scratch_dir(spark, "archives")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path)
+    # Lengths and digests are taken from the payloads themselves before the records are joined.
+    whole = F.col("type") == "response"
+    measured = records.withColumns({"bytes": F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("stated_bytes")),
+                                    "digest": F.when(whole, F.sha1("payload")).otherwise(F.col("stated_digest"))}).drop("payload")
+    captures = warc.assemble_transactions(measured).filter("capture IS NOT NULL")
+    return captures.select(
+        "capture.page_id", F.col("capture.bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"), F.col("capture.refers_to_page").alias("refers_to"),
+        F.size("requests").cast("long").alias("n_requests"), F.size("metadata").cast("long").alias("n_metadata"))
