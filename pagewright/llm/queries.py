@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import chat, mixing, quality_rules, shards, warc
+from . import chat, mixing, phrase_index, quality_rules, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,30 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
+_TERMS_SQL = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS ws FROM documents),
+b AS (SELECT item_id, {_TERMS_SQL} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(list_slice(ws, i, i + 9), ' ') AS win
+       FROM b, generate_series(1, greatest(len(ws) - 9, 1)) AS g(i) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win
+       FROM d, lens, generate_series(1, len(ws) - n + 1) AS g(i)),
+m AS (SELECT doc_id, i, iw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM m, generate_series(0, m.n - 1) AS g(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op2_phrase_index(spark, sf_dir):
+    found = phrase_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query()
 def op5_mix_sources(spark, sf_dir):
     return mixing.taken_words(read(spark, sf_dir, "documents")).drop("_row")
