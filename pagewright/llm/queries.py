@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import chat, mixing, phrase_index, quality_rules, shards, warc
+from . import bbit_minhash, chat, mixing, phrase_index, quality_rules, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,23 @@ def op2_phrase_index(spark, sf_dir):
     return found.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) AS sh
+      FROM d, generate_series(1, greatest(len(ws) - 4, 1)) AS g(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def op3_bbit_minhash(spark, sf_dir):
+    return bbit_minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op5_mix_sources(spark, sf_dir):
     return mixing.taken_words(read(spark, sf_dir, "documents")).drop("_row")

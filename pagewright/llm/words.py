@@ -86,11 +86,15 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], offsets - offsets[0]
 
 
+PIECE = 1 << 20
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space words of many texts, and each text's first word.
 
     The second array has one entry more than there are texts.  Words do not cross
-    the ends of texts.
+    the ends of texts.  Bytes are worked on in pieces of about a megabyte, cut
+    before a word, so memory follows the number of words.
     """
     n = len(raw)
     inside = ~_SPACE_BYTES[raw]
@@ -101,13 +105,19 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     starts[cuts] = inside[cuts]
     at = np.flatnonzero(starts)
     first = np.searchsorted(at, offsets)
-    if not len(at):
-        return np.zeros(0, np.uint64), first
-    place = np.arange(n, dtype=np.int64)
-    began = np.repeat(at, np.diff(np.append(at, n)))
-    place = place[at[0] :] - began
-    codes = _BYTE[_LOWER_BYTES[raw[at[0] :]] if lower else raw[at[0] :]]
-    longest = int(place.max()) + 1
-    codes *= powers(longest)[place]
-    codes[~inside[at[0] :]] = 0
-    return mix(np.add.reduceat(codes, at - at[0])), first
+    out = np.empty(len(at), np.uint64)
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE)))
+        end = int(at[high]) if high < len(at) else n
+        out[low:high] = _hash_piece(raw[at[low] : end], inside[at[low] : end], at[low:high] - at[low], lower)
+        low = high
+    return out, first
+
+
+def _hash_piece(raw: np.ndarray, inside: np.ndarray, at: np.ndarray, lower: bool) -> np.ndarray:
+    place = np.arange(len(raw)) - np.repeat(at, np.diff(np.append(at, len(raw))))
+    codes = _BYTE[_LOWER_BYTES[raw] if lower else raw]
+    codes *= powers(int(place.max()) + 1)[place]
+    codes[~inside] = 0
+    return mix(np.add.reduceat(codes, at))
