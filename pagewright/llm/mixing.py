@@ -157,7 +157,8 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS) -> tuple[DataF
     targets = stage(source_targets(numbered), "targets")
     sized = numbered.join(targets, numbered["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     slots = mixture_slots(targets, block, seed=seed)
-    joined = word_spans(sized, block).join(slots, ["sid", "idx"]).filter(F.col("take") > F.col("at"))
+    # The planner sizes the slots by the few rows they are expanded from; they must not be broadcast.
+    joined = word_spans(sized, block).join(slots.hint("merge"), ["sid", "idx"]).filter(F.col("take") > F.col("at"))
     pieces = joined.withColumn("n_words", F.least("until", "take") - F.col("at"))
     return sized, pieces.select("shard", "slot", "sid", "epoch", "_row", "first_word", "n_words")
 
