@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, mixing, phrase_index, quality_rules, shards, warc
+from . import bbit_minhash, chat, mixing, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,11 @@ def op9_warc_transactions(spark, sf_dir):
         "capture.page_id", F.col("capture.bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"), F.col("capture.refers_to_page").alias("refers_to"),
         F.size("requests").cast("long").alias("n_requests"), F.size("metadata").cast("long").alias("n_metadata"))
+
+
+@query()
+def op1_rule_ensemble(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, read(spark, sf_dir, "labels"))
+    scored = rule_ensemble.score_documents(docs, model)
+    return scored.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
