@@ -31,7 +31,6 @@ SIMILAR = 85  # per cent
 # The estimate of a pair at the bound deviates by 0.033; five deviations are allowed.
 LEAST_ESTIMATE = 0.68
 HUB_TURNS = 2
-SLICE_BYTES = 2 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(8128))
 _A, _B = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1) for _ in "ab")
@@ -46,7 +45,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     A-Z is lower-cased.  A text of fewer than five words has its whole sequence as
     its one shingle, one without words none.
     """
-    hashes, first = w.word_hashes(raw, offsets)
+    hashes, first, _ = w.word_hashes(raw, offsets)
     n = np.diff(first)
     padded = np.concatenate([hashes, np.zeros(SHINGLE, np.uint64)])
     rolled = np.zeros(len(hashes), np.uint64)
@@ -95,23 +94,13 @@ def packed(signature: np.ndarray) -> np.ndarray:
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of rows of about SLICE_BYTES of text with their bytes and offsets."""
-    raw, offsets = w.text_bytes(texts)
-    low = 0
-    while low < len(texts):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1)
-        yield low, high, raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        low = high
-
-
 FEATURES = "doc_id long, text_hash long, n long, h1 long, h2 long, bands array<long>, packed array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        for low, high, raw, offsets in _slices(texts):
+        for low, high, raw, offsets in w.slices(texts):
             values, sizes = shingle_sets(raw, offsets)
             some = np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[some]
@@ -134,7 +123,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, raw, offsets in _slices(batch.column(1)):
+        for low, high, raw, offsets in w.slices(batch.column(1)):
             values, sizes = shingle_sets(raw, offsets)
             bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, mixing, phrase_index, quality_rules, rule_ensemble, shards, warc
+from . import bbit_minhash, chat, line_dedup, mixing, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,23 @@ def op1_rule_ensemble(spark, sf_dir):
     model = rule_ensemble.train(docs, read(spark, sf_dir, "labels"))
     scored = rule_ensemble.score_documents(docs, model)
     return scored.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("""
+WITH l AS (SELECT doc_id, i AS line, regexp_extract_all(translate(list_extract(ls, i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x20\\x09-\\x0D]+') AS ws
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i)),
+lw AS (SELECT * FROM l WHERE len(ws) > 0),
+c AS (SELECT ws, len(ws) AS n, min(CAST(doc_id AS HUGEINT) * 1000000000 + line) AS place FROM lw GROUP BY ws),
+v AS (SELECT place, i, list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, n)) AS rest FROM c, generate_series(1, c.n) AS g(i) WHERE n >= 5),
+near AS (SELECT a.place FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i WHERE b.place < a.place
+   UNION SELECT a.place FROM v a JOIN c b ON a.rest = b.ws WHERE b.n >= 5 AND b.place < a.place
+   UNION SELECT a.place FROM c a JOIN v b ON b.rest = a.ws WHERE a.n >= 5 AND b.place < a.place),
+f AS (SELECT CAST(c.place // 1000000000 AS BIGINT) AS doc_id, count(*) AS n_first, count(near.place) AS n_near
+      FROM c LEFT JOIN near ON near.place = c.place GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_lines FROM lw GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_lines, 0) - coalesce(n_first, 0) AS BIGINT) AS n_exact,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_first, 0) - coalesce(n_near, 0) AS BIGINT) AS n_kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""")
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(read(spark, sf_dir, "documents").select("doc_id", "text"))

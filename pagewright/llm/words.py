@@ -89,8 +89,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 PIECE = 1 << 20
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space words of many texts, and each text's first word.
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space words of many texts, each text's first word, each word's first byte.
 
     The second array has one entry more than there are texts.  Words do not cross
     the ends of texts.  Bytes are worked on in pieces of about a megabyte, cut
@@ -112,7 +112,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
         end = int(at[high]) if high < len(at) else n
         out[low:high] = _hash_piece(raw[at[low] : end], inside[at[low] : end], at[low:high] - at[low], lower)
         low = high
-    return out, first
+    return out, first, at
 
 
 def _hash_piece(raw: np.ndarray, inside: np.ndarray, at: np.ndarray, lower: bool) -> np.ndarray:
@@ -121,3 +121,16 @@ def _hash_piece(raw: np.ndarray, inside: np.ndarray, at: np.ndarray, lower: bool
     codes *= powers(int(place.max()) + 1)[place]
     codes[~inside] = 0
     return mix(np.add.reduceat(codes, at))
+
+
+SLICE_BYTES = 2 << 20
+
+
+def slices(texts):
+    """Ranges of rows of an Arrow string column, of about SLICE_BYTES, with their bytes and offsets."""
+    raw, offsets = text_bytes(texts)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1)
+        yield low, high, raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        low = high
