@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, line_dedup, mixing, phrase_index, quality_rules, rule_ensemble, shards, warc
+from . import bbit_minhash, chat, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,11 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""")
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op4_license_patience(spark, sf_dir):
+    found = patience.scan_licenses(read(spark, sf_dir, "documents"))
+    best = F.get("licenses", F.lit(0))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"),
+                        best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"))
