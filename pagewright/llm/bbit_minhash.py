@@ -194,9 +194,9 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, kept, group for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no shingles and are linked with nothing.  Rows that
+    ``group`` numbers the groups of near duplicates, null without shingles.  Null and empty texts have no shingles and are linked with nothing.  Rows that
     repeat a doc_id are one document of the graph if their texts are similar; each
     comes out.  A null doc_id gets the component of its copies, or null; it is kept
     only if it has no copy with a doc_id.  Further columns are left out.
@@ -225,11 +225,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links)
     firsts = classes.select("cid", "first", *same).join(labels.withColumnRenamed("id", "cid"), "cid", "left")
     named = firsts.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("component"))
-    of_class = firsts.join(named, "label", "left").select(*same, F.coalesce("component", "first").alias("component_id"))
-    out = features.select("doc_id", *same).join(of_class, same, "left")
+    of_class = firsts.join(named, "label", "left").select(*same, F.coalesce("component", "first").alias("component_id"),
+                                                          F.coalesce("label", "cid").alias("group"))
+    out = features.select("doc_id", "text_hash", *same).join(of_class, same, "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, with all their columns.
+
+    The smallest doc_id stays, null last, of equal ids the text with the smallest
+    hash; rows that repeat doc_id and text are one.  Texts without words stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    best = found.filter("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_hash")
+    stay = best.unionByName(found.filter("group IS NULL").select("doc_id", "text_hash"))
+    keys = stay.select(F.struct("doc_id", "text_hash").alias("_key"))
+    keyed = w.record(docs, _key=F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    return w.unrecord(keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

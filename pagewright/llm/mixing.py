@@ -147,13 +147,14 @@ def mixture_slots(targets: DataFrame, block: int = BLOCK_WORDS, slots_per_shard:
 def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(sized documents, mix).
 
-    The first has doc_id, source, size, _row (a number of the row), sid,
+    The first has doc_id, text_hash, source, size, _row (a number of the row), sid,
     source_size and target for every row; the second one row per piece of the
     mix: shard, slot, sid, epoch, _row, first_word, n_words, in the order of
     which a shard is read.  Null and empty texts are sized 0 and take no part;
     a null source is a source; rows with one doc_id are told apart by _row.
     """
-    numbered = stage(docs.select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("_row")), "sizes")
+    numbered = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", n_words().alias("size"),
+                                 F.monotonically_increasing_id().alias("_row")), "sizes")
     targets = stage(source_targets(numbered), "targets")
     sized = numbered.join(targets, numbered["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     slots = mixture_slots(targets, block, seed=seed)
@@ -164,8 +165,21 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS) -> tuple[DataF
 
 
 def taken_words(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``, and _row."""
+    """doc_id, text_hash, size, source_size, target and taken for every row of ``docs``."""
     sized, pieces = mix(docs, seed)
     taken = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"))
     out = sized.join(taken, "_row", "left")
-    return out.select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """``docs`` as often as the mix takes them: a row per whole text, rounded from the words taken.
+
+    So a document that the mix passes over or that has no words goes, and one it
+    reads twice comes twice.  Rows equal in doc_id and text share what they take.
+    """
+    shares = taken_words(docs, seed).groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
+    often = shares.select("_key", copies.alias("_copies")).filter("_copies > 0")
+    keyed = w.record(docs, _key=F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    return w.unrecord(keyed.join(often, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -197,6 +197,6 @@ def hit_items(matches: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a hit word, with all their columns."""
-    hit = contamination(docs.select("doc_id", "text"), items).filter("contaminated").select("doc.*")
-    same = docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["text_hash"])
-    return docs.join(hit, same, "left_anti")
+    hit = contamination(docs, items).filter("contaminated").select(F.col("doc").alias("_key"))
+    keyed = w.record(docs, _key=F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    return w.unrecord(keyed.join(hit, "_key", "left_anti"))

@@ -85,16 +85,19 @@ def _words_in_repeats(hashes: Column) -> Column:
     return F.aggregate(covered, F.lit(0), lambda total, x: total + x)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+
+
+def measures(held: DataFrame) -> DataFrame:
+    """Add to ``held`` (_rec, _text) n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words.
 
     Lines are cut at newlines and count if they hold a word.  A repeated word is
     one within an eight-word window found twice or more in its text, the first
     time included.  Null and empty texts measure 0 throughout.
     """
     stops = sorted({*STOP_WORDS, *(x.capitalize() for x in STOP_WORDS)})
-    cut = let(docs, _words=w.space_words(F.col(text)),
-              _lines=F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(w.NOT_SPACE)))
+    cut = let(held, _words=w.space_words(F.col("_text")),
+              _lines=F.filter(F.split(F.coalesce("_text", F.lit("")), "\n", -1), lambda x: x.rlike(w.NOT_SPACE)))
     cut = let(cut, _joined=F.array_join("_words", ""), _hashes=_window_hashes(F.col("_words")))
     repeats = F.size("_hashes") > F.size(F.array_distinct("_hashes"))
     return cut.withColumns({
@@ -128,7 +131,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     fails.  Repeated rows get equal verdicts, further columns are carried along,
     and columns named like a measure are replaced.
     """
-    with_ratios = let(let(measures(docs, text), _m=F.struct(*[c.alias(n) for n, c in ratios().items()])).select(
-        "*", "_m.*"), base_failed=(F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    found = let(measures(w.record(docs, _text=F.col(text))), _m=F.struct(*[c.alias(n) for n, c in ratios().items()]))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    named = let(found.select("_rec", *MEASURES, "_m.*"), base_failed=failed)
     kept = reduce(lambda a, b: a & b, [F.coalesce(r.holds(), F.lit(False)) for r in rules], ~F.col("base_failed"))
-    return with_ratios.withColumn("kept", kept).drop("_m")
+    return w.unrecord(named.withColumn("kept", kept), *MEASURES, *ratios(), "base_failed", "kept")

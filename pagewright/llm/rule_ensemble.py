@@ -30,13 +30,13 @@ STATISTICS = ("n_words", "mean_word_chars", "symbols_per_word", "stop_word_share
               "again_share", "upper_share", "marks_per_word", "mean_line_words")
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the STATISTICS of each whole text, all numbers; 0 where a divisor is 0.
+def statistics(held: DataFrame) -> DataFrame:
+    """Add to ``held`` (_rec, _text) the STATISTICS of each whole text, all numbers; 0 where a divisor is 0.
 
     Shares are per word: in stop words, in repeated eight-word windows, distinct,
     equal to the word before, in capitals; marks are ! and ?.
     """
-    base = let(quality_rules.measures(docs, text), _words=w.space_words(F.col(text)))
+    base = let(quality_rules.measures(held), _words=w.space_words(F.col("_text")))
     n = F.col("n_words").cast("double")
     again = F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: F.when(a == b, 1))
 
@@ -44,16 +44,16 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
     out = {name: F.coalesce(c, F.lit(0.0)) for name, c in quality_rules.ratios().items()}
-    letters = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{Lu}]", ""))
+    letters = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{Lu}]", ""))
     out |= {
         "repeat_share": share(F.col("n_repeat_words")), "distinct_share": share(F.size(F.array_distinct("_words"))),
         "again_share": share(F.size(F.array_compact(again))), "upper_share": share(capitals, letters.cast("double")),
-        "marks_per_word": share(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^!?]", ""))),
+        "marks_per_word": share(F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), "[^!?]", ""))),
         "mean_line_words": share(F.col("n_words"), F.col("n_lines").cast("double")),
     }
     found = let(base, _s=F.struct(n.alias("n_words"), *[c.alias(name) for name, c in out.items()]))
-    return found.select(*[f"`{c}`" for c in docs.columns], *[F.col("_s")[c].alias(c) for c in STATISTICS])
+    return found.select("_rec", *[F.col("_s")[c].alias(c) for c in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, seed: in
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(chance * 1_000_000))
     drawn = drawn.select("doc_id", F.col("quality").cast("double").alias("label"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    sample = statistics(chosen).select("doc_id", "label", *STATISTICS)
+    held = chosen.select(F.struct("doc_id", "label").alias("_rec"), F.col("text").alias("_text"))
+    sample = statistics(held).select("_rec.doc_id", "_rec.label", *STATISTICS)
     # One layout of the sample for any layout of the input, so a rerun draws the same trees.
     ordered = stage(sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", *STATISTICS, "label"), "labelled")
     return fit(ordered.drop("doc_id"), seed)
@@ -157,6 +158,14 @@ def score_documents(docs: DataFrame, model: RuleModel, least: float = 0.7) -> Da
     Null and empty texts have statistics 0 and are scored like any other; equal
     rows score equally; columns called like the results are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", *STATISTICS)]
-    found = let(statistics(docs.select(*kept)), score=model.score())
-    return found.withColumn("predicted", (F.col("score") >= least).cast("int")).select(*kept, "score", "predicted")
+    return w.unrecord(_scored(docs, model, least), "score", "predicted")
+
+
+def _scored(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
+    found = let(statistics(w.record(docs, _text=F.col("text"))), score=model.score())
+    return found.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns as they were."""
+    return w.unrecord(_scored(docs, model, least).filter("predicted = 1"))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import words as w
+
 RANGES = 1024
 SAMPLES_PER_RANGE = 16
 LOWEST = -(2**63)
@@ -77,8 +79,7 @@ def shard(rows: DataFrame, key: Column, tie: Column, size: Column, n_shards: int
     can tell.  An empty table gives an empty one.  Columns that ``rows`` carries
     pass through; columns called shard or slot are replaced.
     """
-    rows = rows.drop("shard", "slot")
-    keyed = rows.withColumns({"_key": F.xxhash64(key, F.lit(1)), "_tie": F.xxhash64(tie, F.lit(2)), "_size": size.cast("long")})
+    keyed = w.record(rows, _key=F.xxhash64(key, F.lit(1)), _tie=F.xxhash64(tie, F.lit(2)), _size=size.cast("long"))
     slim = keyed.select("_key", "_tie", "_size")
     total, n = slim.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
     splitters = sample_splitters(slim, total, ranges)
@@ -100,7 +101,7 @@ def shard(rows: DataFrame, key: Column, tie: Column, size: Column, n_shards: int
     dealt = keyed.select("*", in_range).withColumn("_part", part).join(F.broadcast(placed), ["_range", "_part"])
     order = Window.partitionBy("_range", "_part").orderBy("_key", "_tie")
     slot = F.col("_before") + F.row_number().over(order) - 1
-    return dealt.withColumn("slot", slot).select(*[f"`{c}`" for c in rows.columns], "shard", "slot")
+    return w.unrecord(dealt.withColumn("slot", slot), "shard", "slot")
 
 
 def _layout(cells: pd.DataFrame, total: int, n_shards: int) -> pd.DataFrame:

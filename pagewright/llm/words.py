@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space between words, and the characters that end a benchmark word.
@@ -45,6 +45,17 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def record(docs: DataFrame, **named: Column) -> DataFrame:
+    """All columns of ``docs`` as one, ``_rec``, beside named ones, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), *[c.alias(n) for n, c in named.items()])
+
+
+def unrecord(df: DataFrame, *more: str, but: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``_rec``, less those named in ``but`` or replaced by ``more``, and ``more``."""
+    inner = [c for c in df.schema["_rec"].dataType.names if c not in (*more, *but)]
+    return df.select(*[F.col("_rec")[c].alias(c) for c in inner], *more)
+
+
 # --- numpy: all words of a batch of texts at once -------------------------------------
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
