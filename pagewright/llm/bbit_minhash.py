@@ -6,9 +6,10 @@ set are one class from the start.  Classes that share a band key are compared by
 the bit counts of their packed words, corrected for chance collisions, and what
 may be similar is confirmed on the full shingle sets.
 
-A band key shared by very many classes is not compared pair by pair: all are
-compared with one of them first, those found linked become one component, and
-only pairs across components are left for the last turn.
+The classes that share a band key are first compared with one of them, a hub, and
+those found linked become one component; so copies of one text, however many,
+take a comparison each.  Only what the hubs have not joined is then compared
+across components; that join confirms its pairs itself and gives out links alone.
 """
 
 from __future__ import annotations
@@ -152,8 +153,8 @@ def _similar_sizes(n: str, m: str) -> Column:
     return (100 * F.least(n, m)) >= (SIMILAR * F.greatest(n, m))
 
 
-def _side(members: DataFrame, name: str) -> DataFrame:
-    return members.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("cid", "label", "n")],
+def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
+    return members.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("cid", "label", "n", *more)],
                           *[F.col("packed")[i].alias(f"{name}_{i}") for i in range(PACKED)])
 
 
@@ -171,10 +172,24 @@ def hub_candidates(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
-def cross_candidates(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of a band key whose components differ and whose estimate is high enough."""
-    left, right = _side(members, "a"), _side(members, "b")
-    pairs = left.join(right, "key").filter((F.col("a_cid") < F.col("b_cid")) & _may_link())
+def _shares_enough(a: str, b: str) -> Column:
+    """common >= 85 % of the union, the union being the sum of the sizes less what is common."""
+    return (100 + SIMILAR) * F.size(F.array_intersect(a, b)) >= SIMILAR * (F.size(a) + F.size(b))
+
+
+def cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) between members of a band key whose components differ.
+
+    Members without any partner of a high enough estimate are left out first; the
+    shingle sets of the others travel with them, so that the join itself confirms
+    its pairs and only links come out of it.
+    """
+    left, right = _side(members, "a"), _side(members, "b").withColumnRenamed("key", "b_key")
+    found = left.join(right, (F.col("key") == F.col("b_key")) & _may_link(), "left_semi")
+    live = stage(members.join(found.select("key", F.col("a_cid").alias("cid")), ["key", "cid"], "left_semi"), "live")
+    held = live.join(sets, "cid")
+    left, right = (_side(held, x, "shingles") for x in "ab")
+    pairs = left.join(right, "key").filter((F.col("a_cid") < F.col("b_cid")) & _may_link() & _shares_enough("a_shingles", "b_shingles"))
     return pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
@@ -182,8 +197,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets share at least 85 % of their union."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("_a")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("_b")), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(100 * common >= SIMILAR * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    return both.filter(_shares_enough("_a", "_b")).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,8 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = classes.limit(0).select(F.col("cid").alias("id"), F.col("cid").alias("label"))
     for turn in range(HUB_TURNS + 1):
         named = stage(_labelled(members, labels), "open-bands")
-        pairs = hub_candidates(named, turn) if turn < HUB_TURNS else cross_candidates(named)
-        found = stage(confirmed(pairs, sets), "links")
+        found = confirmed(hub_candidates(named, turn), sets) if turn < HUB_TURNS else cross_links(named, sets)
+        found = stage(found, "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     firsts = classes.select("cid", "first", *same).join(labels.withColumnRenamed("id", "cid"), "cid", "left")
