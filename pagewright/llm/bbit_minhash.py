@@ -259,7 +259,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stay = best.unionByName(found.filter("group IS NULL").select("doc_id", "text_hash"))
     keys = stay.select(F.struct("doc_id", "text_hash").alias("_key"))
     keyed = w.record(docs, _key=F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
-    return w.unrecord(keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"]))
+    return w.unrecord(keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"]), docs.columns)
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -192,8 +192,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with their texts less the lines that go; lines without words stay."""
     classes, _ = near_lines(docs)
-    kept = classes.filter(~F.col("near")).groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("_kept"))
-    same_row = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
-    joined = docs.join(kept, same_row, "left").select(*[docs[c] for c in docs.columns], "_kept")
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~x.rlike(w.NOT_SPACE) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
-    return joined.withColumn("text", F.array_join(rest, "\n")).drop("_kept")
+    kept = classes.filter(~F.col("near")).groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(F.collect_list("line").alias("_kept"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    joined = w.record(docs, _text=F.col("text"), _key=key).join(kept, "_key", "left")
+    rest = F.filter(F.split("_text", "\n", -1), lambda x, i: ~x.rlike(w.NOT_SPACE) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
+    return w.unrecord(joined.withColumn("text", F.array_join(rest, "\n")), docs.columns, "text")

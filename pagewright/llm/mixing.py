@@ -182,4 +182,4 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     copies = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
     often = shares.select("_key", copies.alias("_copies")).filter("_copies > 0")
     keyed = w.record(docs, _key=F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    return w.unrecord(keyed.join(often, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    return w.unrecord(keyed.join(often, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)

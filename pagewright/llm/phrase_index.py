@@ -199,4 +199,4 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a hit word, with all their columns."""
     hit = contamination(docs, items).filter("contaminated").select(F.col("doc").alias("_key"))
     keyed = w.record(docs, _key=F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    return w.unrecord(keyed.join(hit, "_key", "left_anti"))
+    return w.unrecord(keyed.join(hit, "_key", "left_anti"), docs.columns)

@@ -89,7 +89,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_s
 
 
 def measures(held: DataFrame) -> DataFrame:
-    """Add to ``held`` (_rec, _text) n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words.
+    """Add to ``held`` (recorded columns, _text) n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words.
 
     Lines are cut at newlines and count if they hold a word.  A repeated word is
     one within an eight-word window found twice or more in its text, the first
@@ -133,6 +133,6 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     """
     found = let(measures(w.record(docs, _text=F.col(text))), _m=F.struct(*[c.alias(n) for n, c in ratios().items()]))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    named = let(found.select("_rec", *MEASURES, "_m.*"), base_failed=failed)
+    named = let(found.select(*w.recorded(found), *MEASURES, "_m.*"), base_failed=failed)
     kept = reduce(lambda a, b: a & b, [F.coalesce(r.holds(), F.lit(False)) for r in rules], ~F.col("base_failed"))
-    return w.unrecord(named.withColumn("kept", kept), *MEASURES, *ratios(), "base_failed", "kept")
+    return w.unrecord(named.withColumn("kept", kept), docs.columns, *MEASURES, *ratios(), "base_failed", "kept")

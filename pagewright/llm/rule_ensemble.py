@@ -31,7 +31,7 @@ STATISTICS = ("n_words", "mean_word_chars", "symbols_per_word", "stop_word_share
 
 
 def statistics(held: DataFrame) -> DataFrame:
-    """Add to ``held`` (_rec, _text) the STATISTICS of each whole text, all numbers; 0 where a divisor is 0.
+    """Add to ``held`` (recorded columns, _text) the STATISTICS of each whole text, all numbers; 0 where a divisor is 0.
 
     Shares are per word: in stop words, in repeated eight-word windows, distinct,
     equal to the word before, in capitals; marks are ! and ?.
@@ -53,7 +53,7 @@ def statistics(held: DataFrame) -> DataFrame:
         "mean_line_words": share(F.col("n_words"), F.col("n_lines").cast("double")),
     }
     found = let(base, _s=F.struct(n.alias("n_words"), *[c.alias(name) for name, c in out.items()]))
-    return found.select("_rec", *[F.col("_s")[c].alias(c) for c in STATISTICS])
+    return found.select(*w.recorded(found), "_s.*")
 
 
 @dataclass(frozen=True)
@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, seed: in
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(chance * 1_000_000))
     drawn = drawn.select("doc_id", F.col("quality").cast("double").alias("label"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    held = chosen.select(F.struct("doc_id", "label").alias("_rec"), F.col("text").alias("_text"))
-    sample = statistics(held).select("_rec.doc_id", "_rec.label", *STATISTICS)
+    held = w.record(chosen.select("doc_id", "label", "text"), _text=F.col("text")).drop("_r2")
+    sample = w.unrecord(statistics(held), ["doc_id", "label"], *STATISTICS)
     # One layout of the sample for any layout of the input, so a rerun draws the same trees.
     ordered = stage(sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", *STATISTICS, "label"), "labelled")
     return fit(ordered.drop("doc_id"), seed)
@@ -158,7 +158,7 @@ def score_documents(docs: DataFrame, model: RuleModel, least: float = 0.7) -> Da
     Null and empty texts have statistics 0 and are scored like any other; equal
     rows score equally; columns called like the results are replaced.
     """
-    return w.unrecord(_scored(docs, model, least), "score", "predicted")
+    return w.unrecord(_scored(docs, model, least), docs.columns, "score", "predicted")
 
 
 def _scored(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
@@ -168,4 +168,4 @@ def _scored(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
 
 def accepted(docs: DataFrame, model: RuleModel, least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with all their columns as they were."""
-    return w.unrecord(_scored(docs, model, least).filter("predicted = 1"))
+    return w.unrecord(_scored(docs, model, least).filter("predicted = 1"), docs.columns)

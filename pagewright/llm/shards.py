@@ -101,7 +101,7 @@ def shard(rows: DataFrame, key: Column, tie: Column, size: Column, n_shards: int
     dealt = keyed.select("*", in_range).withColumn("_part", part).join(F.broadcast(placed), ["_range", "_part"])
     order = Window.partitionBy("_range", "_part").orderBy("_key", "_tie")
     slot = F.col("_before") + F.row_number().over(order) - 1
-    return w.unrecord(dealt.withColumn("slot", slot), "shard", "slot")
+    return w.unrecord(dealt.withColumn("slot", slot), rows.columns, "shard", "slot")
 
 
 def _layout(cells: pd.DataFrame, total: int, n_shards: int) -> pd.DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +48,19 @@ def bind(value: Column, use) -> Column:
 
 
 def record(docs: DataFrame, **named: Column) -> DataFrame:
-    """All columns of ``docs`` as one, ``_rec``, beside named ones, so that no name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), *[c.alias(n) for n, c in named.items()])
+    """All columns of ``docs`` renamed by number, beside named ones, so that no name can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(docs.columns)], *[c.alias(n) for n, c in named.items()])
+
+
+def recorded(held: DataFrame) -> list[str]:
+    """The columns that ``record`` renamed."""
+    return [c for c in held.columns if re.fullmatch(r"_r\d+", c)]
 
 
-def unrecord(df: DataFrame, *more: str, but: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of ``_rec``, less those named in ``but`` or replaced by ``more``, and ``more``."""
-    inner = [c for c in df.schema["_rec"].dataType.names if c not in (*more, *but)]
-    return df.select(*[F.col("_rec")[c].alias(c) for c in inner], *more)
+def unrecord(held: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The recorded columns under their ``names`` again, replaced by or followed by ``more``."""
+    back = [F.col(c) if c in more else F.col(f"_r{i}").alias(c) for i, c in enumerate(names)]
+    return held.select(*back, *[c for c in more if c not in names])
 
 
 # --- numpy: all words of a batch of texts at once -------------------------------------
