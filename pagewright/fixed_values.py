@@ -45,7 +45,6 @@ SENTENCE_END = ".!?。！？"
 KANA_SHARE = 0.02
 HANGUL_SHARE = 0.05
 HAN_SHARE = 0.05
-DETECT_CHARS = 2000
 
 LANGUAGE_NAMES = {
     "zho_Hant": "正體中文（繁體）",

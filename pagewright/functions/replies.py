@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,12 +59,17 @@ def parse_overview(raw: Column) -> Column:
 def to_traditional(text: Column, characters: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
     """Map simplified to traditional script with the caller's table.
 
-    Phrases go first, longest first, so that a phrase overrides its characters.
+    One pass from the left: at each place the longest phrase that starts there is
+    taken, else the character; each piece is looked up once, so what a phrase
+    gives is not mapped again.
     """
-    out = text
-    for phrase in sorted(phrases or {}, key=lambda p: (-len(p), p)):
-        out = F.replace(out, F.lit(phrase), F.lit(phrases[phrase]))
-    return F.translate(out, "".join(characters), "".join(characters.values()))
+    if not phrases:
+        return F.translate(text, "".join(characters), "".join(characters.values()))
+    longest = sorted(phrases, key=lambda p: (-len(p), p))
+    piece = "|".join([*(re.escape(p) for p in longest), r"(?s:.)"])
+    table = F.create_map(*[F.lit(x) for pair in {**characters, **phrases}.items() for x in pair])
+    pieces = F.regexp_extract_all(text, F.lit(f"({piece})"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
 def completion(body: Column) -> Column:

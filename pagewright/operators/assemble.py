@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import report as rp
 from ..functions.codes import report_url
-from .joins import salted_lookup
-
-# Segments nested in one result row; a longer document continues in the next part.
-SEGMENTS_PER_ROW = 1024
-
 
 def assemble_segments(chunks: DataFrame, summaries: DataFrame | None = None,
                       translations: DataFrame | None = None) -> DataFrame:
@@ -27,8 +22,12 @@ def assemble_segments(chunks: DataFrame, summaries: DataFrame | None = None,
     return out
 
 
-def nest_segments(segments: DataFrame, per_row: int = SEGMENTS_PER_ROW) -> DataFrame:
-    """(doc_id, part, segments): arrays in index order, at most ``per_row`` long."""
+def nest_segments(segments: DataFrame, per_row: int) -> DataFrame:
+    """(doc_id, part, segments): pages of ``per_row`` segments in index order, to show or to send.
+
+    Nothing is stored in this form: results are stored as one header row
+    (``result_json``) and flat segments, whatever their number.
+    """
     row = F.struct("index", "original", "translated", "summary")
     return (
         segments.withColumn("part", F.floor(F.col("index") / per_row))
@@ -57,16 +56,15 @@ def document_results(page_counts: DataFrame, chunk_counts: DataFrame, languages:
     )
 
 
-def result_json(results: DataFrame, nested: DataFrame) -> DataFrame:
-    """(doc_id, part, result): the payload for cache and history.
+def result_json(results: DataFrame) -> DataFrame:
+    """(doc_id, result): the header that cache and history store, with the number of segments.
 
-    Almost every document is a single part; only segments run on in later ones.
+    The segments themselves are stored flat beside it (see ``state.cached_segments``).
     """
-    fields = ["language", "total_pages", "segments", "global_summary", "keywords",
+    fields = ["language", "total_pages", F.col("n_chunks").alias("n_segments"), "global_summary", "keywords",
               "wordcloud_image_url", "report_pdf_url"]
-    joined = salted_lookup(nested, results, "doc_id", F.col("part"), "inner")
     payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return joined.select("doc_id", "part", payload.alias("result"))
+    return results.select("doc_id", payload.alias("result"))
 
 
 def overview_blocks(summary: Column) -> list[Column]:

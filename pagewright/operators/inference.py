@@ -91,7 +91,10 @@ def run_batches(requests: DataFrame, factory: Callable[[], BatchTranslator], bat
                     started = time.perf_counter()
                     texts, error = [None] * len(batch), None
                     try:
-                        texts = translate([m[1]["content"] for m in batch["messages"]], source)
+                        said = list(translate([m[1]["content"] for m in batch["messages"]], source))
+                        if len(said) != len(batch):
+                            raise ValueError(f"{len(said)} translations for {len(batch)} sentences")
+                        texts = said
                     except Exception as problem:
                         error = str(problem) or type(problem).__name__
                     each = (time.perf_counter() - started) / len(batch)

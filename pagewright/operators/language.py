@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 from .frames import let
-from .joins import hot_keys
+from .joins import hot_keys, salted_lookup
 
 GRAM = 3
 MAX_BROADCAST_GRAMS = 100_000
@@ -23,7 +23,7 @@ def document_scripts(texts: DataFrame) -> DataFrame:
         F.col("dense"), F.col("han"), F.col("kana"), F.col("hangul")).alias("script"))
 
 
-def document_heads(chunks: DataFrame, chars: int = fv.DETECT_CHARS, max_chunk_chars: int = fv.CHUNK_CHARS) -> DataFrame:
+def document_heads(chunks: DataFrame, chars: int, max_chunk_chars: int = fv.CHUNK_CHARS) -> DataFrame:
     """The first ``chars`` characters of each document, chunks joined by a line break.
 
     Two neighbouring chunks together exceed the chunk budget, so a few leading
@@ -100,6 +100,12 @@ def classify(texts: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
+def undecided(scripts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, text) of all parts (doc_id, index, original) of documents whose script does not tell the language."""
+    told = scripts.filter("script IS NOT NULL").select("doc_id")
+    return salted_lookup(parts, told, "doc_id", F.col("index"), "left_anti").select("doc_id", F.col("original").alias("text"))
+
+
 def detect_language(scripts: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """(doc_id, language): the script's language, the classified one, else English."""
     if classified is None:

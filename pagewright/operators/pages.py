@@ -93,6 +93,6 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def first_chunks(chunks: DataFrame, max_chunks: int = fv.SCRIPT_MAX_CHUNKS) -> DataFrame:
+def first_chunks(chunks: DataFrame, max_chunks: int = 0) -> DataFrame:
     """The command-line variant's ``--max-chunks``; 0 keeps all."""
     return chunks.filter(F.col("index") < max_chunks) if max_chunks else chunks

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..session import stage
 from .frames import ordered_text
 from .windows import windows
 
-# Summaries that share one overview prompt.  A document with more of them gets
-# consecutive prompt parts, since one string cannot hold any number of texts.
+# Summaries that share one overview prompt.  A document with more of them is
+# asked level by level: the answers about its parts are the next level's summaries.
 SUMMARIES_PER_PROMPT = 1024
 
 
@@ -37,23 +40,45 @@ def summary_requests(chunks: DataFrame, max_tokens: int = fv.SUMMARY_TOKENS) ->
     return _request(chunks, "summary", F.lit(fv.SUMMARY_SYSTEM), user, fv.SUMMARY_TEMPERATURE, F.lit(max_tokens))
 
 
-def overview_prompts(summaries: DataFrame) -> DataFrame:
+def overview_prompts(summaries: DataFrame, per_prompt: int = SUMMARIES_PER_PROMPT) -> DataFrame:
     """(doc_id, part, joined): the labelled summaries (doc_id, index, text) in order."""
     label = F.concat(F.lit("[段落 "), (F.col("index") + 1).cast("string"), F.lit("]\n"), F.col("text"))
-    part = F.floor(F.col("index") / SUMMARIES_PER_PROMPT)
+    part = F.floor(F.col("index") / per_prompt)
     return summaries.withColumn("part", part).groupBy("doc_id", "part").agg(
         ordered_text(F.col("index"), label, "\n\n").alias("joined")
     )
 
 
-def overview_requests(summaries: DataFrame, max_tokens: int = fv.OVERVIEW_TOKENS) -> DataFrame:
-    """One request per document; ``index`` counts the parts of a very long one."""
-    lead = F.when(F.col("part") == 0, F.lit(fv.OVERVIEW_PREFIX)).otherwise("")
-    user = F.concat(lead, F.col("joined"))
-    return _request(overview_prompts(summaries), "overview", F.lit(fv.OVERVIEW_SYSTEM), user,
+def overview_requests(summaries: DataFrame, max_tokens: int = fv.OVERVIEW_TOKENS, per_prompt: int = SUMMARIES_PER_PROMPT) -> DataFrame:
+    """One request per document or, for a very long one, per part, counted by ``index``."""
+    user = F.concat(F.lit(fv.OVERVIEW_PREFIX), F.col("joined"))
+    return _request(overview_prompts(summaries, per_prompt), "overview", F.lit(fv.OVERVIEW_SYSTEM), user,
                     fv.SUMMARY_TEMPERATURE, F.lit(max_tokens), index="part")
 
 
+def overview_levels(summaries: DataFrame, ask: Callable[[DataFrame], DataFrame],
+                    per_prompt: int = SUMMARIES_PER_PROMPT) -> tuple[DataFrame, DataFrame]:
+    """(overviews, failures): one overview per document out of all of its summaries.
+
+    ``ask`` answers requests.  While a document has several answers, these are
+    summed up in turn.  A document of which any part fails is a failure
+    (doc_id, error) and has no overview.  Every level is stored; there are as many
+    as log(summaries) to the base ``per_prompt``.
+    """
+    overviews, failures, open_ = None, None, summaries
+    while True:
+        said = stage(ask(overview_requests(open_, per_prompt=per_prompt)), "overviews")
+        failed = said.filter("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "index").alias("error"))
+        good = said.join(failed.select("doc_id"), "doc_id", "left_anti")
+        many = good.filter("index > 0").select("doc_id").distinct()
+        whole = good.join(many, "doc_id", "left_anti")
+        overviews = whole if overviews is None else overviews.unionByName(whole)
+        failures = failed if failures is None else failures.unionByName(failed)
+        if many.isEmpty():
+            return overviews, failures
+        open_ = good.join(many, "doc_id", "left_semi").select("doc_id", "index", "text")
+
+
 def translation_windows(chunks: DataFrame, limit: int = fv.WINDOW_CHARS) -> DataFrame:
     """(doc_id, index, win_idx, window)."""
     return chunks.select("doc_id", "index", F.posexplode(windows(F.col("original"), limit)).alias("win_idx", "window"))

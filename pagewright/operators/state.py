@@ -26,6 +26,18 @@ def cache_upsert(cache: DataFrame, writes: DataFrame, *order: str) -> DataFrame:
     return latest(cache.unionByName(writes), "key", *(order or ("created_at",)))
 
 
+def cached_segments(hits: DataFrame, segments: DataFrame) -> DataFrame:
+    """All segments of cache hits: ``hits`` (doc_id, key, created_at) with ``segments`` (key, created_at, index, ...).
+
+    ``created_at`` is the version of the header that hit, so segments of a write
+    that was replaced are not mixed in.
+    """
+    wanted = hits.select("doc_id", F.struct("key", "created_at").alias("_version"))
+    stored = segments.withColumn("_version", F.struct("key", "created_at")).drop("key", "created_at")
+    return salted_lookup(stored, wanted.groupBy("_version").agg(F.collect_set("doc_id").alias("_docs")), "_version", F.col("index"), "inner").select(
+        F.explode("_docs").alias("doc_id"), *[c for c in stored.columns if c != "_version"])
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame, spread: str = "doc_id") -> DataFrame:
     """Requests with ``result`` (null = miss).  A ``refresh`` request never hits.
 

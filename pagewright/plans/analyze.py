@@ -39,6 +39,7 @@ class Analysis:
     wordcloud: DataFrame | None
     results: DataFrame
     payloads: DataFrame
+    stored_segments: DataFrame
     report: DataFrame | None
     events: DataFrame
 
@@ -50,9 +51,8 @@ def _failures(responses: DataFrame) -> DataFrame:
         F.min_by("error", first).alias("error"), F.min("index").alias("failed_after"))
 
 
-def _overview_failures(said: DataFrame, responses: DataFrame) -> DataFrame:
+def _overview_failures(failed: DataFrame, responses: DataFrame) -> DataFrame:
     """Documents whose overview failed, after all of their segments."""
-    failed = said.groupBy("doc_id").agg(F.min_by("error", "index").alias("error")).filter("error is not null")
     segments = responses.filter("kind = 'summary'").groupBy("doc_id").agg(F.count("*").alias("failed_after"))
     return failed.join(segments, "doc_id")
 
@@ -82,8 +82,7 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
     scripts = lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text")))
     classified = None
     if profile is not None:
-        heads = lg.document_heads(chunks, max_chunk_chars=config.max_chunk_chars)
-        classified = lg.classify(heads, profile)
+        classified = lg.classify(lg.undecided(scripts, chunks), profile)
     languages = stage(lg.detect_language(scripts, classified), "languages")
 
     replied = []
@@ -110,12 +109,9 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
         summaries = responses.filter("kind = 'summary'").select("doc_id", "index", "text")
         # A failed document ends there: it is asked for no overview and has no result.
         good = salted_lookup(summaries, failures.select("doc_id"), "doc_id", F.col("index"), "left_anti")
-        asked_overviews = rq.overview_requests(good)
-        said = stage(inf.run_inference(asked_overviews, client_factory, tasks), "overviews")
-        # A very long document was asked in parts; the first answers for it.
-        overviews = said.filter("index = 0").select(
-            "doc_id", replies.parse_overview(fixed(F.col("text"))).alias("global_summary"))
-        failures = failures.unionByName(_overview_failures(said, responses))
+        said, unsaid = rq.overview_levels(good, lambda asked: inf.run_inference(asked, client_factory, tasks))
+        overviews = said.select("doc_id", replies.parse_overview(fixed(F.col("text"))).alias("global_summary"))
+        failures = failures.unionByName(_overview_failures(unsaid, responses))
     if do_translate:
         translations = inf.merge_translations(responses, "\n" if config.by_windows else " ").select("doc_id", "index", "text")
 
@@ -147,6 +143,6 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
     })
     return Analysis(
         chunks=chunks, languages=languages, responses=responses, segments=segments, keywords=keywords, wordcloud=cloud,
-        results=results, payloads=asm.result_json(results, stage(asm.nest_segments(finished), "nested")),
+        results=results, payloads=asm.result_json(results), stored_segments=finished,
         report=asm.report_rows(results, finished) if do_report else None, events=pr.progress_events(state),
     )

@@ -17,7 +17,7 @@ from ..operators import requests as rq
 from ..operators.packing import chunk_pages as pack
 from ..session import stage
 from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES, html_text
-from ..sources.uploads import extract_pages, first_copies, text_pages as read_text_pages, validate, with_digest
+from ..sources.uploads import first_copies, split_pages, validate, with_digest
 from . import sql as q
 from .registry import query, table
 from .text_queries import _DETECT_SQL, KEPT_SQL, detected_languages, documents, headed_pages
@@ -67,9 +67,8 @@ n AS ({q.numbered('ps', 'p', 'doc_id', 'page', 'page_no')})
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(page_no AS BIGINT) AS page_no, {q.strip('page')} AS text FROM n""")
 def text_pages(spark, sf_dir):
     rows = documents(spark, sf_dir).select(
-        F.col("doc_id").cast("string").alias("doc_id"),
-        F.encode(F.replace("text", F.lit("\n"), F.lit("\f")), "UTF-8").alias("content"))
-    return extract_pages(rows, lambda: read_text_pages)
+        F.col("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
+    return split_pages(rows)
 
 
 def _html_sql() -> str:
@@ -163,7 +162,7 @@ def translation_requests(spark, sf_dir):
        + _flat_sql("head WHERE idx < 3", "translation", fv.TRANSLATE_SYSTEM.format(name="日本語"), "h", 0.2,
                    "least(2048, length(h) // 2 + 400)"))
 def sample_requests(spark, sf_dir):
-    return _flat(rq.sample_requests(pg.first_chunks(_chunks(spark, sf_dir)), "jpn_Jpan"))
+    return _flat(rq.sample_requests(pg.first_chunks(_chunks(spark, sf_dir), fv.SCRIPT_MAX_CHUNKS), "jpn_Jpan"))
 
 
 _OVERVIEW_SQL = ("o AS (SELECT conv_id AS doc_id, turn // 1024 AS part, "
@@ -173,12 +172,37 @@ _OVERVIEW_SQL = ("o AS (SELECT conv_id AS doc_id, turn // 1024 AS part, "
 
 @query(f"WITH {_OVERVIEW_SQL} " + _flat_sql(
     "o", "overview", fv.OVERVIEW_SYSTEM,
-    f"CASE WHEN part = 0 THEN {q.text(fv.OVERVIEW_PREFIX)} ELSE '' END || joined", 0.3, "1400", index="part"))
+    f"{q.text(fv.OVERVIEW_PREFIX)} || joined", 0.3, "1400", index="part"))
 def global_request(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("index"), "text")
     return _flat(rq.overview_requests(turns))
 
 
+def _repeat_texts(asked: DataFrame) -> DataFrame:
+    """A stand-in model for overviews: says again what it was given."""
+    said = F.substring(F.col("messages")[1]["content"], len(fv.OVERVIEW_PREFIX) + 1, 2**31 - 1)
+    return asked.select("doc_id", "index", said.alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+def _level_sql(source: str, doc: str, index: str) -> str:
+    return (f"SELECT {doc} AS doc_id, {index} // 4 AS idx, string_agg('[段落 ' || ({index} + 1) || ']' || chr(10) || text, chr(10) || chr(10) "
+            f"ORDER BY {index}) AS text FROM {source} GROUP BY 1, 2")
+
+
+# Three levels of four are 64 texts; what needs fewer levels stays as it is.
+@query(f"""WITH one AS ({_level_sql('conversations', 'conv_id', 'turn')}),
+more AS (SELECT doc_id FROM one WHERE idx > 0),
+two AS ({_level_sql('(SELECT * FROM one WHERE doc_id IN (SELECT doc_id FROM more))', 'doc_id', 'idx')}),
+most AS (SELECT doc_id FROM two WHERE idx > 0),
+three AS ({_level_sql('(SELECT * FROM two WHERE doc_id IN (SELECT doc_id FROM most))', 'doc_id', 'idx')})
+SELECT doc_id, text FROM one WHERE doc_id NOT IN (SELECT doc_id FROM more)
+UNION ALL SELECT doc_id, text FROM two WHERE doc_id NOT IN (SELECT doc_id FROM most) UNION ALL SELECT doc_id, text FROM three""")
+def overview_levels(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("index"), "text")
+    said, _ = rq.overview_levels(turns, _repeat_texts, per_prompt=4)
+    return said.select("doc_id", "text")
+
+
 _REPLY_SQL = ("'intro' || chr(10) || '## 1. 結論：' || chr(10) || text || chr(10) || '**關鍵數據**' || chr(10) || role "
               "|| chr(10) || '風險 / 限制' || chr(10) || '  ' || chr(10) || '結論' || chr(10) || 'again' || chr(10) || '> 行動建議:' "
               "|| chr(10) || ' ' || text || chr(10) || turn")
@@ -254,7 +278,7 @@ def _segments(chunks: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PAGES_SQL}, {q.packed('pages_in')}, {_SEGMENT_SQL}
 SELECT doc_id, idx // 1024 AS part, idx, original, translated, summary FROM seg""")
 def segments_nested(spark, sf_dir):
-    nested = asm.nest_segments(_segments(_chunks(spark, sf_dir)))
+    nested = asm.nest_segments(_segments(_chunks(spark, sf_dir)), 1024)
     flat = nested.select("doc_id", "part", F.inline("segments"))
     return flat.withColumnRenamed("index", "idx")
 
@@ -279,8 +303,8 @@ def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     words = kw.keyword_arrays(kw.frequency_keywords(texts))
     turns = table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("src"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("index"), "text")
-    reply = F.concat(F.lit("結論\n"), "joined", F.lit("\n行動\n"), "doc_id")
-    overviews = rq.overview_prompts(turns).filter("part = 0").select(
+    reply = F.concat(F.lit("結論\n"), "text", F.lit("\n行動\n"), "doc_id")
+    overviews = rq.overview_levels(turns, _repeat_texts)[0].select(
         "doc_id", replies.parse_overview(reply).alias("global_summary"))
     results = asm.document_results(pg.page_counts(raw), pg.chunk_counts(chunks), languages, words, overviews)
     return results, chunks

@@ -153,16 +153,16 @@ def language_profile(spark, sf_dir):
 _DETECT_SQL = f"""src AS (SELECT source AS doc_id, idx, original FROM (SELECT doc_id AS source, idx, original FROM chunks)),
 sums AS (SELECT doc_id, sum({q.dense('original')}) AS d, sum({q.count('original', q.HAN)}) AS han,
          sum({q.count('original', q.KANA)}) AS kana, sum({q.count('original', q.HANGUL)}) AS hangul FROM chunks GROUP BY doc_id),
-heads AS (SELECT doc_id, left(string_agg(original, chr(10) ORDER BY idx), 2000) AS text FROM chunks GROUP BY doc_id),
-{q.profile_scores('documents', 'heads')},
+wholes AS (SELECT doc_id, original AS text FROM chunks),
+{q.profile_scores('documents', 'wholes')},
 detected AS (SELECT s.doc_id, coalesce({q.script('s.d', 's.han', 's.kana', 's.hangul')}, b.language, 'en') AS language
     FROM sums s LEFT JOIN best b USING (doc_id))"""
 
 
 def detected_languages(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    scripts = lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text")))
+    scripts = stage(lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text"))), "scripts")
     profile = stage(lg.train_profile(docs.select("lang", "text")), "profile")
-    return lg.detect_language(scripts, lg.classify(lg.document_heads(chunks), profile))
+    return lg.detect_language(scripts, lg.classify(lg.undecided(scripts, chunks), profile))
 
 
 _LANG_PAGES_SQL = (f"paged AS (SELECT source || '-' || lang AS doc_id, doc_id AS page_no, "
@@ -313,11 +313,12 @@ def clip_sentence(spark, sf_dir):
 
 
 _S2T = {"的": "的", "一": "壹", "是": "昰", "不": "卜", "了": "瞭"}
-_S2T_PHRASES = {"是不": "實否", "是": "視"}
+_S2T_PHRASES = {"是不": "不是", "是": "視"}
 
 
-@query("""SELECT doc_id, translate(replace(replace(translate(text, 'aeiou', '的一是不了'), '是不', '實否'), '是', '視'),
-'的一是不了', '的壹昰卜瞭') AS fixed FROM documents""")
+# What a phrase gives holds characters that the table maps too; marks keep it from being mapped again.
+@query("""SELECT doc_id, replace(translate(replace(translate(text, 'aeiou', '的一是不了'), '是不', chr(57345)),
+'的一是不了', '的壹視卜瞭'), chr(57345), '不是') AS fixed FROM documents""")
 def traditional_map(spark, sf_dir):
     han = F.translate("text", "aeiou", "的一是不了")
     return documents(spark, sf_dir).select("doc_id", replies.to_traditional(han, _S2T, _S2T_PHRASES).alias("fixed"))

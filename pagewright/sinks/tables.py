@@ -20,9 +20,11 @@ def write_uploads(uploads: DataFrame, first: DataFrame, path: str, order: str) -
     """Each distinct content once, in folders by the head of its digest.
 
     ``first`` names the copy to keep (see ``sources.uploads.first_copies``), so
-    the contents of the other copies are dropped before they are shuffled.
+    the contents of the other copies are dropped before they are shuffled.  A copy
+    is named by ``order`` and digest together, since file names repeat; should the
+    full name and the content repeat too, one of the rows is written.
     """
-    kept = uploads.join(first.select(order), order, "left_semi")
+    kept = uploads.join(first.select(order, "digest"), [order, "digest"], "left_semi").dropDuplicates(["digest"])
     kept.withColumn("shard", F.left("digest", F.lit(2))).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

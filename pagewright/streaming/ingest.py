@@ -34,7 +34,7 @@ def store_uploads(uploads: DataFrame, out: str, checkpoint: str, order: str = "f
         if batch_id > 0:
             stored = spark.read.schema(STORED).parquet(out).filter(F.col("part") < batch_id)
             first = first.join(stored.select("digest"), "digest", "left_anti")
-        kept = batch.join(first.select(order, "digest"), [order, "digest"], "left_semi")
+        kept = batch.join(first.select(order, "digest"), [order, "digest"], "left_semi").dropDuplicates(["digest"])
         kept.write.mode("overwrite").parquet(f"{out}/part={batch_id}")
 
     writer = uploads.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

@@ -132,9 +132,11 @@ def test_detected_language_falls_back_to_english(spark):
                                    "doc_id string, index int, original string")
     scripts = lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text")))
     profile = lg.train_profile(spark.createDataFrame([("fr", "le chat le chien")], "lang string, text string")).cache()
-    heads = lg.document_heads(chunks)
+    heads = lg.document_heads(chunks, 2000)
     assert {r.doc_id: r.text for r in heads.collect()}["fr"] == "le chat\nle chien"
-    got = dict(map(tuple, lg.detect_language(scripts, lg.classify(heads.filter("doc_id != 'x'"), profile)).collect()))
+    open_ = lg.undecided(scripts, chunks)
+    assert sorted(r.doc_id for r in open_.collect()) == ["fr", "fr", "x"]
+    got = dict(map(tuple, lg.detect_language(scripts, lg.classify(open_.filter("doc_id != 'x'"), profile)).collect()))
     assert got == {"zh": "zh", "x": "en", "fr": "fr"}
     assert dict(map(tuple, lg.detect_language(scripts).collect())) == {"zh": "zh", "x": "en", "fr": "en"}
 
@@ -162,15 +164,33 @@ def test_requests(spark):
     assert pg.first_chunks(chunks, 1).count() == 1 and pg.first_chunks(chunks, 0).count() == 2
 
 
-def test_overview_prompt_is_cut_only_for_very_long_documents(spark, monkeypatch):
+def test_every_summary_reaches_the_overview(spark):
     rows = spark.createDataFrame([("d", i, f"s{i}") for i in (2, 0, 1)], "doc_id string, index int, text string")
     whole = rq.overview_requests(rows).collect()
     assert len(whole) == 1
     body = "[段落 1]\ns0\n\n[段落 2]\ns1\n\n[段落 3]\ns2"
     assert whole[0].messages[1].content == fv.OVERVIEW_PREFIX + body
-    monkeypatch.setattr(rq, "SUMMARIES_PER_PROMPT", 2)
-    parts = rq.overview_requests(rows).orderBy("index").collect()
-    assert "\n\n".join(p.messages[1].content for p in parts) == fv.OVERVIEW_PREFIX + body
+    parts = rq.overview_requests(rows, per_prompt=2).orderBy("index").collect()
+    assert [p.messages[1].content for p in parts] == [fv.OVERVIEW_PREFIX + x for x in ("[段落 1]\ns0\n\n[段落 2]\ns1", "[段落 3]\ns2")]
+
+    many = spark.range(1500).selectExpr("'long' AS doc_id", "id AS index", "concat('s', id) AS text").unionByName(
+        spark.createDataFrame([("bad", 0, "s0"), ("bad", 5, "broken"), ("short", 0, "s0")], "doc_id string, index long, text string"))
+
+    def ask(asked):
+        said = F.col("messages")[1]["content"]
+        error = F.when(said.contains("broken"), "no answer")
+        return asked.select("doc_id", "index", F.when(error.isNull(), said).alias("text"), error.alias("error"))
+
+    said, failed = rq.overview_levels(many, ask, per_prompt=10)
+    got = {r.doc_id: r.text for r in said.collect()}
+    assert set(got) == {"long", "short"} and all(f"\ns{i}" in got["long"] for i in (0, 9, 10, 777, 1499))
+    assert [tuple(r) for r in failed.collect()] == [("bad", "no answer")]
+
+
+def test_a_translator_of_the_wrong_length_is_an_error(spark):
+    chunks = spark.createDataFrame([("d", 0, "One. Two. Three.")], "doc_id string, index int, original string")
+    out = inf.run_batches(rq.sentence_requests(chunks, F.lit("eng_Latn")), lambda: lambda texts, source: texts[1:], tasks=1).collect()
+    assert len(out) == 3 and all(r.text is None and "for" in r.error for r in out)
 
 
 def test_inference_records_failures(spark):
@@ -201,7 +221,7 @@ def test_segments_and_report(spark):
     chunks = spark.createDataFrame([("d", 1, "second"), ("d", 0, "first & last")], "doc_id string, index int, original string")
     summaries = spark.createDataFrame([("d", 0, "sum")], "doc_id string, index int, text string")
     segments = asm.assemble_segments(chunks, summaries)
-    nested = asm.nest_segments(segments).first()
+    nested = asm.nest_segments(segments, per_row=10).first()
     assert [(s["index"], s.summary) for s in nested.segments] == [(0, "sum"), (1, None)]
     assert asm.nest_segments(segments, per_row=1).count() == 2
 

@@ -157,6 +157,10 @@ def test_uploads(spark, tmp_path):
     sinks.write_uploads(keyed, first, out, "filename")
     sinks.write_uploads(keyed, first, out, "filename")
     assert spark.read.parquet(out).count() == 3
+    again = spark.createDataFrame([("a.pdf", b"X"), ("b.pdf", b"X"), ("b.pdf", b"Y"), ("a.pdf", b"X")], "filename string, content binary")
+    again = up.with_digest(again)
+    sinks.write_uploads(again, up.first_copies(again, "filename"), str(tmp_path / "again"), "filename")
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 2
 
     docs_in = keyed.select(F.col("filename").alias("doc_id"), "content")
 
@@ -266,7 +270,7 @@ def test_analysis_end_to_end(spark):
     assert good.global_summary.conclusion == "好" and good.global_summary.action == "go"
     assert good.report_pdf_url == "/documents/good/report.pdf" and "line" in good.keywords
     payload = json.loads(out.payloads.filter("doc_id = 'good'").first().result)
-    assert [s["index"] for s in payload["segments"]] == [0, 1] and payload["wordcloud_image_url"] is None
+    assert sorted(r["index"] for r in out.stored_segments.collect()) == [0, 1] and payload["n_segments"] == 2 and payload["wordcloud_image_url"] is None
     ends = {(r.doc_id, r.type, r.message) for r in out.events.filter("progress = 100").collect()}
     assert ends == {("good", "result", fv.MSG_DONE), ("bad", "error", "處理失敗：model down"), ("empty", "error", fv.MSG_NO_TEXT)}
     assert {r.doc_id for r in out.report.collect()} == {"good"}
@@ -278,3 +282,14 @@ def test_analysis_end_to_end(spark):
 
     plain = analyze(pages, Config(target_lang="eng_Latn"), factory, "translate")
     assert plain.responses.count() == 0 and plain.report is None and plain.keywords is None
+
+
+def test_all_segments_come_back_from_the_cache(spark):
+    headers = spark.createDataFrame([("k", 1.0, "old"), ("k", 2.0, "new"), ("other", 1.0, "o")], "key string, created_at double, result string")
+    cache = st.cache_upsert(headers.limit(0).select("key", "result", "created_at"), headers.select("key", "result", "created_at"))
+    rows = spark.range(1500).selectExpr("'k' AS key", "2.0D AS created_at", "id AS index", "concat('s', id) AS original")
+    stored = rows.unionByName(rows.limit(20).withColumn("created_at", F.lit(1.0)))
+    hits = spark.createDataFrame([("d1", "k"), ("d2", "k")], "doc_id string, key string").join(cache, "key")
+    got = st.cached_segments(hits, stored)
+    assert {(r.doc_id, r.n, r.top) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("index").alias("top")).collect()} == {
+        ("d1", 1500, 1499), ("d2", 1500, 1499)}

@@ -124,6 +124,8 @@ def test_upload_checks(spark):
 def test_traditional_prefers_long_phrases(one):
     table, phrases = {"发": "發", "头": "頭"}, {"头发": "頭髮", "头": "首"}
     assert one(lambda c: replies.to_traditional(c, table, phrases), ["头发", "发头", "x"]) == ["頭髮", "發首", "x"]
+    kept = {"皇后": "皇后"}
+    assert one(lambda c: replies.to_traditional(c, {"后": "後", "来": "來"}, kept), ["皇后来了", "后来", None, ""]) == ["皇后來了", "後來", None, ""]
 
 
 def test_image_uri_round_trip(one):
