@@ -60,9 +60,12 @@ def _overview_failures(failed: DataFrame, responses: DataFrame) -> DataFrame:
 def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.Client],
             features: str, ocr_pages: DataFrame | None = None, profile: DataFrame | None = None,
             fix_script: Callable | None = None, tasks: int | None = None,
-            translators: Mapping[str, Callable[[], inf.BatchTranslator]] | None = None) -> Analysis:
+            translators: Mapping[str, Callable[[], inf.BatchTranslator]] | None = None,
+            unread: DataFrame | None = None) -> Analysis:
     """Analyse every document of ``pages`` (doc_id, page_no, text).
 
+    ``unread`` (doc_id, error; see ``uploads.without_pages``) are documents
+    without pages, which get their events too.
     ``profile`` is a stored 3-gram profile for languages told apart by their
     letters only.  ``fix_script`` (Column -> Column) is applied to model output
     when the target is Traditional Chinese.  ``tasks`` is the number of tasks
@@ -136,6 +139,10 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
         state = state.withColumns({"error": F.lit(None).cast("string"), "failed_after": F.lit(None).cast("bigint")})
     else:
         state = state.join(failures, "doc_id", "left")
+    if unread is not None:
+        gone = unread.select("doc_id", "error", F.when(F.col("error").isNotNull(), -1).cast("bigint").alias("failed_after"),
+                             F.lit(0).cast("bigint").alias("total_pages"), F.lit("").alias("language"))
+        state = state.unionByName(gone, allowMissingColumns=True)
     skip = already_target(F.col("language"), config.target_lang) if do_translate else F.lit(False)
     state = state.withColumns({
         "n_chunks": F.coalesce("n_chunks", F.lit(0)), "skip_translation": skip, "do_summary": F.lit(do_summary),

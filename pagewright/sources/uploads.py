@@ -12,7 +12,7 @@ from ..functions.codes import digest, upload_status
 
 Extractor = Callable[[bytes], list[str]]
 
-_PAGE_COLUMNS = ["doc_id", "page_no", "text"]
+_READ_COLUMNS = ["doc_id", "page_no", "text", "error"]
 _FLUSH_CHARS = 16_000_000  # text held back in a task before it is handed on
 
 
@@ -53,33 +53,56 @@ def text_pages(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
-def extract_pages(uploads: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
-    """(doc_id, page_no, text) by the caller's extractor, one instance per task.
+def read_documents(uploads: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
+    """(doc_id, page_no, text, error) by the caller's extractor, one instance per task.
 
     ``uploads`` has doc_id and content.  Pages keep their order, blank pages
-    stay as empty strings; a document the extractor cannot read has no pages.
+    stay as empty strings.  A document that cannot be read, or that has no pages,
+    is one row without page_no, with the extractor's error if there was one.
+    Readings that several steps use should be stored.
     """
 
     def pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()
-        rows: list[tuple[str, int, str]] = []
+        rows: list[tuple[str, int | None, str | None, str | None]] = []
         chars = 0
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                error = None
                 try:
                     texts = [t.strip() for t in extract(bytes(content))]
-                except Exception:
-                    texts = []
+                except Exception as problem:
+                    texts, error = [], str(problem) or type(problem).__name__
                 for no, text in enumerate(texts):
-                    rows.append((doc_id, no, text))
+                    rows.append((doc_id, no, text, None))
                     chars += len(text)
                     if chars > _FLUSH_CHARS:
-                        yield pd.DataFrame(rows, columns=_PAGE_COLUMNS)
+                        yield frame(rows)
                         rows, chars = [], 0
+                if not texts:
+                    rows.append((doc_id, None, None, error))
         if rows:
-            yield pd.DataFrame(rows, columns=_PAGE_COLUMNS)
+            yield frame(rows)
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_READ_COLUMNS).astype({"page_no": "Int64"})
+
+    return uploads.select("doc_id", "content").mapInPandas(pages_of, "doc_id string, page_no long, text string, error string")
+
+
+def pages_read(readings: DataFrame) -> DataFrame:
+    """The pages (doc_id, page_no, text) among ``read_documents``' rows."""
+    return readings.filter("page_no IS NOT NULL").drop("error")
 
-    return uploads.select("doc_id", "content").mapInPandas(pages_of, "doc_id string, page_no long, text string")
+
+def without_pages(readings: DataFrame) -> DataFrame:
+    """(doc_id, error) of the documents that gave no page; error is null where there was none."""
+    return readings.filter("page_no IS NULL").select("doc_id", "error")
+
+
+def extract_pages(uploads: DataFrame, factory: Callable[[], Extractor]) -> DataFrame:
+    """(doc_id, page_no, text): the pages of all documents that can be read."""
+    return pages_read(read_documents(uploads, factory))
 
 
 def split_pages(texts: DataFrame) -> DataFrame:

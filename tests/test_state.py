@@ -174,6 +174,9 @@ def test_uploads(spark, tmp_path):
     pages = up.extract_pages(docs_in, picky)
     assert [(r.page_no, r.text) for r in pages.filter("doc_id = 'a.PDF'").orderBy("page_no").collect()] == [(0, "one"), (1, "two")]
     assert pages.filter("doc_id = 'c.pdf'").count() == 0
+    readings = up.read_documents(docs_in, picky)
+    assert {tuple(r) for r in up.without_pages(readings).collect()} == {("c.pdf", "unreadable")}
+    assert up.pages_read(readings).count() == pages.count()
     texts = spark.createDataFrame([("d", "a \f\fb")], "doc_id string, text string")
     assert [r.text for r in up.split_pages(texts).orderBy("page_no").collect()] == ["a", "", "b"]
 
@@ -262,7 +265,8 @@ def test_analysis_end_to_end(spark):
             return ("結論\n好\n行動\ngo" if user.startswith(fv.OVERVIEW_PREFIX) else f"<{len(user)}>"), 7
         return client
 
-    out = analyze(pages, Config(max_chunk_chars=400), factory, fv.FEATURES)
+    unread = spark.createDataFrame([("broken", "unreadable"), ("blank", None)], "doc_id string, error string")
+    out = analyze(pages, Config(max_chunk_chars=400), factory, fv.FEATURES, unread=unread)
     results = {r.doc_id: r for r in out.results.collect()}
     assert set(results) == {"good"}
     good = results["good"]
@@ -272,7 +276,7 @@ def test_analysis_end_to_end(spark):
     payload = json.loads(out.payloads.filter("doc_id = 'good'").first().result)
     assert sorted(r["index"] for r in out.stored_segments.collect()) == [0, 1] and payload["n_segments"] == 2 and payload["wordcloud_image_url"] is None
     ends = {(r.doc_id, r.type, r.message) for r in out.events.filter("progress = 100").collect()}
-    assert ends == {("good", "result", fv.MSG_DONE), ("bad", "error", "處理失敗：model down"), ("empty", "error", fv.MSG_NO_TEXT)}
+    assert ends == {("broken", "error", "處理失敗：unreadable"), ("blank", "error", fv.MSG_NO_TEXT), ("good", "result", fv.MSG_DONE), ("bad", "error", "處理失敗：model down"), ("empty", "error", fv.MSG_NO_TEXT)}
     assert {r.doc_id for r in out.report.collect()} == {"good"}
     assert out.segments.filter("translated is not null").count() == 3
 
