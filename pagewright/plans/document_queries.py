@@ -121,7 +121,8 @@ _PAGES_SQL = "pages_in AS (SELECT source AS doc_id, doc_id AS page_no, text FROM
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    pages = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    pages = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text",
+                                            F.col("n_chars").alias("size"))
     return pack(pages, fv.CHUNK_CHARS)
 
 

@@ -109,7 +109,8 @@ def clean_pages(spark, sf_dir):
 @query(f"""WITH RECURSIVE pages_in AS (SELECT source AS doc_id, doc_id AS page_no, text FROM documents),
 {q.packed('pages_in')} SELECT doc_id, idx, original FROM chunks""")
 def chunk_pages(spark, sf_dir):
-    pages = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    pages = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text",
+                                            F.col("n_chars").alias("size"))
     return pack(pages, fv.CHUNK_CHARS).withColumnRenamed("index", "idx")
 
 
