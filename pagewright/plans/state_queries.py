@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
+from ..config import Config
 from ..functions import codes
 from ..operators import metrics
 from ..operators import progress as pr
@@ -12,10 +14,12 @@ from ..operators import state as st
 from ..session import scratch_dir, stage
 from ..sinks.tables import write_events
 from ..sources.events import parse_events, read_events
+from ..sources.uploads import text_pages
 from ..streaming import events as se
 from . import sql as q
 from .registry import query, table
 from .text_queries import documents
+from .upload_flow import handle_uploads
 
 # --- cache ------------------------------------------------------------------------
 
@@ -281,3 +285,53 @@ def speed_report(spark, sf_dir):
         F.col("value").alias("elapsed"), tokens.alias("completion_tokens"), (tokens % 10).alias("n_sentences"))
     report = metrics.speed_report(responses)
     return report.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes])
+
+
+# --- uploads to stored results ------------------------------------------------------
+
+def _fails_on(mark: bytes):
+    def read(content: bytes) -> list[str]:
+        if content.startswith(mark):
+            raise ValueError("unreadable")
+        return text_pages(content)
+
+    return read
+
+
+_UPLOADS_SQL = """u AS (SELECT 'd' || doc_id AS doc_id, CASE WHEN source = 'src2' THEN 'x.txt' ELSE source || '.PDF' END AS filename,
+    CASE WHEN source = 'src4' THEN '' WHEN source = 'src5' THEN '%! ' || text ELSE text END AS content, lang, source = 'src3' AS refresh FROM documents)"""
+
+
+def _uploads(spark, sf_dir) -> DataFrame:
+    """Documents as uploads: some of a wrong type, some empty, some that the reader fails on."""
+    source, text = F.col("source"), F.col("text")
+    content = F.when(source == "src4", "").when(source == "src5", F.concat(F.lit("%! "), text)).otherwise(text)
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
+        F.when(source == "src2", "x.txt").otherwise(F.concat(source, F.lit(".PDF"))).alias("filename"),
+        F.encode(content, "UTF-8").alias("content"), "lang", (source == "src3").alias("refresh"))
+    return rows.withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query(f"""WITH {_UPLOADS_SQL},
+c AS (SELECT *, CASE WHEN content = '' THEN 400 WHEN lower(filename) NOT LIKE '%.pdf' THEN 415 END AS reject FROM u),
+seen AS (SELECT content, 'r' || max(content) AS result FROM c WHERE reject IS NULL AND lang = 'de' GROUP BY content),
+pages AS (SELECT DISTINCT content AS doc_id, 0 AS page_no, content AS text FROM c WHERE reject IS NULL AND content NOT LIKE '!%!!%' ESCAPE '!'),
+{q.classified('pages')},
+good AS (SELECT doc_id AS content FROM classified WHERE meaningful AND clean <> ''),
+firsts AS (SELECT content, min(doc_id) AS first FROM c WHERE reject IS NULL AND (refresh OR content NOT IN (SELECT content FROM seen)) GROUP BY content),
+o AS (SELECT doc_id, filename, reject, CASE WHEN reject IS NULL AND NOT refresh THEN result END AS cached, first,
+    CASE WHEN content LIKE '!%!!%' ESCAPE '!' THEN '處理失敗：unreadable' WHEN content NOT IN (SELECT content FROM good) THEN '{fv.MSG_NO_TEXT}' END AS problem
+    FROM c LEFT JOIN seen USING (content) LEFT JOIN firsts USING (content))
+SELECT doc_id, reject, reject IS NULL AND (cached IS NOT NULL OR (doc_id <> first AND problem IS NULL)) AS hit,
+    CASE WHEN reject IS NULL AND cached IS NULL THEN problem END AS error,
+    CASE WHEN reject IS NULL THEN CASE WHEN cached IS NULL AND problem IS NOT NULL THEN 'error' ELSE 'done' END END AS status
+FROM o""")
+def upload_flow(spark, sf_dir):
+    uploads = stage(_uploads(spark, sf_dir), "uploads")
+    key = codes.cache_key(codes.digest(F.col("content")), F.lit(fv.WINDOW_TRANSLATOR), F.lit(fv.TARGET_LANGUAGE), F.lit("wordcloud"))
+    seen = uploads.filter("lang = 'de'").select(key.alias("key"), F.concat(F.lit("r"), F.decode("content", "UTF-8")).alias("result"), F.lit(1.0).alias("created_at"))
+    cache = st.cache_upsert(seen.limit(0), seen)
+    handled = handle_uploads(uploads, cache, Config(), "wordcloud", lambda: _fails_on(b"%!"), lambda: None, now=2.0)
+    history = st.fold_history(handled.history).select("doc_id", "status")
+    return handled.outcomes.join(history, "doc_id", "left").select("doc_id", "reject", "hit", "error", "status")
