@@ -208,9 +208,11 @@ def _orders_history(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_ORDERS_SQL} SELECT doc_id, filename, created_at, status, 0::BIGINT AS total_pages, has_report, error, status AS label,
-has_report = 1 AS can_download, status = 'done' AS can_view FROM h ORDER BY created_at DESC, doc_id LIMIT 200""")
+has_report = 1 AS can_download, status = 'done' AS can_view,
+strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(created_at AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS created FROM h ORDER BY created_at DESC, doc_id LIMIT 200""")
 def history_list(spark, sf_dir):
-    return st.history_list(_orders_history(spark, sf_dir)).drop("created")
+    listed = st.history_list(_orders_history(spark, sf_dir))
+    return listed.withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
 
 
 _TOMBSTONES_SQL = "t AS (SELECT DISTINCT CASE WHEN l_linestatus = 'F' THEN l_orderkey ELSE -l_orderkey END AS doc_id FROM lineitem WHERE l_returnflag = 'R')"
