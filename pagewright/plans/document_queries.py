@@ -20,7 +20,7 @@ from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES, html_text
 from ..sources.uploads import first_copies, split_pages, validate, with_digest
 from . import sql as q
 from .registry import query, table
-from .text_queries import _DETECT_SQL, KEPT_SQL, detected_languages, documents, headed_pages
+from .text_queries import HAN_SQL, KEPT_SQL, _DETECT_SQL, detected_languages, documents, headed_pages, tfidf_sql
 
 # --- ingest ---------------------------------------------------------------------
 
@@ -285,9 +285,11 @@ def segments_nested(spark, sf_dir):
 
 
 _RESULT_SQL = f"""{KEPT_SQL}, {q.packed('kept')}, {_DETECT_SQL},
-{q.top_words('(SELECT doc_id, page_no AS ord, text FROM kept)')},
+{q.top_words("(SELECT doc_id, page_no AS ord, text FROM kept JOIN detected USING (doc_id) WHERE language <> 'zh')")},
+{tfidf_sql(f"SELECT doc_id, list_concat({q.words('x')}, {HAN_SQL}) AS ws FROM (SELECT doc_id, text AS x FROM kept JOIN detected USING (doc_id) WHERE language = 'zh')")},
 kws AS (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS keywords,
-    string_agg(word, ',' ORDER BY rank) FILTER (WHERE rank <= 30) AS shown FROM kw GROUP BY doc_id),
+    string_agg(word, ',' ORDER BY rank) FILTER (WHERE rank <= 30) AS shown
+    FROM (SELECT doc_id, rank, word FROM kw UNION ALL SELECT doc_id, rank, word FROM tfidf) GROUP BY doc_id),
 result AS (SELECT p.doc_id, total_pages, n_chunks, chunk_chars, language, coalesce(keywords, '') AS keywords, coalesce(shown, '') AS shown
     FROM (SELECT doc_id, count(*) AS total_pages FROM headed GROUP BY doc_id) p
     JOIN (SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(original)) AS BIGINT) AS chunk_chars FROM chunks GROUP BY doc_id) c USING (doc_id)
@@ -299,9 +301,9 @@ def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     raw = headed_pages(spark, sf_dir)
     kept = stage(pg.meaningful_pages(raw), "kept")
     chunks = stage(pack(kept, fv.CHUNK_CHARS), "chunks")
-    languages = detected_languages(chunks, documents(spark, sf_dir))
+    languages = stage(detected_languages(chunks, documents(spark, sf_dir)), "languages")
     texts = kept.select("doc_id", F.col("page_no").alias("ord"), "text")
-    words = kw.keyword_arrays(kw.frequency_keywords(texts))
+    words = kw.keyword_arrays(kw.extract_keywords(texts, languages))
     turns = table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("src"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("index"), "text")
     reply = F.concat(F.lit("結論\n"), "text", F.lit("\n行動\n"), "doc_id")

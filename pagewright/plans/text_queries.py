@@ -226,7 +226,7 @@ def keywords_per_source(spark, sf_dir):
     return kw.frequency_keywords(by_source(spark, sf_dir))
 
 
-def _tfidf_sql(lists: str) -> str:
+def tfidf_sql(lists: str) -> str:
     return f"""tf_lists AS ({lists}),
 tf_tokens AS (SELECT doc_id, unnest(ws) AS word FROM tf_lists),
 tf AS (SELECT doc_id, word, count(*) AS n FROM tf_tokens GROUP BY ALL),
@@ -239,19 +239,19 @@ tfidf AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ro
     word, round_even(n / total * idf, 4) AS weight FROM tf_scored QUALIFY rank <= 60)"""
 
 
-@query(f"WITH {_tfidf_sql('SELECT doc_id, ' + q.words('text') + ' AS ws FROM documents')} SELECT * FROM tfidf")
+@query(f"WITH {tfidf_sql('SELECT doc_id, ' + q.words('text') + ' AS ws FROM documents')} SELECT * FROM tfidf")
 def tfidf_keywords(spark, sf_dir):
     return kw.tfidf_keywords(by_doc(spark, sf_dir))
 
 
-_HAN_SQL = (f"flatten(list_transform(regexp_extract_all(x, '[{q.HAN}]{{2,}}'), "
+HAN_SQL = (f"flatten(list_transform(regexp_extract_all(x, '[{q.HAN}]{{2,}}'), "
             "lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))")
-_ZH_SQL = (f"SELECT doc_id, list_concat({q.words('x')}, {_HAN_SQL}) AS ws "
+_ZH_SQL = (f"SELECT doc_id, list_concat({q.words('x')}, {HAN_SQL}) AS ws "
            f"FROM (SELECT doc_id, {FOREIGN_SQL} AS x FROM documents WHERE lang = 'es')")
 _SHIFTED_SQL = f"(SELECT doc_id, 0 AS ord, {FOREIGN_SQL} AS text FROM documents WHERE lang <> 'es')"
 
 
-@query(f"WITH {q.top_words(_SHIFTED_SQL)}, {_tfidf_sql(_ZH_SQL)} SELECT * FROM kw UNION ALL SELECT * FROM tfidf")
+@query(f"WITH {q.top_words(_SHIFTED_SQL)}, {tfidf_sql(_ZH_SQL)} SELECT * FROM kw UNION ALL SELECT * FROM tfidf")
 def keywords_by_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     texts = docs.select("doc_id", F.lit(0).alias("ord"), foreign().alias("text"))
