@@ -46,12 +46,12 @@ def statistics(held: DataFrame) -> DataFrame:
         return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
     out = {name: F.coalesce(c, F.lit(0.0)) for name, c in quality_rules.ratios().items()}
-    letters = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{Lu}]", ""))
+    letters = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{L}]+", ""))
+    capitals = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[^\p{Lu}]+", ""))
     out |= {
         "repeat_share": share(F.col("n_repeat_words")), "distinct_share": share(F.size(F.array_distinct("_words"))),
         "again_share": share(F.size(F.array_compact(again))), "upper_share": share(capitals, letters.cast("double")),
-        "marks_per_word": share(F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), "[^!?]", ""))),
+        "marks_per_word": share(F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), "[^!?]+", ""))),
         "mean_line_words": share(F.col("n_words"), F.col("n_lines").cast("double")),
     }
     found = let(base, _s=F.struct(n.alias("n_words"), *[c.alias(name) for name, c in out.items()]))
