@@ -24,6 +24,7 @@ from . import words as w
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 8192
 LANES = 1024
+ONE = 1 << 20  # a whole copy, in the units that fractions are summed in
 WEIGHTS = (3, 1, 2)
 
 
@@ -164,22 +165,50 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS) -> tuple[DataF
     return sized, pieces.select("shard", "slot", "sid", "epoch", "_row", "first_word", "n_words")
 
 
-def taken_words(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target and taken for every row of ``docs``."""
+def _taken(docs: DataFrame, seed: int) -> DataFrame:
     sized, pieces = mix(docs, seed)
     taken = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"))
-    out = sized.join(taken, "_row", "left")
-    return out.select("doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return sized.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def taken_words(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, text_hash, size, source_size, target and taken for every row of ``docs``."""
+    return _taken(docs, seed).select("doc_id", "text_hash", "size", "source_size", "target", "taken")
+
+
+def whole_copies(shares: DataFrame, seed: int = 7) -> DataFrame:
+    """_key and _copies of (_key, sid, taken, size): taken / size rounded up or down, so that a source's words stay.
+
+    Every document has floor(taken / size) copies and one more with a chance of
+    the fraction that is left: the fractions are summed along the source, and
+    where the sum passes a whole number a copy is added.  The sum runs through
+    documents of about one size after another (eight classes to a doubling), so
+    short documents do not stand in for long ones and a class is off by one
+    document at most.  It is a prefix sum in two levels, over 1,024 lanes of a class
+    and within each, of whole numbers, so that its order does not matter.
+    """
+    left = F.floor((F.col("taken") % F.col("size")) * F.lit(ONE) / F.col("size")).cast("long")
+    laned = shares.filter("size > 0").withColumns({"_left": left, "_class": F.floor(F.log2("size") * 8).cast("int"),
+                                                   "_lane": F.pmod(F.xxhash64("_key"), F.lit(LANES)).cast("int")})
+    lanes = laned.groupBy("sid", "_class", "_lane").agg(F.sum("_left").alias("_n"))
+    started = lanes.withColumn("_base", F.sum("_n").over(Window.partitionBy("sid").orderBy("_class", "_lane")) - F.col("_n")).drop("_n")
+    within = F.sum("_left").over(Window.partitionBy("sid", "_class", "_lane").orderBy("_key"))
+    begun = F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(ONE))
+    summed = laned.withColumn("_in", within).join(started, ["sid", "_class", "_lane"]).withColumn("_end", F.col("_base") + F.col("_in") + begun)
+    more = F.floor(F.col("_end") / ONE) - F.floor((F.col("_end") - F.col("_left")) / ONE)
+    return summed.select("_key", (F.floor(F.col("taken") / F.col("size")) + more).cast("int").alias("_copies"))
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` as often as the mix takes them: a row per whole text, rounded from the words taken.
+    """``docs`` as often as the mix takes them: a row per whole text, see ``whole_copies``.
 
     So a document that the mix passes over or that has no words goes, and one it
-    reads twice comes twice.  Rows equal in doc_id and text share what they take.
+    reads twice comes twice; the words of a source come to what the mix takes of
+    it but for a few documents.  Rows equal in doc_id and text share what they take.
     """
-    shares = taken_words(docs, seed).groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
-    often = shares.select("_key", copies.alias("_copies")).filter("_copies > 0")
+    taken = _taken(docs, seed).groupBy(F.struct("doc_id", "text_hash").alias("_key"))
+    # Read for the lanes' sums and for the documents.
+    shares = stage(taken.agg(F.min("sid").alias("sid"), F.sum("taken").alias("taken"), F.sum("size").alias("size")), "shares")
+    often = whole_copies(shares, seed).filter("_copies > 0")
     keyed = w.record(docs, _key=F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     return w.unrecord(keyed.join(often, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)

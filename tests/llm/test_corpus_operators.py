@@ -316,3 +316,20 @@ def test_orphans_and_empty_archives(spark):
     path = scratch_dir(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.assemble_transactions(warc.read_archives(spark, path)).count() == 0
+
+
+def test_mix_of_whole_documents_keeps_the_words_of_a_source(spark):
+    """Long documents of a source all lie near one ratio; they are not lost or kept together."""
+    rng = random.Random(6)
+    sizes = {"a": [500] * 300 + [5000] * 120 + [20000] * 40, "b": [400] * 900, "c": [rng.randrange(3000, 9000) for _ in range(150)]}
+    rows = [(f"{s}{i}", n, s) for s, all_sizes in sizes.items() for i, n in enumerate(all_sizes)]
+    rows = [(k, n, s) for k, (_, n, s) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string").selectExpr("doc_id", "concat_ws(' ', sequence(1, n)) AS text", "source", "n")
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum("n").alias("n")).toPandas().set_index("source")["n"]
+    want = mixing.taken_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("target"))
+    for r in want.collect():
+        assert abs(got[r.source] - r.target) <= 0.02 * r.target + 20000, r
+    # Each length of the source keeps its share.
+    share = {r.n: r.m / r.k for r in mixing.mixed(docs.filter("source <> 'c'")).filter("source = 'a'").groupBy("n").agg(F.count("*").alias("m"))
+             .join(docs.filter("source = 'a'").groupBy("n").agg(F.count("*").alias("k")), "n").collect()}
+    assert set(share) == {500, 5000, 20000} and max(share.values()) - min(share.values()) < 0.1 * max(share.values()), share
