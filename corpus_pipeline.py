@@ -14,6 +14,7 @@ from pagewright.llm import bbit_minhash, mixing, phrase_index, rule_ensemble, sh
 from pagewright.session import scratch_dir
 
 N_SHARDS = 8
+SIMILAR = 80  # per cent of the shingles of two near duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return bbit_minhash.deduplicated(docs)
+    return bbit_minhash.deduplicated(docs, SIMILAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

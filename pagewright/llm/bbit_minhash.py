@@ -14,6 +14,7 @@ across components; that join confirms its pairs itself and gives out links alone
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,8 @@ from .components import components
 SHINGLE = 5
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
 PACKED = HASHES * BITS // 64
-SIMILAR = 85  # per cent
-# The estimate of a pair at the bound deviates by 0.033; five deviations are allowed.
-LEAST_ESTIMATE = 0.68
+SIMILAR = 85  # per cent, where the caller does not say
+DEVIATIONS = 5
 HUB_TURNS = 2
 
 _RNG = np.random.Generator(np.random.PCG64(8128))
@@ -149,8 +149,16 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def _similar_sizes(n: str, m: str) -> Column:
-    return (100 * F.least(n, m)) >= (SIMILAR * F.greatest(n, m))
+def least_estimate(similar: int) -> float:
+    """The estimate that a pair at the bound of ``similar`` per cent stays above but for five deviations, rounded down: 0.68 at 85, 0.61 at 80."""
+    chance = 2.0**-BITS
+    agree = chance + (1 - chance) * similar / 100
+    deviation = math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
+    return math.floor(100 * (similar / 100 - DEVIATIONS * deviation)) / 100
+
+
+def _similar_sizes(n: str, m: str, similar: int) -> Column:
+    return (100 * F.least(n, m)) >= (similar * F.greatest(n, m))
 
 
 def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
@@ -158,26 +166,26 @@ def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
                           *[F.col("packed")[i].alias(f"{name}_{i}") for i in range(PACKED)])
 
 
-def _may_link() -> Column:
-    return (F.col("a_label") != F.col("b_label")) & _similar_sizes("a_n", "b_n") & (estimate("a", "b") >= LEAST_ESTIMATE)
+def _may_link(similar: int) -> Column:
+    return (F.col("a_label") != F.col("b_label")) & _similar_sizes("a_n", "b_n", similar) & (estimate("a", "b") >= least_estimate(similar))
 
 
-def hub_candidates(members: DataFrame, turn: int) -> DataFrame:
+def hub_candidates(members: DataFrame, turn: int, similar: int) -> DataFrame:
     """Pairs (a, b) of each band key's members with one of them, which one being drawn anew each turn."""
     order = F.xxhash64("cid", F.lit(turn)) if turn else F.col("cid")
     rank = F.struct(order.alias("order"), F.col("cid"))
     hubs = members.groupBy("key").agg(F.min(rank)["cid"].alias("cid"))
     hub = _side(members.join(hubs, ["key", "cid"]), "b")
-    pairs = _side(members, "a").join(hub, "key").filter(_may_link())
+    pairs = _side(members, "a").join(hub, "key").filter(_may_link(similar))
     return pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
-def _shares_enough(a: str, b: str) -> Column:
-    """common >= 85 % of the union, the union being the sum of the sizes less what is common."""
-    return (100 + SIMILAR) * F.size(F.array_intersect(a, b)) >= SIMILAR * (F.size(a) + F.size(b))
+def _shares_enough(a: str, b: str, similar: int) -> Column:
+    """common >= ``similar`` % of the union, the union being the sum of the sizes less what is common."""
+    return (100 + similar) * F.size(F.array_intersect(a, b)) >= similar * (F.size(a) + F.size(b))
 
 
-def cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def cross_links(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """All links (a, b) between members of a band key whose components differ.
 
     Members without any partner of a high enough estimate are left out first; the
@@ -185,19 +193,19 @@ def cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     its pairs and only links come out of it.
     """
     left, right = _side(members, "a"), _side(members, "b").withColumnRenamed("key", "b_key")
-    found = left.join(right, (F.col("key") == F.col("b_key")) & _may_link(), "left_semi")
+    found = left.join(right, (F.col("key") == F.col("b_key")) & _may_link(similar), "left_semi")
     live = stage(members.join(found.select("key", F.col("a_cid").alias("cid")), ["key", "cid"], "left_semi"), "live")
     held = live.join(sets, "cid")
     left, right = (_side(held, x, "shingles") for x in "ab")
-    pairs = left.join(right, "key").filter((F.col("a_cid") < F.col("b_cid")) & _may_link() & _shares_enough("a_shingles", "b_shingles"))
+    pairs = left.join(right, "key").filter((F.col("a_cid") < F.col("b_cid")) & _may_link(similar) & _shares_enough("a_shingles", "b_shingles", similar))
     return pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets share at least 85 % of their union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose shingle sets share at least ``similar`` % of their union."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("_a")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("_b")), "b")
-    return both.filter(_shares_enough("_a", "_b")).select("a", "b")
+    return both.filter(_shares_enough("_a", "_b", similar)).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,9 +215,10 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_keys.select("key"), "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept, group for every row of ``docs`` (doc_id, text).
 
+    Two texts are near duplicates if their shingle sets share at least ``similar`` per cent of their union.
     ``group`` numbers the groups of near duplicates, null without shingles.  Null and empty texts have no shingles and are linked with nothing.  Rows that
     repeat a doc_id are one document of the graph if their texts are similar; each
     comes out.  A null doc_id gets the component of its copies, or null; it is kept
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = classes.limit(0).select(F.col("cid").alias("id"), F.col("cid").alias("label"))
     for turn in range(HUB_TURNS + 1):
         named = stage(_labelled(members, labels), "open-bands")
-        found = confirmed(hub_candidates(named, turn), sets) if turn < HUB_TURNS else cross_links(named, sets)
+        found = confirmed(hub_candidates(named, turn, similar), sets, similar) if turn < HUB_TURNS else cross_links(named, sets, similar)
         found = stage(found, "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -247,13 +256,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, with all their columns.
+def deduplicated(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates (``similar`` per cent or more), with all their columns.
 
     The smallest doc_id stays, null last, of equal ids the text with the smallest
     hash; rows that repeat doc_id and text are one.  Texts without words stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), similar)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     best = found.filter("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_hash")
     stay = best.unionByName(found.filter("group IS NULL").select("doc_id", "text_hash"))

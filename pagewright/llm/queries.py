@@ -90,7 +90,7 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op3_bbit_minhash(spark, sf_dir):
-    found = bbit_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = bbit_minhash.near_duplicates(read(spark, sf_dir, "documents"), similar=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagewright.llm import bbit_minhash, chat, mixing, phrase_index, shards, warc
 from pagewright.llm.components import components
 from pagewright.session import scratch_dir, stage
@@ -117,6 +118,23 @@ def test_large_groups_of_near_copies_are_one(spark):
     assert got.filter("component_id <> 0").count() == 0
 
 
+def test_bound_is_an_argument(spark):
+    """Pairs of similarity 0.80 to 0.85 are near duplicates at 80 per cent and not at 85."""
+    assert bbit_minhash.least_estimate(85) == 0.68 and 0.6 < bbit_minhash.least_estimate(80) <= 0.62
+    rng = random.Random(9)
+    rows = []
+    while len(rows) < 80:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = edited(rng, base, rng.choice((5, 6)))
+        a, b = shingle_set(" ".join(base)), shingle_set(other)
+        if 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b):
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bbit_minhash.deduplicated(docs, 85).count() == 80
+    assert sorted(r.doc_id for r in bbit_minhash.deduplicated(docs, 80).collect()) == list(range(0, 80, 2))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 80, 2))
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(4)
     for similar in (0.5, 0.85, 0.95):
