@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 LEAST_COVERAGE = 0.8
 RAREST = 3
 SLACK = 2
+SPAN = ("coverage", "first_word", "last_word")
 
 # License notices.
 TEMPLATES = {
@@ -99,35 +100,59 @@ def align(text: Sequence[bytes], template: Sequence[bytes]) -> list[tuple[int, i
     return sorted(found)
 
 
-def best_match(words: Sequence[bytes], places: Mapping[bytes, Sequence[int]], template: Sequence[bytes]) -> tuple[float, int, int]:
-    """Highest coverage of the template by a stretch of the text, and the stretch's first and last word.
+def around(words: Sequence[bytes], template: Sequence[bytes], p: int, j: int) -> tuple[float, int, int]:
+    """Coverage of the template by the words around place ``p``, which holds its word ``j``, and the first and last word aligned."""
+    low, high = max(0, p - SLACK * (j + 1)), p + 1 + SLACK * (len(template) - j)
+    before, after = align(words[low:p], template[:j]), align(words[p + 1 : high], template[j + 1 :])
+    first = low + before[0][0] if before else p
+    last = p + 1 + after[-1][0] if after else p
+    return (len(before) + 1 + len(after)) / len(template), first, last
 
-    Stretches lie around each occurrence of the template words that the text holds
-    least often, so that statements made twice do not hide each other.
-    """
-    offsets = {x: j for j, x in reversed(list(enumerate(template)))}
-    held = sorted((len(places[x]), j, x) for x, j in offsets.items() if x in places)
-    best = (0.0, -1, -1)
-    starts = sorted({max(0, p - SLACK * (j + 1)) for _, j, x in held[:RAREST] for p in places[x]})
-    for start in starts:
-        end = start + SLACK * (2 * len(template) + 2)
-        pairs = align(words[start:end], template)
-        if pairs:
-            found = (len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0])
-            if found[0] > best[0]:
-                best = found
-            if found[0] == 1.0:
-                break
-    return best
 
+def stretches(words: Sequence[bytes], places: Mapping[bytes, Sequence[int]], template: Sequence[bytes], least: float) -> list[tuple[float, int, int]]:
+    """Coverage, first and last word of the stretches of a text that cover ``least`` of the template, best first, none meeting another.
 
-MATCHES = "doc_id long, licenses array<struct<license:string,coverage:double,first_word:long,last_word:long>>"
+    Stretches are aligned around each occurrence of the template words that the
+    text holds least often, so that statements made twice do not hide each other;
+    what is found is aligned again around all its words.
+    """
+    offsets: dict[bytes, list[int]] = {}
+    for j, x in enumerate(template):
+        offsets.setdefault(x, []).append(j)
+    held = sorted((len(places[x]), js[0], x) for x, js in offsets.items() if x in places)
+    hits: list[tuple[float, int, int]] = []
+    whole = -1  # the last word of the last stretch that holds all of the template
+    for p, x in sorted((p, x) for _, _, x in held[:RAREST] for p in places[x]):
+        for j in offsets[x] if p > whole else ():
+            hit = around(words, template, p, j)
+            if hit[0] >= least:
+                hits.append(hit)
+                whole = hit[2] if hit[0] == 1.0 else whole
+    out: list[tuple[float, int, int]] = []
+    for hit in sorted(hits, key=_rank):
+        if all(hit[2] < low or hit[1] > high for _, low, high in out):
+            out.append(hit)
+    for i, (coverage, low, high) in enumerate(out):
+        if coverage < 1.0:
+            again = [around(words, template, p, j) for p in range(low, high + 1) for j in offsets.get(words[p], ())]
+            free = [h for h in again if all(h[2] < x or h[1] > y for k, (_, x, y) in enumerate(out) if k != i)]
+            out[i] = min([out[i], *free], key=_rank)
+    return sorted(out, key=_rank)
+
+
+def _rank(hit: tuple[float, int, int]) -> tuple[float, int, int]:
+    return -hit[0], hit[2] - hit[1], hit[1]
+
+
+MATCHES = "doc_id long, licenses array<struct<license:string,coverage:double,first_word:long,last_word:long,stretches:array<struct<coverage:double,first_word:long,last_word:long>>>>"
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id and the licenses found, best first, for every row of ``docs`` (doc_id, text).
 
     A license counts if at least ``least`` of its template's words are aligned.
+    Its stretches are all places of the text where that is so, best first; its own
+    coverage, first and last word are those of the best.
     Templates too few of whose words occur anywhere in a text cannot reach that and
     are not aligned.  Null, empty and clean texts have an empty list; repeated rows
     are scanned each; whole texts are read, one at a time; further columns are
@@ -146,12 +171,13 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
         for i, x in enumerate(words):
             if x in present:
                 places.setdefault(x, []).append(i)
-        hits = [(name, *best_match(words, places, cut[name])) for name in names]
-        hits = sorted((h for h in hits if h[1] >= least), key=lambda h: (-h[1], -len(cut[h[0]]), h[0]))
-        return [dict(zip(("license", "coverage", "first_word", "last_word"), h)) for h in hits]
+        found = [(name, [dict(zip(SPAN, h)) for h in stretches(words, places, cut[name], least)]) for name in names]
+        hits = [{"license": name, **many[0], "stretches": many} for name, many in found if many]
+        return sorted(hits, key=lambda h: (-h["coverage"], -len(cut[h["license"]]), h["license"]))
 
-    schema = pa.schema([("doc_id", pa.int64()), ("licenses", pa.list_(pa.struct([
-        ("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))])
+    span = [("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
+    license = pa.struct([("license", pa.string()), *span, ("stretches", pa.list_(pa.struct(span)))])
+    schema = pa.schema([("doc_id", pa.int64()), ("licenses", pa.list_(license))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -188,4 +188,4 @@ def op4_license_patience(spark, sf_dir):
     found = patience.scan_licenses(read(spark, sf_dir, "documents"))
     best = F.get("licenses", F.lit(0))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"),
-                        best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"))
+                        best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"), "licenses")

@@ -156,6 +156,36 @@ def test_all_planted_notices_are_found(spark):
     assert found.filter(notice != F.col("license").isNotNull()).count() == 0
 
 
+def notices(rng, names, drop=0):
+    """Words of a text with these notices among noise, less ``drop`` words of each, and where each lies."""
+    words, at = [], []
+    for name in names:
+        words += [f"noise{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))]
+        held = [x.decode() for x in patience.scan_words(patience.TEMPLATES[name])]
+        n = len(held)
+        for k in sorted(rng.sample(range(1, n - 1), drop), reverse=True):
+            del held[k]
+        at.append((name, len(held) / n, len(words), len(words) + len(held) - 1))
+        words += held
+    return " ".join(words), at
+
+
+def test_all_notices_and_their_repeats_are_reported(spark, tmp_path):
+    rng = random.Random(12)
+    long_names = ["MIT-text", "Apache-2.0-header"]
+    rows, want = [], {}
+    for d in range(60):
+        text, at = notices(rng, [rng.choice(["MIT", *long_names]) for _ in range(rng.randint(0, 6))], 0)
+        rows.append((d, text))
+        want[d] = sorted(at)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op4_license_patience(spark, str(tmp_path)).collect():
+        got = sorted((x.license, s.coverage, s.first_word, s.last_word) for x in r.licenses for s in x.stretches)
+        assert [x for x in got if x[0] != "Apache-2.0"] == want[r.doc_id], r.doc_id
+        assert r.n_licenses == len(r.licenses) == len({x.license for x in r.licenses})
+        assert all((x.coverage, x.first_word, x.last_word) == tuple(x.stretches[0]) for x in r.licenses)
+
+
 # --- lines -----------------------------------------------------------------------------
 
 def within_one(a, b):
