@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_COVERAGE = 0.8
-RAREST = 3
 SLACK = 2
 SPAN = ("coverage", "first_word", "last_word")
 
@@ -113,17 +112,24 @@ def stretches(words: Sequence[bytes], places: Mapping[bytes, Sequence[int]], tem
     """Coverage, first and last word of the stretches of a text that cover ``least`` of the template, best first, none meeting another.
 
     Stretches are aligned around each occurrence of the template words that the
-    text holds least often, so that statements made twice do not hide each other;
-    what is found is aligned again around all its words.
+    text holds least often, so that statements made twice do not hide each other.
+    Of one word more than a stretch may lack, each stretch that counts holds one.
+    Places with too few words of the template around them are not aligned; what
+    is found is aligned again around all its words.
     """
+    n = len(template)
+    need = next(m for m in range(n + 1) if m / n >= least)
     offsets: dict[bytes, list[int]] = {}
     for j, x in enumerate(template):
         offsets.setdefault(x, []).append(j)
-    held = sorted((len(places[x]), js[0], x) for x, js in offsets.items() if x in places)
+    rarest = sorted((len(places.get(x, ())), js[0], x) for x, js in offsets.items())[: n - need + 1]
+    near = sorted(p for x in offsets for p in places.get(x, ()))
     hits: list[tuple[float, int, int]] = []
     whole = -1  # the last word of the last stretch that holds all of the template
-    for p, x in sorted((p, x) for _, _, x in held[:RAREST] for p in places[x]):
+    for p, x in sorted((p, x) for _, _, x in rarest for p in places.get(x, ())):
         for j in offsets[x] if p > whole else ():
+            if bisect_left(near, p + 1 + SLACK * (n - j)) - bisect_left(near, p - SLACK * (j + 1)) < need:
+                continue
             hit = around(words, template, p, j)
             if hit[0] >= least:
                 hits.append(hit)

@@ -186,6 +186,30 @@ def test_all_notices_and_their_repeats_are_reported(spark, tmp_path):
         assert all((x.coverage, x.first_word, x.last_word) == tuple(x.stretches[0]) for x in r.licenses)
 
 
+def test_notices_without_their_rarest_words_are_found():
+    """A notice that lacks as many words as it may, the rarest of the text among them, which stand elsewhere."""
+    rng = random.Random(13)
+    for name in ("MIT-text", "Apache-2.0-header", "GPL-3.0"):
+        template = patience.scan_words(patience.TEMPLATES[name])
+        single = [x for x in template if template.count(x) == 1]
+        lacking = int(0.2 * len(template) + 1e-9)
+        for _ in range(10):
+            gone = set(rng.sample(single, lacking))
+            held = [x for x in template if x not in gone]
+            noise = [b"noise%d" % k for k in range(150)]
+            often = [x for x in set(held) for _ in range(4)]
+            rng.shuffle(often)
+            spaced = [x for w in often for x in (w, *noise[:7])]
+            text = [*sorted(gone), *noise, *spaced, *noise, *held, *noise]
+            places = {}
+            for i, x in enumerate(text):
+                places.setdefault(x, []).append(i)
+            found = patience.stretches(text, places, template, 0.8)
+            assert len(found) == 1 and found[0][0] >= len(held) / len(template), name
+            every = [patience.around(text, template, p, j) for p, x in enumerate(text) for j, y in enumerate(template) if x == y]
+            assert found[0] == min((h for h in every if h[0] >= 0.8), key=lambda h: (-h[0], h[2] - h[1], h[1]))
+
+
 # --- lines -----------------------------------------------------------------------------
 
 def within_one(a, b):
