@@ -14,6 +14,7 @@ with another line, which one edit cannot avoid.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class _Lines:
         return w.mix(self.front(words) ^ w.mix(size + _FRONT_SIDE)), w.mix(last ^ w.mix(size + _BACK_SIDE))
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_rows(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, _, raw, offsets in w.slices(batch.column(2)):
             found = _Lines(raw, offsets)
@@ -71,7 +72,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             small, large = (found.n - 1) // 2, found.n // 2
             keys = np.stack([*found.halves(large), *found.halves(small)], axis=1)
             # Lines of an odd number of words have their halves once, too short ones none.
-            count = np.where(found.n < LEAST_WORDS, 0, np.where(small == large, 2, 4))
+            count = np.where(found.n < least_words, 0, np.where(small == large, 2, 4))
             bounds = np.append(0, np.cumsum(count)).astype(np.int32)
             flat = keys[np.arange(4) < count[:, None]]
             rows = pa.array(low + found.text)
@@ -107,11 +108,11 @@ def _lower_words(line: str) -> list[str]:
     return [x.decode() for x in line.encode().lower().split()]
 
 
-def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(line classes, lines per document) of ``docs`` (doc_id, text).
 
     A line is what stands between newlines and has a word; lines compare by their
-    words with A-Z lower-cased.  Lines of at least five words may differ from an
+    words with A-Z lower-cased.  Lines of at least ``least_words`` words (two or more) may differ from an
     earlier line by one word more, fewer or other; shorter ones must equal it.
     Earlier is a lower (doc_id, hash of the text, line number), null first; a row
     repeated exactly is the same document and keeps what its double keeps.
@@ -119,8 +120,10 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Classes: doc_id, text_hash, line of the first occurrence, and near: whether an
     earlier line is within one edit.  Lines: doc_id, text_hash, n_lines.
     """
+    if least_words < 2:
+        raise ValueError("least_words must be 2 or more: lines of one word have no halves")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    lines = stage(slim.mapInArrow(_line_rows, LINES), "lines")
+    lines = stage(slim.mapInArrow(partial(_line_rows, least_words=least_words), LINES), "lines")
     place = F.struct("doc_id", "text_hash", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("first"), "n", "halves")).alias("m"))
     classes = stage(classes.select("m.first", "m.n", "m.halves", F.monotonically_increasing_id().alias("lid")), "line-classes")
@@ -176,9 +179,9 @@ def _within_one_edit(a: str, b: str):
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (front + back + 1 >= longest)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept for every row of ``docs``; textless rows count 0."""
-    classes, counts = near_lines(docs)
+    classes, counts = near_lines(docs, least_words)
     firsts = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     same = ["doc_id", "text_hash"]
@@ -189,9 +192,9 @@ def line_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", n.alias("n_lines"), (n - first).alias("n_exact"), near.alias("n_near"), (first - near).alias("n_kept"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with their texts less the lines that go; lines without words stay."""
-    classes, _ = near_lines(docs)
+    classes, _ = near_lines(docs, least_words)
     kept = classes.filter(~F.col("near")).groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(F.collect_list("line").alias("_kept"))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     joined = w.record(docs, _text=F.col("text"), _key=key).join(kept, "_key", "left")

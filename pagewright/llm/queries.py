@@ -183,6 +183,15 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op6_line_dedup_texts(spark, sf_dir):
+    """The texts without the lines that go, by length, digest and number of lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.col("text")
+    return line_dedup.dedup_lines(docs).select("doc_id", F.length(rest).cast("long").alias("n_chars"), F.sha2(rest.cast("binary"), 256).alias("text_sha256"),
+                                               F.size(F.split(rest, "\n", -1)).cast("long").alias("n_lines"))
+
+
 @query()
 def op4_license_patience(spark, sf_dir):
     found = patience.scan_licenses(read(spark, sf_dir, "documents"))

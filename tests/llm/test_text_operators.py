@@ -1,5 +1,6 @@
 """Quality rules, rule ensemble, licenses, lines: edges and brute force."""
 
+import hashlib
 import random
 import zlib
 
@@ -245,6 +246,41 @@ def test_lines_equal_brute_force(spark):
         assert (r.n_lines, r.n_exact, r.n_near, r.n_kept) == want.get(r.doc_id, (0, 0, 0, 0)), r
 
 
+def brute_kept(rows, least):
+    """The texts without lines that equal an earlier one or, from ``least`` words on, are within one edit of one."""
+    seen, out = [], {}
+    for d, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            words = line.lower().split()
+            if not words or not any(words == x or min(len(words), len(x)) >= least and one_edit(words, x) for x in seen):
+                kept.append(line)
+            if words:
+                seen.append(words)
+        out[d] = "\n".join(kept)
+    return out
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_texts_without_the_lines_that_go(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(d, "\n".join(" ".join(rng.choice("abcD") for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 7)))) for _ in range(10))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_kept(rows, 5)
+    got = queries.QUERIES["op6_line_dedup_texts"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_chars, r.text_sha256, r.n_lines) for r in got} == {
+        d: (len(t), hashlib.sha256(t.encode()).hexdigest(), len(t.split("\n"))) for d, t in want.items()}
+    for least in (2, 3):
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least).collect()} == brute_kept(rows, least)
+
+
 def test_lines_on_edges(docs, clashing, none):
     got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
     assert len(got) == 11 and got[2].n_lines == got[3].n_lines == got[4].n_lines == 0
