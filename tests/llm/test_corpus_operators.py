@@ -70,7 +70,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute_components(rows):
+def brute_components(rows, similar=85):
     sets = [(i, shingle_set(t)) for i, t in rows]
     label = {i: i for i, _ in rows}
 
@@ -81,7 +81,7 @@ def brute_components(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= similar * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 label[y] = x
     return {i: root(i) for i, _ in rows}, {i: len(s) for i, s in sets}

@@ -47,7 +47,7 @@ def test_quality_drops_what_scores_low(spark, tables):
 
 def test_one_document_of_each_group_stays(tables):
     before = sorted({(r.doc_id, r.text) for r in tables[1].collect()})
-    component, _ = brute_components(before)
+    component, _ = brute_components(before, corpus_pipeline.SIMILAR)
     assert sorted(r.doc_id for r in tables[2].collect()) == sorted(set(component.values()))
 
 
@@ -66,7 +66,10 @@ def test_mix_repeats_whole_documents(tables):
     got = defaultdict(int)
     for r in tables[4].collect():
         got[r.doc_id] += 1
-    assert got == {d: int(r.taken / r.size + 0.5) for d, r in taken.items() if r.size and int(r.taken / r.size + 0.5)}
+    assert set(got) <= {d for d, r in taken.items() if r.size}
+    for d, r in taken.items():
+        if r.size:
+            assert r.taken // r.size <= got[d] <= -(-r.taken // r.size) <= 2
 
 
 def test_shards_hold_everything(tables):
