@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
+from . import bbit_minhash, chat, infill, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,26 @@ def op4_license_patience(spark, sf_dir):
     best = F.get("licenses", F.lit(0))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"),
                         best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"), "licenses")
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+             regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ts FROM documents),
+g AS (SELECT *, len(ts) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(list_slice(ts, 1, lo), '') AS prefix, array_to_string(list_slice(ts, lo + 1, hi), '') AS middle,
+        array_to_string(list_slice(ts, hi + 1, n), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""")
+def op11_infill(spark, sf_dir):
+    out = infill.infill(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("text"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("text").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
