@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, infill, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
+from . import bbit_minhash, chat, infill, laesa, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,32 @@ def op11_infill(spark, sf_dir):
     back = infill.restored(F.col("text"), F.col("form"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("text").cast("binary"), 256).alias("output_sha256"),
                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def _rounds_sql() -> str:
+    """One pair of tables per round: nearest centroid of every vector, then the floors of the means."""
+    steps = []
+    for i in range(laesa.ROUNDS + 1):
+        steps.append(f"""
+a{i} AS (SELECT row, c AS cluster, d FROM (SELECT x.row, c.c, sum((x.q - c.q) * (x.q - c.q)) AS d FROM x JOIN c{i} c ON x.k = c.k GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if i < laesa.ROUNDS:
+            steps.append(f"""
+s{i} AS (SELECT cluster, k, CAST(sum(q) AS HUGEINT) AS s, count(*) AS n FROM x JOIN a{i} USING (row) GROUP BY ALL),
+c{i + 1} AS (SELECT c.c, c.k, coalesce((s - ((s % n) + n) % n) // n, c.q) AS q FROM c{i} c LEFT JOIN s{i} s ON s.cluster = c.c AND s.k = c.k)""")
+    return ",".join(steps)
+
+
+@query(f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, list_transform(embedding, lambda e: CAST(floor({laesa.SCALE} * CAST(e AS DOUBLE)) AS HUGEINT)) AS qs
+           FROM embeddings WHERE len(embedding) = {laesa.DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {laesa.DIMENSIONS}),
+x AS MATERIALIZED (SELECT row, unnest(range({laesa.DIMENSIONS})) AS k, unnest(qs) AS q FROM v),
+first AS (SELECT row, row_number() OVER (ORDER BY sha256('{laesa.SEED}:' || vec_id), qs) - 1 AS c FROM v QUALIFY c < {laesa.CLUSTERS}),
+c0 AS (SELECT c, k, q FROM x JOIN first USING (row)),{_rounds_sql()},
+digests AS (SELECT c, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY k)) AS digest FROM c{laesa.ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM a{laesa.ROUNDS} JOIN v USING (row) JOIN digests ON digests.c = cluster""")
+def op12_laesa_clusters(spark, sf_dir):
+    found, _ = laesa.clusters(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
