@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stage
-from . import bbit_minhash, chat, infill, laesa, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
+from . import bbit_minhash, bestfit, chat, infill, laesa, line_dedup, mixing, patience, phrase_index, quality_rules, rule_ensemble, shards, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -250,3 +250,9 @@ FROM a{laesa.ROUNDS} JOIN v USING (row) JOIN digests ON digests.c = cluster""")
 def op12_laesa_clusters(spark, sf_dir):
     found, _ = laesa.clusters(read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query()
+def op13_bestfit_packing(spark, sf_dir):
+    pieces = bestfit.stored(read(spark, sf_dir, "documents"))
+    return bestfit.packed(pieces)
