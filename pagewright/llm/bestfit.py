@@ -43,12 +43,14 @@ class Encoder:
     Byte-level BPE never joins a character with a blank that follows it, so a text
     may be cut before every single blank that stands between two characters that
     are no white space, and the units encoded each for itself.  Units of up to
-    CACHED_CHARS characters are kept; past CACHED_UNITS of them the cache starts
-    anew.  Special tokens that stand in a text are encoded as the library does by
+    CACHED_CHARS characters are kept, in two generations of about CACHED_UNITS: what
+    is met again moves to the younger one, the older one goes.  Special tokens that stand in a text are encoded as the library does by
     default.
     """
 
+    blanks = re.compile(r" (?:\s|(?<=\s.))")  # a blank beside other white space
     cut = re.compile(r"(?<=\S)(?= \S)")
+    clean = re.compile(r" ?\S+")
 
     def __init__(self, vocabulary: str):
         import os
@@ -61,24 +63,54 @@ class Encoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(str(vocabulary))
+        self.newline = self._ids(["\n"])[0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def units(self, text: str) -> list[str]:
+        if self.blanks.search(text):
+            return self.cut.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
+    def _encode_new(self, units: list[str]) -> dict[str, bytes]:
+        """Units without other white space than a blank at their start are encoded as one text, a line each: one call costs less than many."""
+        clean = [u for u in units if self.clean.fullmatch(u)]
+        out = {}
+        ids = np.array(self._ids(["\n".join(clean)])[0], "<u4")
+        ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
+        if clean and len(self.newline) == 1 and len(ends) == len(clean):
+            raw = ids.tobytes()
+            out = {u: raw[a:b] for u, a, b in zip(clean, [0, *(ends[:-1] + 4).tolist()], ends.tolist())}
+        rest = [u for u in units if u not in out]
+        return out | {u: struct.pack(f"<{len(x)}I", *x) for u, x in zip(rest, self._ids(rest))}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [self.cut.split(text) for text in texts]
-        new = list({u for us in units for u in us if u not in self.known})
-        codes = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        now = {u: struct.pack(f"<{len(ids)}I", *ids) for u, ids in zip(new, codes)}
+        units = [self.units(text) for text in texts]
+        found = [list(map(self.known.get, us)) for us in units]
+        new = {u for us, codes in zip(units, found) if None in codes for u, code in zip(us, codes) if code is None}
+        now = {u: self.older[u] for u in new if u in self.older}
+        now |= self._encode_new([u for u in new if u not in now])
+        out = [b"".join(codes if None not in codes else (now[u] if code is None else code for u, code in zip(us, codes))) for us, codes in zip(units, found)]
         if len(self.known) > CACHED_UNITS:
-            now |= {u: self.known[u] for us in units for u in us if u in self.known}
-            self.known = {}
-        self.known |= now
-        out = [b"".join(map(self.known.__getitem__, us)) for us in units]
-        for u in new:
-            if len(u) > CACHED_CHARS:
-                del self.known[u]
+            self.known, self.older = {}, self.known
+        self.known |= {u: code for u, code in now.items() if len(u) <= CACHED_CHARS}
         return out
 
 
+def worker_encoder(vocabulary: str) -> Encoder:
+    """One encoder per Python worker: Spark runs many tasks in a worker, and each finds the units of those before."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_pagewright_encoders", {})
+    if vocabulary not in held:
+        held[vocabulary] = Encoder(vocabulary)
+    return held[vocabulary]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -92,7 +124,7 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, mos
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         last = np.array([end], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for batch in batches:

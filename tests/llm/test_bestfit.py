@@ -60,7 +60,7 @@ def test_special_strings_and_full_caches(monkeypatch):
     encoder = bestfit.Encoder(public_tokenizers.path(bestfit.VOCABULARY))
     for _ in range(3):
         assert encoder.encode(texts) == want
-        assert all(len(u) <= bestfit.CACHED_CHARS for u in encoder.known)
+    assert encoder.older and all(len(u) <= bestfit.CACHED_CHARS for u in encoder.known | encoder.older)
 
 
 @settings(max_examples=150, deadline=None)
@@ -97,7 +97,7 @@ def test_plan_stays_small():
     assert planned["n"].sum() == sum(histogram.values())
     # No packing needs fewer sequences than the tokens fill, or than there are pieces of over half a sequence.
     least = max(sum(n * c for n, c in histogram.items()) / 2048, sum(c for n, c in histogram.items() if n > 1024))
-    assert (planned["sequence"] + -(-planned["n"] // planned["each"])).max() < 1.001 * least
+    assert (planned["sequence"] + -(-planned["n"] // planned["each"])).max() < 1.005 * least
 
 
 def checked(rows, places, pieces, most):
