@@ -31,7 +31,7 @@ END = 0  # the id that ends a document
 LANES = 1024
 COPIES = 1024  # equal rows that are numbered at once
 ROWS_PER_TASK = 500_000
-CACHED_UNITS, CACHED_CHARS = 500_000, 64
+CACHED_UNITS, CACHED_CHARS = 1_000_000, 64
 PIECE_KEY = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
@@ -71,22 +71,25 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def units(self, text: str) -> list[str]:
+        """Keys of a text's units: without the blank that begins it, or after a newline if none does."""
         if self.blanks.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _encode_new(self, units: list[str]) -> dict[str, bytes]:
-        """Units without other white space than a blank at their start are encoded as one text, a line each: one call costs less than many."""
-        clean = [u for u in units if self.clean.fullmatch(u)]
+            return [u[1:] if len(u) > 1 and u[0] == " " and not u[1].isspace() else "\n" + u for u in self.cut.split(text)]
+        keys = text.split(" ")
+        keys[0] = "\n" + keys[0]
+        return keys
+
+    def _encode_new(self, keys: list[str]) -> dict[str, bytes]:
+        """Codes by key.  Units without other white space than a blank at their start are encoded as one text, a line each: one call costs less than many."""
+        unit_of = {k: k[1:] if k[:1] == "\n" else " " + k for k in keys}
+        clean = [k for k in keys if self.clean.fullmatch(unit_of[k])]
         out = {}
-        ids = np.array(self._ids(["\n".join(clean)])[0], "<u4")
+        ids = np.array(self._ids(["\n".join(map(unit_of.get, clean))])[0], "<u4")
         ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
         if clean and len(self.newline) == 1 and len(ends) == len(clean):
             raw = ids.tobytes()
-            out = {u: raw[a:b] for u, a, b in zip(clean, [0, *(ends[:-1] + 4).tolist()], ends.tolist())}
-        rest = [u for u in units if u not in out]
-        return out | {u: struct.pack(f"<{len(x)}I", *x) for u, x in zip(rest, self._ids(rest))}
+            out = {k: raw[a:b] for k, a, b in zip(clean, [0, *(ends[:-1] + 4).tolist()], ends.tolist())}
+        rest = [k for k in keys if k not in out]
+        return out | {k: struct.pack(f"<{len(x)}I", *x) for k, x in zip(rest, self._ids([unit_of[k] for k in rest]))}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [self.units(text) for text in texts]
