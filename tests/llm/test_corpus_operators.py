@@ -190,8 +190,43 @@ def test_targets_and_words_taken(spark, small):
     assert (by["size"] == by["stated"]).all()
     assert np.allclose(by["target"], fill(by["size"].tolist(), [(3, 1, 2)[i % 3] for i in range(len(by))]))
     assert (abs(by["taken"] - by["target"]) <= 0.5).all() and (got["taken"] <= 2 * got["size"]).all()
-    again = mixing.taken_words(small.repartition(5)).toPandas()
-    assert again["taken"].sum() == got["taken"].sum()
+
+
+def test_taken_words_follow_from_the_rows_alone(spark, small, monkeypatch):
+    """Whatever the files, splits and order, and however small the groups that are drawn and numbered at once."""
+    repeats = small.unionByName(small.filter("doc_id < 5")).unionByName(small.filter("doc_id = 3"))
+    want = sorted(map(repr, mixing.taken_words(repeats.repartition(1)).collect()))
+    assert len(want) == 206 and all(n.n_shards == 0 for n in mixing.taken_words(small).filter("taken = 0").collect())
+    monkeypatch.setattr(mixing, "COPIES", 2)
+    monkeypatch.setattr(mixing, "SLOTS_AT_ONCE", 7)
+    monkeypatch.setattr(mixing, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(mixing, "SLOTS_PER_TASK", 30)
+    assert sorted(map(repr, mixing.taken_words(repeats.orderBy(F.desc("n_chars")).repartition(9)).collect())) == want
+
+
+def test_slots_of_many_groups_of_shards(spark):
+    targets = spark.createDataFrame([(0, "a", 40_000, 60_000.0), (1, "b", 1_000, 2_000.0), (2, None, 5, 0.2)], "sid int, source string, source_size long, target double")
+    slots = mixing.mixture_slots(targets, block=8, slots_per_shard=40).toPandas()
+    assert slots.groupby("sid")["take"].sum().to_dict() == {0: 60_000, 1: 2_000}
+    for sid, part in slots.groupby("sid"):
+        assert sorted(part["slot"]) == list(range(len(part))) and part["shard"].max() < 200
+    sizes = slots.groupby("shard").size()
+    assert len(sizes) > 180 and sizes.max() < 100
+    first = slots[(slots["sid"] == 0) & (slots["epoch"] == 0)]
+    assert sorted(first["idx"]) == list(range(5000))
+
+
+def test_whole_copies_keep_the_words_of_a_source(spark):
+    """Documents of one to thousands of words: each source is off by less than its longest document, and mostly by far less."""
+    rng = random.Random(12)
+    for share in (0.3, 0.5, 1.0, 1.7, 2.0):
+        rows = [(i, i % 7, n, int(n * share)) for i in range(700) for n in [int(rng.lognormvariate(4, 1.2)) + 1]]
+        shares = spark.createDataFrame(rows, "_key int, sid int, size long, taken long")
+        got = {r._key: r._copies for r in mixing.whole_copies(shares).collect()}
+        assert len(got) == 700 and all(taken // size <= got[k] <= -(-taken // size) for k, _, size, taken in rows)
+        for sid in range(7):
+            mine = [r for r in rows if r[1] == sid]
+            assert abs(sum(got[k] * n for k, _, n, _ in mine) - sum(r[3] for r in mine)) <= max(n for _, _, n, _ in mine)
 
 
 def test_permutations_are_permutations():

@@ -72,6 +72,15 @@ def test_mix_repeats_whole_documents(tables):
             assert r.taken // r.size <= got[d] <= -(-r.taken // r.size) <= 2
 
 
+def test_mix_comes_near_the_targets(tables):
+    """Each source's words are within one of its documents of its target."""
+    targets = {r.source: r for r in mixing.source_targets(tables[3].withColumn("size", mixing.n_words())).collect()}
+    longest = {r.source: r.n for r in tables[3].groupBy("source").agg(F.max(mixing.n_words()).alias("n")).collect()}
+    got = {r.source: r.n for r in tables[4].groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).collect()}
+    for source, t in targets.items():
+        assert abs(got.get(source, 0) - t.target) <= longest[source] + 0.5
+
+
 def test_shards_hold_everything(tables):
     out = tables[5].toPandas()
     assert sorted(out["doc_id"]) == sorted(r.doc_id for r in tables[4].collect())
