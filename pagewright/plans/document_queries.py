@@ -11,11 +11,12 @@ from ..functions import text as tx
 from ..operators import assemble as asm
 from ..operators import inference as inf
 from ..operators import keywords as kw
+from ..operators import memo
 from ..operators import pages as pg
 from ..operators import progress as pr
 from ..operators import requests as rq
 from ..operators.packing import chunk_pages as pack
-from ..session import stage
+from ..session import scratch_dir, stage
 from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES, html_text
 from ..sources.uploads import first_copies, split_pages, validate, with_digest
 from . import sql as q
@@ -246,6 +247,26 @@ def run_inference_stub(spark, sf_dir):
     return inf.merge_translations(replied).select("doc_id", "text", "completion_tokens", "error")
 
 
+def _says(word: str):
+    return lambda: lambda system, user, max_tokens, temperature: (f"{word} {user}", len(user))
+
+
+@query(f"""WITH RECURSIVE {q.window_walk('documents')},
+old AS (SELECT DISTINCT win FROM wins JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr')),
+calls AS (SELECT count(DISTINCT win) AS n FROM wins WHERE win NOT IN (SELECT win FROM old))
+SELECT doc_id, win_idx, win IN (SELECT win FROM old) AS known, {q.strip("CASE WHEN win IN (SELECT win FROM old) THEN 'old ' ELSE 'new ' END || win")} AS text,
+  length(win) AS completion_tokens, calls.n AS calls FROM wins, calls""")
+def reply_memo(spark, sf_dir):
+    """Two runs over one reply table: what the first asked is not asked again, nor what several documents ask."""
+    store = scratch_dir(spark, "replies")
+    asked = rq.translation_requests(_docs_as_chunks(spark, sf_dir))
+    first = documents(spark, sf_dir).filter("lang IN ('en', 'fr')").select("doc_id")
+    memo.ask_once(asked.join(first, "doc_id", "left_semi"), _says("old"), store)
+    told = stage(memo.ask_once(asked, _says("new"), store), "told")
+    return told.select("doc_id", "win_idx", F.col("text").startswith("old ").alias("known"), "text", "completion_tokens",
+                       F.lit(told.filter("NOT hit").count()).alias("calls"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, {q.sentence_list('text')} AS ss,
     CASE lang WHEN 'en' THEN 'eng_Latn' WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' ELSE 'spa_Latn' END AS code FROM documents)
 SELECT doc_id, array_to_string(list_transform(ss, lambda x: code || '(' || x || ')'), ' ') AS text, CAST(len(ss) AS BIGINT) AS n_sentences

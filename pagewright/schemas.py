@@ -33,6 +33,9 @@ RESPONSES = _row(
     ("doc_id", _s), ("index", _l), ("win_idx", _l), ("kind", _s), ("text", _s),
     ("elapsed", _d), ("completion_tokens", _l), ("error", _s),
 )
+REPLIES = _row(
+    ("ask", _s), ("kind", _s), ("text", _s), ("elapsed", _d), ("completion_tokens", _l), ("error", _s), ("at", T.TimestampType()),
+)
 COMPLETION = T.StructType([
     T.StructField("choices", T.ArrayType(_row(("message", _row(("content", _s)))))),
     T.StructField("usage", _row(("completion_tokens", _l))),
