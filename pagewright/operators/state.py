@@ -161,6 +161,35 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     )
 
 
+def partial_jobs(events: DataFrame) -> DataFrame:
+    """One row per event in the form of saved job states, see ``merge_jobs``."""
+    kind, seq = F.col("type"), F.col("seq").cast("long")
+
+    def only(condition: Column, value: Column) -> Column:
+        return F.when(condition, value)
+
+    ended, failed, answered = kind.isin("result", "error"), kind == "error", (kind == "result") & F.col("data").isNotNull()
+    return events.select(
+        "doc_id", seq.alias("any_seq"), "type", "progress", "message", only(ended, seq).alias("end_seq"), only(ended, kind).alias("end_type"),
+        only(failed, seq).alias("err_seq"), only(failed, F.col("message")).alias("error"),
+        only(answered, seq).alias("res_seq"), only(answered, F.col("data")).alias("result"), (kind != "queued").alias("started"))
+
+
+def merge_jobs(states: DataFrame) -> DataFrame:
+    """Saved job states to one per ``doc_id``: of each kind the row with the highest sequence number."""
+    kinds = {"any": ["type", "progress", "message"], "end": ["end_type"], "err": ["error"], "res": ["result"]}
+    folded = states.groupBy("doc_id").agg(
+        *[F.max(F.when(F.col(f"{k}_seq").isNotNull(), F.struct(f"{k}_seq", *cols))).alias(k) for k, cols in kinds.items()],
+        F.max("started").alias("started"))
+    return folded.select("doc_id", *[F.col(f"{k}.{c}").alias(c) for k, cols in kinds.items() for c in (f"{k}_seq", *cols)], "started")
+
+
+def settle_jobs(merged: DataFrame) -> DataFrame:
+    """(doc_id, status, progress, message, error, result) from merged job states."""
+    status = F.when(F.col("end_type") == "result", "done").when(F.col("end_type") == "error", "error").when(F.col("started"), "processing").otherwise("queued")
+    return merged.select("doc_id", status.alias("status"), "progress", "message", "error", "result")
+
+
 def seed_done(hits: DataFrame) -> DataFrame:
     """Cache hits as finished jobs."""
     return hits.select(

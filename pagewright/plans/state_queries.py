@@ -16,6 +16,7 @@ from ..sinks.tables import write_events
 from ..sources.events import parse_events, read_events
 from ..sources.uploads import text_pages
 from ..streaming import events as se
+from ..streaming import jobs as sj
 from . import sql as q
 from .registry import query, table
 from .text_queries import documents
@@ -101,13 +102,21 @@ _JOBS_SQL = f"""{_JOB_EVENTS_SQL}, jobs AS (SELECT doc_id,
     arg_max(data, seq) FILTER (WHERE data IS NOT NULL) AS result FROM je GROUP BY doc_id)"""
 
 
-def _job_events(events: DataFrame) -> DataFrame:
+def _in_turn(rows: DataFrame, path: str, n: int) -> None:
+    """The rows as ``n`` files by time, the earliest first, as a stream would bring them."""
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    turn = F.least(F.floor((F.unix_micros("ts") - low) * n / (high - low + 1)), F.lit(n - 1))
+    for k in range(n):
+        rows.filter(turn == k).coalesce(1).write.mode("append").parquet(path)
+
+
+def _job_events(events: DataFrame, **more: Column) -> DataFrame:
     kind = F.col("event_type")
     type_ = F.when(kind == "purchase", "result").when(kind == "error", "error").when(kind == "signup", "queued").otherwise("progress")
     return events.select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), type_.alias("type"),
         F.floor("value").cast("int").alias("progress"), F.concat_ws(" ", kind, F.col("event_id").cast("string")).alias("message"),
-        F.when((kind == "purchase") & (F.col("value") > 20), F.col("props")).alias("data"))
+        F.when((kind == "purchase") & (F.col("value") > 20), F.col("props")).alias("data"), *[c.alias(n) for n, c in more.items()])
 
 
 @query(f"WITH {_JOBS_SQL} SELECT * FROM jobs")
@@ -127,6 +136,18 @@ def job_state_stream(spark, sf_dir):
     return se.read_jobs(spark, f"{out}/rows")
 
 
+@query(f"WITH {_JOBS_SQL} SELECT * FROM jobs")
+def job_state_kept(spark, sf_dir):
+    """The events in batches by time, through a state that ended jobs leave, read from a snapshot and the parts after it."""
+    out = scratch_dir(spark, "jobs")
+    events = _events(spark, sf_dir)
+    told = _job_events(events, ts=F.col("ts").cast("timestamp"))
+    _in_turn(told, f"{out}/events", 4)
+    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
+    sj.keep_jobs(stream, f"{out}/states", f"{out}/checkpoint", keep_ms=1, late="1 second", snapshot_every=2).awaitTermination()
+    return sj.current_jobs(spark, f"{out}/states")
+
+
 @query(f"""WITH {_JOB_EVENTS_SQL} SELECT 'cache' AS target, 'k' || doc_id AS id, arg_max(data, seq) AS payload, count(*) AS writes
 FROM je WHERE type = 'result' AND data IS NOT NULL GROUP BY doc_id
 UNION ALL SELECT 'history', CAST(doc_id AS VARCHAR), arg_max(CASE type WHEN 'error' THEN 'fail' ELSE 'finish' END, seq), count(*)
