@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,20 +55,51 @@ def parse_overview(raw: Column) -> Column:
     return bind(bind(marked, cut), pick)
 
 
+def phrase_mapper(characters: dict[str, str], phrases: dict[str, str]):
+    """A function that maps a text in one pass from the left.
+
+    Phrases are found by their first two characters, which give the lengths to
+    try, the longest first; so the time does not depend on their number.
+    """
+    table = str.maketrans({**characters, **{p: to for p, to in phrases.items() if len(p) == 1}})
+    longer = {p: to for p, to in phrases.items() if len(p) > 1}
+    lengths: dict[str, list[int]] = {}
+    for head, size in sorted({(p[:2], len(p)) for p in longer}, key=lambda x: -x[1]):
+        lengths.setdefault(head, []).append(size)
+
+    def convert(text: str) -> str:
+        out, begin, at = [], 0, 0
+        while at < len(text) - 1:
+            step = 1
+            for size in lengths.get(text[at : at + 2], ()):
+                found = longer.get(text[at : at + size])
+                if found is not None:
+                    out += [text[begin:at].translate(table), found]
+                    step, begin = size, at + size
+                    break
+            at += step
+        return "".join([*out, text[begin:].translate(table)])
+
+    return convert
+
+
 def to_traditional(text: Column, characters: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
     """Map simplified to traditional script with the caller's table.
 
     One pass from the left: at each place the longest phrase that starts there is
     taken, else the character; each piece is looked up once, so what a phrase
-    gives is not mapped again.
+    gives is not mapped again.  Characters alone are mapped without Python workers.
+    The table goes to every worker once, as a part of the plan.
     """
     if not phrases:
         return F.translate(text, "".join(characters), "".join(characters.values()))
-    longest = sorted(phrases, key=lambda p: (-len(p), p))
-    piece = "|".join([*(re.escape(p) for p in longest), r"(?s:.)"])
-    table = F.create_map(*[F.lit(x) for pair in {**characters, **phrases}.items() for x in pair])
-    pieces = F.regexp_extract_all(text, F.lit(f"({piece})"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    mapper = phrase_mapper(characters, phrases)
+
+    @F.pandas_udf("string")
+    def mapped(texts: pd.Series) -> pd.Series:
+        return texts.map(mapper, na_action="ignore")
+
+    return mapped(text)
 
 
 def completion(body: Column) -> Column:

@@ -20,6 +20,7 @@ from ..functions.codes import already_target, source_code
 from ..operators import assemble as asm
 from ..operators import inference as inf
 from ..operators import keywords as kw
+from ..operators import hashed_language as hl
 from ..operators import language as lg
 from ..operators import pages as pg
 from ..operators import progress as pr
@@ -58,7 +59,7 @@ def _overview_failures(failed: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.Client],
-            features: str, ocr_pages: DataFrame | None = None, profile: DataFrame | None = None,
+            features: str, ocr_pages: DataFrame | None = None, profile: DataFrame | hl.Model | None = None,
             fix_script: Callable | None = None, tasks: int | None = None,
             translators: Mapping[str, Callable[[], inf.BatchTranslator]] | None = None,
             unread: DataFrame | None = None) -> Analysis:
@@ -85,7 +86,8 @@ def analyze(pages: DataFrame, config: Config, client_factory: Callable[[], inf.C
     scripts = lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text")))
     classified = None
     if profile is not None:
-        classified = lg.classify(lg.undecided(scripts, chunks), profile)
+        classify = hl.classify if isinstance(profile, hl.Model) else lg.classify
+        classified = classify(lg.undecided(scripts, chunks), profile)
     languages = stage(lg.detect_language(scripts, classified), "languages")
 
     replied = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed_values as fv
+from ..operators import hashed_language as hl
 
 WS = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LB = r"\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}"
@@ -161,6 +162,26 @@ def profile_scores(trained: str, scored: str) -> str:
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
 
 
+def hashed_scores(trained: str, scored: str) -> str:
+    """CTEs ``best`` (doc_id, language, score): hashed 3-gram model trained on (lang, text), applied to (doc_id, text)."""
+    a, b, _ = hl.WEIGHTS
+
+    def grams(source: str, key: str) -> str:
+        return (f"SELECT {key}, (c[i] * {a} + c[i + 1] * {b} + c[i + 2]) % {hl.BUCKETS} AS gram FROM (SELECT {key}, c, unnest(range(1, len(c) - 1)) AS i "
+                f"FROM (SELECT {key}, list_transform(string_split(text, ''), lambda x: unicode(x)) AS c FROM {source}))")
+
+    return f"""
+    profile AS (SELECT lang, gram, count(*) AS n FROM ({grams(trained, 'lang')}) GROUP BY ALL),
+    norms AS (SELECT lang, sum(n) AS total FROM profile GROUP BY lang),
+    doc_grams AS (SELECT doc_id, gram, count(*) AS c FROM ({grams(scored, 'doc_id')}) GROUP BY ALL),
+    doc_totals AS (SELECT doc_id, sum(c) AS c FROM doc_grams GROUP BY doc_id),
+    found AS (SELECT doc_id, lang, sum(c * ln(n + 1)) AS w FROM doc_grams JOIN profile USING (gram) GROUP BY ALL),
+    rated AS (SELECT t.doc_id, m.lang, round(coalesce(f.w, 0) - t.c * ln(m.total + {hl.BUCKETS}), 6) AS score
+        FROM doc_totals t CROSS JOIN norms m LEFT JOIN found f ON f.doc_id = t.doc_id AND f.lang = m.lang),
+    best AS (SELECT doc_id, lang AS language, score FROM rated
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
+
+
 def top_words(source: str, k: int = 60) -> str:
     """CTEs ``kw`` (doc_id, rank, word, weight) from ``source`` (doc_id, ord, text)."""
     return f"""

@@ -9,6 +9,7 @@ from .. import fixed_values as fv
 from ..functions import codes, replies
 from ..functions import report as rp
 from ..functions import text as tx
+from ..operators import hashed_language as hl
 from ..operators import keywords as kw
 from ..operators import language as lg
 from ..operators import pages as pg
@@ -151,19 +152,31 @@ def language_profile(spark, sf_dir):
     return lg.classify(docs.select("doc_id", "text"), profile).withColumn("score", F.round("score", 3))
 
 
+_EVEN = "(SELECT lang, text FROM documents WHERE doc_id % 2 = 0)"
+
+
+@query(f"""WITH {q.hashed_scores(_EVEN, 'documents')}
+SELECT doc_id, doc_id % 2 <> 0 AS held_out, language, round(score, 3) AS score FROM documents LEFT JOIN best USING (doc_id)""")
+def language_hashed(spark, sf_dir):
+    """Every document by a model of fixed size that saw the even ones only."""
+    docs = documents(spark, sf_dir)
+    model = hl.Model.of(hl.train(docs.filter("doc_id % 2 = 0").select("lang", "text")))
+    return hl.classify(docs, model).select("doc_id", (F.col("doc_id") % 2 != 0).alias("held_out"), "language", F.round("score", 3).alias("score"))
+
+
 _DETECT_SQL = f"""src AS (SELECT source AS doc_id, idx, original FROM (SELECT doc_id AS source, idx, original FROM chunks)),
 sums AS (SELECT doc_id, sum({q.dense('original')}) AS d, sum({q.count('original', q.HAN)}) AS han,
          sum({q.count('original', q.KANA)}) AS kana, sum({q.count('original', q.HANGUL)}) AS hangul FROM chunks GROUP BY doc_id),
 wholes AS (SELECT doc_id, original AS text FROM chunks),
-{q.profile_scores('documents', 'wholes')},
+{q.hashed_scores('documents', 'wholes')},
 detected AS (SELECT s.doc_id, coalesce({q.script('s.d', 's.han', 's.kana', 's.hangul')}, b.language, 'en') AS language
     FROM sums s LEFT JOIN best b USING (doc_id))"""
 
 
 def detected_languages(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     scripts = stage(lg.document_scripts(chunks.select("doc_id", F.col("original").alias("text"))), "scripts")
-    profile = stage(lg.train_profile(docs.select("lang", "text")), "profile")
-    return lg.detect_language(scripts, lg.classify(lg.undecided(scripts, chunks), profile))
+    model = hl.Model.of(hl.train(docs.select("lang", "text")))
+    return lg.detect_language(scripts, hl.classify(lg.undecided(scripts, chunks), model))
 
 
 _LANG_PAGES_SQL = (f"paged AS (SELECT source || '-' || lang AS doc_id, doc_id AS page_no, "
