@@ -233,6 +233,12 @@ def _pack_block(pages: Column, buf: Column, n: Column, next_cap: Column, budget:
     return F.aggregate(pages, state, scan, pieces)
 
 
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """The rows that ``chunk_pages`` can place nowhere, all their columns and ``reason``: no doc_id, or no page_no."""
+    reason = F.when(F.col("doc_id").isNull(), "no doc_id").when(F.col("page_no").isNull(), "no page_no")
+    return pages.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def chunk_pages(pages: DataFrame, max_chars: int, page_bits: int = PAGE_BITS) -> DataFrame:
     """(doc_id, page_no, text) -> (doc_id, index, original).
 
@@ -242,18 +248,25 @@ def chunk_pages(pages: DataFrame, max_chars: int, page_bits: int = PAGE_BITS) ->
 
     Page sizes are read first and texts afterwards, so texts that are dear to
     compute should come from a stored table.  If that has a ``size`` column with
-    the length of each text, the first pass reads no texts at all.
+    the length of each text, the first pass reads no texts at all, but those of
+    rows whose size is null.  Pages without text are passed over; rows without a
+    doc_id or page_no belong to no chunk and come out of ``rejected_pages``.
     """
     gap = len(SEPARATOR)
     stored = "size" in pages.columns
     # Stated null checks keep the two readers of the texts below identical, so that
     # Spark sees one and the same exchange and runs it once.
-    used = pages.filter("doc_id is not null and page_no is not null").filter("size > 0" if stored else "text != ''")
+    used = pages.filter("doc_id is not null and page_no is not null").filter("coalesce(size, length(text)) > 0" if stored else "text != ''")
     used = used.withColumn("block", _parent("page_no", BLOCK_BITS))
 
-    size = (F.col("size") if stored else F.length("text")).cast("bigint").alias("size")
+    measured = used.select("doc_id", "block", "page_no", F.length("text").cast("bigint").alias("size"))
+    if stored:
+        # Two scans: the one of sizes reads no texts, and the other none but where files hold null sizes.
+        slim = pages.filter("doc_id is not null and page_no is not null").withColumn("block", _parent("page_no", BLOCK_BITS))
+        missing = slim.filter("size IS NULL AND text != ''").select("doc_id", "block", "page_no", F.length("text").cast("bigint").alias("size"))
+        measured = slim.filter("size > 0").select("doc_id", "block", "page_no", F.col("size").cast("bigint").alias("size")).unionByName(missing)
     entries = stage(
-        _block_entries(_in_order(used.select("doc_id", "block", "page_no", size), "size"), max_chars, gap, _levels(page_bits)),
+        _block_entries(_in_order(measured, "size"), max_chars, gap, _levels(page_bits)),
         "packing")
     blocks = _in_order(used, "text")
     packed = _pack_block(F.col("pages"), F.col("buf"), F.col("n"), F.col("next_cap"), max_chars, gap)

@@ -75,6 +75,18 @@ def test_stored_sizes_give_the_same_chunks(spark):
     assert sorted(map(tuple, plain)) == sorted(map(tuple, sized)) and len(plain) == 4
 
 
+def test_null_sizes_and_keys(spark):
+    """A null size is measured; what belongs to no chunk is given out with its reason."""
+    rows = [("d", n, t, None if n % 2 else len(t)) for n, t in enumerate(texts_of([3, 0, 8, 2, 2, 9]))]
+    rows += [(None, 1, "lost", 4), ("d", None, "lost too", None), (None, None, None, None), ("e", 0, None, None)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no long, text string, size long")
+    want = packing.chunk_pages(pages.drop("size"), 10).collect()
+    assert sorted(map(tuple, packing.chunk_pages(pages, 10).collect())) == sorted(map(tuple, want)) and len(want) == 4
+    got = packing.rejected_pages(pages)
+    assert got.columns == [*pages.columns, "reason"]
+    assert sorted((r.reason, r.text or "") for r in got.collect()) == [("no doc_id", ""), ("no doc_id", "lost"), ("no page_no", "lost too")]
+
+
 def test_one_document_with_most_pages(spark):
     docs = {"hot": texts_of([5] * 700)}
     docs.update({f"d{i}": texts_of([4, 4]) for i in range(20)})
