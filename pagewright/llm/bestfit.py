@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch_dir
+from ..session import stage
 from . import words as w
 
 SEQUENCE = 2048
@@ -81,7 +81,7 @@ class Encoder:
     def _encode_new(self, keys: list[str]) -> dict[str, bytes]:
         """Codes by key.  Units without other white space than a blank at their start are encoded as one text, a line each: one call costs less than many."""
         unit_of = {k: k[1:] if k[:1] == "\n" else " " + k for k in keys}
-        clean = [k for k in keys if self.clean.fullmatch(unit_of[k])]
+        clean = [k for k in keys if k.isalnum() or self.clean.fullmatch(unit_of[k])]
         out = {}
         ids = np.array(self._ids(["\n".join(map(unit_of.get, clean))])[0], "<u4")
         ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * 4
@@ -94,16 +94,27 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [self.units(text) for text in texts]
         found = [list(map(self.known.get, us)) for us in units]
-        new = {u for us, codes in zip(units, found) if None in codes for u, code in zip(us, codes) if code is None}
+        gaps = [(us, codes, i) for us, codes in zip(units, found) for i in _gaps(codes)]
+        new = {us[i] for us, _, i in gaps}
         now = {u: self.older[u] for u in new if u in self.older}
         now |= self._encode_new([u for u in new if u not in now])
-        out = [b"".join(codes if None not in codes else (now[u] if code is None else code for u, code in zip(us, codes))) for us, codes in zip(units, found)]
+        for us, codes, i in gaps:
+            codes[i] = now[us[i]]
+        out = list(map(b"".join, found))
         if len(self.known) > CACHED_UNITS:
             self.known, self.older = {}, self.known
         self.known |= {u: code for u, code in now.items() if len(u) <= CACHED_CHARS}
         return out
 
 
+def _gaps(codes: list[bytes | None]) -> Iterator[int]:
+    """Where a list holds None, which are few of its places."""
+    at = -1
+    for _ in range(codes.count(None)):
+        at = codes.index(None, at + 1)
+        yield at
+
+
 def worker_encoder(vocabulary: str) -> Encoder:
     """One encoder per Python worker: Spark runs many tasks in a worker, and each finds the units of those before."""
     import tokenizers
@@ -247,10 +258,7 @@ def packed(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
 
 def stored(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, most: int = SEQUENCE) -> DataFrame:
     """``tokenized`` documents in a file of the shared folder, since lengths, places and ids are read one after another."""
-    pieces = tokenized(docs, vocabulary, end, most)
-    path = scratch_dir(docs.sparkSession, "tokens")
-    pieces.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(pieces.schema).parquet(path)
+    return stage(tokenized(docs, vocabulary, end, most), "tokens")
 
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
