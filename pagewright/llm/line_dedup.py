@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frames import let
 from ..session import stage
 from . import words as w
 
@@ -108,8 +109,8 @@ def _lower_words(line: str) -> list[str]:
     return [x.decode() for x in line.encode().lower().split()]
 
 
-def near_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(line classes, lines per document) of ``docs`` (doc_id, text).
+def near_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The line classes of ``docs`` (doc_id, text).
 
     A line is what stands between newlines and has a word; lines compare by their
     words with A-Z lower-cased.  Lines of at least ``least_words`` words (two or more) may differ from an
@@ -117,8 +118,8 @@ def near_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFra
     Earlier is a lower (doc_id, hash of the text, line number), null first; a row
     repeated exactly is the same document and keeps what its double keeps.
 
-    Classes: doc_id, text_hash, line of the first occurrence, and near: whether an
-    earlier line is within one edit.  Lines: doc_id, text_hash, n_lines.
+    Columns: doc_id, text_hash, line of the first occurrence, and near: whether an
+    earlier line is within one edit.
     """
     if least_words < 2:
         raise ValueError("least_words must be 2 or more: lines of one word have no halves")
@@ -134,8 +135,7 @@ def near_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFra
     wanted = classes.join(paired, "lid", "left_semi").select("lid", "first")
     near = _near_classes(_line_texts(slim, wanted), wanted)
     marked = classes.select("lid", "first").join(near.withColumn("near", F.lit(True)), "lid", "left")
-    counts = lines.groupBy("doc_id", "text_hash", "line").agg(F.lit(1).alias("one")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_lines"))
-    return marked.select("first.*", F.coalesce("near", F.lit(False)).alias("near")), counts
+    return marked.select("first.*", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,24 +179,39 @@ def _within_one_edit(a: str, b: str):
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (front + back + 1 >= longest)
 
 
+def _rewritten(docs: DataFrame, least_words: int) -> DataFrame:
+    """The rows of ``docs``, recorded, with _rest (text less the lines that go), _all, _first and _near (counts of lines).
+
+    Numbers of kept lines and of blank ones are sorted together and the lines
+    taken by number, so the work follows the lines of a text.
+    """
+    classes = near_lines(docs.select("doc_id", "text"), least_words)
+    held = classes.groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(
+        F.collect_list(F.when(~F.col("near"), F.col("line"))).alias("_kept"), F.count("*").alias("_first"), F.count_if("near").alias("_near"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    joined = w.record(docs, _text=F.col("text"), _key=key).join(held, "_key", "left")
+    lined = let(joined, _lines=F.split("_text", "\n", -1))
+    numbers = F.transform("_lines", lambda x, i: F.when(~x.rlike(w.NOT_SPACE), i))
+    blank = let(lined, _blank=F.filter(numbers, lambda i: i.isNotNull()))
+    stay = F.array_sort(F.concat("_blank", F.coalesce("_kept", F.array().cast("array<int>"))))
+    counts = {"_all": F.size("_lines") - F.size("_blank"), "_first": F.col("_first"), "_near": F.col("_near")}
+    counts = {name: F.coalesce(F.when(F.col("_text").isNotNull(), n), F.lit(0)).cast("long") for name, n in counts.items()}
+    return blank.withColumn("_rest", F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n")).withColumns(counts)
+
+
 def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_exact, n_near, n_kept for every row of ``docs``; textless rows count 0."""
-    classes, counts = near_lines(docs, least_words)
-    firsts = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_first"), F.count_if("near").alias("n_near"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    same = ["doc_id", "text_hash"]
-    both = counts.join(firsts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n_first", "n_near"),
-                       F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").select(*same, "n_lines", "n_first", "n_near")
-    out = rows.join(both, rows["doc_id"].eqNullSafe(both["doc_id"]) & (rows["text_hash"] == both["text_hash"]), "left").drop(both["doc_id"], both["text_hash"])
-    n, first, near = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_first", "n_near"))
-    return out.select("doc_id", n.alias("n_lines"), (n - first).alias("n_exact"), near.alias("n_near"), (first - near).alias("n_kept"))
+    """What is left of every row of ``docs`` (doc_id, text).
+
+    doc_id; n_lines, n_exact, n_near, n_kept: lines with a word, those equal to an
+    earlier one, those near one, the rest; text: without the lines that go.  Null
+    texts count 0 and stay null; a text that loses all its lines is empty.
+    """
+    out = _rewritten(docs.select("doc_id", "text"), least_words)
+    return out.select(F.col("_r0").cast("long").alias("doc_id"), F.col("_all").alias("n_lines"), (F.col("_all") - F.col("_first")).alias("n_exact"),
+                      F.col("_near").alias("n_near"), (F.col("_first") - F.col("_near")).alias("n_kept"), F.col("_rest").alias("text"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with their texts less the lines that go; lines without words stay."""
-    classes, _ = near_lines(docs, least_words)
-    kept = classes.filter(~F.col("near")).groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(F.collect_list("line").alias("_kept"))
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    joined = w.record(docs, _text=F.col("text"), _key=key).join(kept, "_key", "left")
-    rest = F.filter(F.split("_text", "\n", -1), lambda x, i: ~x.rlike(w.NOT_SPACE) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
-    return w.unrecord(joined.withColumn("text", F.array_join(rest, "\n")), docs.columns, "text")
+    """``docs`` with their texts less the lines that go; lines without words and null texts stay."""
+    out = _rewritten(docs, least_words)
+    return w.unrecord(out.withColumn("text", F.col("_rest")), docs.columns, "text")

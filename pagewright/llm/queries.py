@@ -164,7 +164,7 @@ def op1_rule_ensemble(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, i AS line, regexp_extract_all(translate(list_extract(ls, i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH l AS (SELECT doc_id, i AS line, list_extract(ls, i) AS raw, regexp_extract_all(translate(list_extract(ls, i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\\x20\\x09-\\x0D]+') AS ws
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), generate_series(1, len(ls)) AS g(i)),
 lw AS (SELECT * FROM l WHERE len(ws) > 0),
@@ -175,21 +175,20 @@ near AS (SELECT a.place FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i WHERE
    UNION SELECT a.place FROM c a JOIN v b ON b.rest = a.ws WHERE a.n >= 5 AND b.place < a.place),
 f AS (SELECT CAST(c.place // 1000000000 AS BIGINT) AS doc_id, count(*) AS n_first, count(near.place) AS n_near
       FROM c LEFT JOIN near ON near.place = c.place GROUP BY 1),
-n AS (SELECT doc_id, count(*) AS n_lines FROM lw GROUP BY doc_id)
+n AS (SELECT doc_id, count(*) AS n_lines FROM lw GROUP BY doc_id),
+gone AS (SELECT place FROM near UNION SELECT CAST(lw.doc_id AS HUGEINT) * 1000000000 + line FROM lw
+         WHERE CAST(lw.doc_id AS HUGEINT) * 1000000000 + line NOT IN (SELECT place FROM c)),
+t AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) AS rest FROM l LEFT JOIN gone ON place = CAST(doc_id AS HUGEINT) * 1000000000 + line
+      WHERE place IS NULL GROUP BY doc_id),
+x AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS rest FROM documents LEFT JOIN t USING (doc_id))
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_lines, 0) - coalesce(n_first, 0) AS BIGINT) AS n_exact,
-  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_first, 0) - coalesce(n_near, 0) AS BIGINT) AS n_kept
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""")
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_first, 0) - coalesce(n_near, 0) AS BIGINT) AS n_kept,
+  CAST(length(rest) AS BIGINT) AS n_chars, sha256(rest) AS text_sha256
+FROM documents d JOIN x USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""")
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-@query()
-def op6_line_dedup_texts(spark, sf_dir):
-    """The texts without the lines that go, by length, digest and number of lines."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rest = F.col("text")
-    return line_dedup.dedup_lines(docs).select("doc_id", F.length(rest).cast("long").alias("n_chars"), F.sha2(rest.cast("binary"), 256).alias("text_sha256"),
-                                               F.size(F.split(rest, "\n", -1)).cast("long").alias("n_lines"))
+    return line_dedup.line_report(read(spark, sf_dir, "documents")).withColumns(
+        {"n_chars": F.length(rest).cast("long"), "text_sha256": F.sha2(rest.cast("binary"), 256)}).drop("text")
 
 
 @query()
