@@ -12,10 +12,13 @@ from ..operators import metrics
 from ..operators import progress as pr
 from ..operators import state as st
 from ..session import scratch_dir, stage
-from ..sinks.tables import write_events
+from ..sinks.buckets import BucketTable, rewrite, rows
+from ..sinks.tables import delete_history as delete_history_rows
+from ..sinks.tables import upsert_cache, write_events
 from ..sources.events import parse_events, read_events
-from ..sources.uploads import text_pages
+from ..sources import uploads as up
 from ..streaming import events as se
+from ..streaming import ingest
 from ..streaming import jobs as sj
 from . import sql as q
 from .registry import query, table
@@ -90,6 +93,18 @@ def cache_upsert(spark, sf_dir):
     return st.cache_upsert(stored, fresh, "seq").drop("seq")
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS result, arg_max(value, event_id) AS created_at
+FROM events GROUP BY user_id""")
+def cache_in_buckets(spark, sf_dir):
+    """Three writes to a stored cache, by kind of event."""
+    cache = BucketTable(scratch_dir(spark, "cache"), "key", "key string, result string, created_at double, seq long", 64)
+    writes = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("result"),
+                                           F.col("value").alias("created_at"), F.col("event_id").alias("seq"), "event_type")
+    for version, kinds in enumerate(("event_type = 'purchase'", "event_type = 'view'", "event_type NOT IN ('purchase', 'view')")):
+        upsert_cache(cache, writes.filter(kinds).drop("event_type"), version, "seq")
+    return rows(spark, cache).drop("seq")
+
+
 # --- jobs ---------------------------------------------------------------------------
 
 _JOB_EVENTS_SQL = """je AS (SELECT user_id AS doc_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error'
@@ -249,6 +264,15 @@ def history_delete(spark, sf_dir):
     return st.history_delete(_orders_history(spark, sf_dir), _tombstones(spark, sf_dir)).select("doc_id", "filename", "status")
 
 
+@query(f"WITH {_ORDERS_SQL}, {_TOMBSTONES_SQL} SELECT doc_id, filename, status FROM h WHERE doc_id NOT IN (SELECT doc_id FROM t)")
+def history_in_buckets(spark, sf_dir):
+    """A stored history, then the deletes."""
+    history = BucketTable(scratch_dir(spark, "history"), "doc_id", "doc_id long, filename string, status string", 64)
+    rewrite(history, _orders_history(spark, sf_dir).select("doc_id", "filename", "status"), lambda old, new: old.unionByName(new), 0)
+    delete_history_rows(history, _tombstones(spark, sf_dir), 1)
+    return rows(spark, history)
+
+
 @query(f"WITH {_TOMBSTONES_SQL} SELECT doc_id, doc_id IN (SELECT o_orderkey FROM orders) AS deleted FROM t")
 def delete_outcome(spark, sf_dir):
     return st.delete_outcome(_orders_history(spark, sf_dir), _tombstones(spark, sf_dir))
@@ -310,13 +334,30 @@ def speed_report(spark, sf_dir):
     return report.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes])
 
 
+# --- uploads as a stream ------------------------------------------------------------
+
+@query("SELECT DISTINCT left(sha256(coalesce(text, '')), 16) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, 1::BIGINT AS copies FROM documents")
+def upload_stream(spark, sf_dir):
+    """Documents as uploads in four batches, with copies within and across them: each content is stored once."""
+    out = scratch_dir(spark, "uploads")
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    sent = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename"), content.alias("content"),
+                                                    F.timestamp_seconds("doc_id").alias("ts"))
+    sent = up.with_digest(sent.withColumn("length", F.octet_length("content").cast("long")))
+    _in_turn(sent, f"{out}/sent", 4)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/sent")
+    ingest.store_uploads(stream.drop("ts"), f"{out}/stored", f"{out}/checkpoint", buckets=64, merge_every=2).awaitTermination()
+    stored = spark.read.parquet(f"{out}/stored")
+    return stored.groupBy("digest", "length").agg(F.count("*").alias("copies"))
+
+
 # --- uploads to stored results ------------------------------------------------------
 
 def _fails_on(mark: bytes):
     def read(content: bytes) -> list[str]:
         if content.startswith(mark):
             raise ValueError("unreadable")
-        return text_pages(content)
+        return up.text_pages(content)
 
     return read
 

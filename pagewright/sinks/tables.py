@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import state
+from .buckets import BucketTable, rewrite
+
 
 def write_events(events: DataFrame, path: str) -> None:
     """NDJSON with explicit nulls, text as it is."""
@@ -38,3 +41,13 @@ def write_report(rows: DataFrame, path: str) -> None:
         .when(F.col("kind") == "segment", "### ").when(F.col("kind") == "tag", "#### ").otherwise("")
     )
     placed.select(F.concat(mark, F.col("text")).alias("value")).write.mode("overwrite").text(path)
+
+
+def upsert_cache(cache: BucketTable, writes: DataFrame, version: int, *order: str) -> None:
+    """``state.cache_upsert`` on a stored cache: only the buckets of the written keys are rewritten."""
+    rewrite(cache, writes, lambda old, new: state.cache_upsert(old, new, *order), version)
+
+
+def delete_history(history: BucketTable, tombstones: DataFrame, version: int) -> None:
+    """``state.history_delete`` on a stored history, in the buckets of the deleted ids."""
+    rewrite(history, tombstones.select("doc_id").distinct(), state.history_delete, version)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import stage
+from ..sinks.buckets import BucketTable, add, merge, rows, touched
 from ..sources.uploads import first_copies, with_digest, with_filename
 
-STORED = "filename string, length long, content binary, digest string, part long"
-
 
 def upload_stream(spark: SparkSession, path: str, pattern: str = "*", per_batch: int = 1000) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -20,22 +20,33 @@ def upload_stream(spark: SparkSession, path: str, pattern: str = "*", per_batch:
     return with_digest(with_filename(files))
 
 
-def store_uploads(uploads: DataFrame, out: str, checkpoint: str, order: str = "filename") -> StreamingQuery:
+def store_uploads(uploads: DataFrame, out: str, checkpoint: str, order: str = "filename", buckets: int = 1024,
+                  merge_every: int = 64) -> StreamingQuery:
     """Store every distinct content once.
 
     Copies inside a batch are found by their digests alone, so the copies of one
-    popular file do not travel; digests stored by earlier batches are left out.
-    A repeated batch overwrites its own folder.
+    popular file do not travel.  Digests of earlier batches are looked up in a
+    table of their own beside ``out``, in the buckets that the batch's digests fall
+    into; stored contents are not read again.  A repeated batch sees the digests as
+    they were before it and overwrites its own folder.
     """
+    index = digest_table(out, buckets)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = first_copies(batch, order)
-        if batch_id > 0:
-            stored = spark.read.schema(STORED).parquet(out).filter(F.col("part") < batch_id)
-            first = first.join(stored.select("digest"), "digest", "left_anti")
-        kept = batch.join(first.select(order, "digest"), [order, "digest"], "left_semi").dropDuplicates(["digest"])
+        first = stage(first_copies(batch, order).select(order, "digest"), "first-copies")
+        known = rows(spark, index, touched(index, first), before=batch_id)
+        fresh = stage(first.join(known, "digest", "left_anti"), "new-copies")
+        kept = batch.join(fresh, [order, "digest"], "left_semi").dropDuplicates(["digest"])
         kept.write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+        add(index, fresh, batch_id)
+        if (batch_id + 1) % merge_every == 0:
+            merge(spark, index, batch_id)
 
     writer = uploads.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def digest_table(out: str, buckets: int = 1024) -> BucketTable:
+    """The digests stored below ``out``."""
+    return BucketTable(out.rstrip("/") + "-digests", "digest", "digest string", buckets)
