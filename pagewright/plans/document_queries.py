@@ -17,7 +17,8 @@ from ..operators import progress as pr
 from ..operators import requests as rq
 from ..operators.packing import chunk_pages as pack
 from ..session import scratch_dir, stage
-from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITIES, html_text
+from ..sources import html as web
+from ..sources.html import BLOCK_TAGS, DROPPED_ELEMENTS, ENTITY, NAMED, RENUMBERED, html_text
 from ..sources.uploads import first_copies, split_pages, validate, with_digest
 from . import sql as q
 from .registry import query, table
@@ -72,14 +73,23 @@ def text_pages(spark, sf_dir):
     return split_pages(rows)
 
 
+def _entity_sql(p: str) -> str:
+    def looked_up(table: dict, show, key: str) -> str:
+        return f"MAP {{{', '.join(f'{show(k)}: {q.text(c)}' for k, c in table.items())}}}[{key}]"
+
+    code = f"""CAST(CASE WHEN {p}[3] IN ('x', 'X') THEN '0x' || {p}[4:-2] ELSE {p}[3:-2] END AS INTEGER)"""
+    char = (f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN coalesce({looked_up(RENUMBERED, str, code)}, chr({code})) "
+            f"ELSE chr(65533) END")
+    return f"CASE WHEN {p}[1] <> '&' OR {p} = '&' THEN {p} WHEN {p}[2] = '#' THEN {char} ELSE coalesce({looked_up(NAMED, q.text, p + '[2:-2]')}, {p}) END"
+
+
 def _html_sql() -> str:
     out = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
     for name in DROPPED_ELEMENTS:
         out = f"regexp_replace({out}, '<{name}\\b.*?</{name}\\s*>', '', 'gis')"
     out = f"regexp_replace({out}, '</?(?:{BLOCK_TAGS})\\b[^>]*>', chr(10), 'gi')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for entity, char in ENTITIES:
-        out = f"replace({out}, {q.text(entity)}, {q.text(char)})"
+    out = f"array_to_string(list_transform(regexp_extract_all({out}, {q.text(ENTITY + '|[^&]+|&')}), lambda p: {_entity_sql('p')}), '')"
     out = f"regexp_replace({out}, '[ \\t]+', ' ', 'g')"
     return q.strip(f"regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g')")
 
@@ -89,6 +99,11 @@ def html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", html_text(F.col("html")).alias("text"))
 
 
+@query(f"SELECT CAST(page_id AS VARCHAR) AS doc_id, 0::BIGINT AS page_no, coalesce({_html_sql()}, '') AS text FROM pages")
+def html_page_table(spark, sf_dir):
+    return web.html_pages(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 _OCR_SQL = f"""ocr AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn // 8 AS page_no,
     {q.strip("string_agg(text, chr(10) ORDER BY turn)")} AS ocr_text FROM conversations GROUP BY 1, 2)"""
 

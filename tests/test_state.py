@@ -13,7 +13,7 @@ from pagewright.schemas import EVENT, RESULT
 from pagewright.sinks import tables as sinks
 from pagewright.sources import events as se
 from pagewright.sources import uploads as up
-from pagewright.sources.html import html_text
+from pagewright.sources.html import html_pages, html_text
 from pagewright.streaming import events as stream
 from pagewright.streaming import ingest
 
@@ -184,6 +184,13 @@ def test_uploads(spark, tmp_path):
 def test_html(one):
     page = "<html><head><style>p{}</style><script>var a='</p>';</script></head><body><nav>menu</nav><p>A &amp;lt; B<br>C</p><!-- no --><div>D<b>E</b></div></body></html>"
     assert one(html_text, page) == "A &lt; B\nC\nDE"
+    assert one(html_text, "<p>&copy; a&nbsp;b &mdash; &#123;x&#x7D; &#x1F600; &#150;&amp;#65; &unknown; & &; &#0; &#xD800; &#1114112; &CounterClockwiseContourIntegral;</p>") == (
+        "\u00a9 a b \u2014 {x} \U0001f600 \u2013&#65; &unknown; & &; \ufffd \ufffd \ufffd \u2233")
+
+
+def test_html_as_a_page_table(spark):
+    rows = spark.createDataFrame([(1, "<p>a</p><p>b &eacute;</p>"), (2, None), (3, "")], "page_id long, html string")
+    assert sorted(map(tuple, html_pages(rows, "page_id", "html").collect())) == [("1", 0, "a\nb \u00e9"), ("2", 0, ""), ("3", 0, "")]
 
 
 def test_report_sink_is_ordered(spark, tmp_path):
