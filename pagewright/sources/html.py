@@ -15,7 +15,8 @@ BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|title|head|body|
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # The usual names first: a map is searched from its front.
 COMMON = ("amp", "nbsp", "quot", "lt", "gt", "copy", "middot", "mdash", "ndash", "rsquo", "lsquo", "ldquo", "rdquo", "hellip", "bull")
-NAMED = {n: html5[n + ";"] for n in COMMON} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")} | {"nbsp": " "}
+NAMED = {n: html5[n + ";"] for n in COMMON} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+NAMED = {n: c.replace("\xa0", " ") for n, c in NAMED.items()}
 # Numbers that stand for other characters than their own.
 RENUMBERED = {n: unescape(f"&#{n};") for n in range(0x80, 0xA0)} | {0xA0: " "}
 
@@ -32,7 +33,9 @@ def decode_entities(text: Column) -> Column:
 
 
 def _decoded(piece: Column) -> Column:
-    named, renumbered = (F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in (NAMED, RENUMBERED))
+    # Two strings that the optimizer folds to a map once, rather than thousands of literals.
+    named = F.map_from_arrays(*[F.split(F.lit(" ".join(x)), " ") for x in (NAMED, [c.replace(" ", "\xa0") for c in NAMED.values()])])
+    renumbered = F.create_map(*[F.lit(x) for pair in RENUMBERED.items() for x in pair])
     number = piece.startswith("&#")
     base16 = F.lower(F.substring(piece, 3, 1)) == "x"
     digits = F.regexp_replace(piece, "[&#xX;]", "")
@@ -40,7 +43,8 @@ def _decoded(piece: Column) -> Column:
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     char = F.when(valid, F.coalesce(F.try_element_at(renumbered, code), own)).otherwise("\ufffd")
-    name = F.coalesce(F.try_element_at(named, F.substring_index(F.substring(piece, 2, 40), ";", 1)), piece)
+    known = F.try_element_at(named, F.substring_index(F.substring(piece, 2, 40), ";", 1))
+    name = F.coalesce(F.translate(known, "\xa0", " "), piece)
     return F.when(~piece.startswith("&") | (piece == "&"), piece).when(number, char).otherwise(name)
 
 
