@@ -11,6 +11,7 @@ from ..functions import codes
 from ..operators import metrics
 from ..operators import progress as pr
 from ..operators import state as st
+from ..operators.joins import salted_lookup
 from ..session import scratch_dir, stage
 from ..sinks.buckets import BucketTable, rewrite, rows
 from ..sinks.tables import delete_history as delete_history_rows
@@ -399,3 +400,95 @@ def upload_flow(spark, sf_dir):
     handled = handle_uploads(uploads, cache, Config(), "wordcloud", lambda: _fails_on(b"%!"), lambda: None, now=2.0)
     history = st.fold_history(handled.history).select("doc_id", "status")
     return handled.outcomes.join(history, "doc_id", "left").select("doc_id", "reject", "hit", "error", "status")
+
+
+def _pages_of_lines(content: bytes) -> list[str]:
+    """A reader of pages of six lines."""
+    lines = _fails_on(b"%!")(content)[0].split("\n")
+    return ["\n".join(lines[at:at + 6]) for at in range(0, len(lines), 6)]
+
+
+def _model():
+    """A stand-in model that tells lengths and says windows again, and fails on some of each."""
+    summary, prefix, overview = fv.SUMMARY_SYSTEM, len(fv.SUMMARY_PREFIX), fv.OVERVIEW_SYSTEM
+
+    def say(system: str, user: str, max_tokens: int, temperature: float) -> tuple[str, int]:
+        n = len(user) - (prefix if system == summary else 0)
+        every, problem = (41, "busy") if system == summary else (37, "no overview") if system == overview else (43, "no window")
+        if n % every == 0:
+            raise ValueError(problem)
+        if system == summary:
+            return f"<think>hm</think> {n}", n
+        if system == overview:
+            return (f"結論\n{n}\n行動\nread" if n % 2 == 0 else f"all {n}"), n
+        return f"> {user}", n
+
+    return say
+
+
+_FLOW_CHARS = 2000
+_UNREADABLE = "content LIKE '!%!!%' ESCAPE '!'"
+_FAILED = fv.MSG_FAILED.replace("%s", "")
+
+
+@query(f"""WITH RECURSIVE {_UPLOADS_SQL},
+c AS (SELECT *, CASE WHEN content = '' THEN 400 WHEN lower(filename) NOT LIKE '%.pdf' THEN 415 END AS reject FROM u),
+kinds AS (SELECT content, min(doc_id) AS k FROM c WHERE reject IS NULL GROUP BY content),
+pages_in AS (SELECT k AS doc_id, (i - 1) // 6 AS page_no, string_agg(ls[i], chr(10) ORDER BY i) AS text FROM
+    (SELECT k, string_split(content, chr(10)) AS ls FROM kinds WHERE NOT {_UNREADABLE}), generate_series(1, len(ls)) AS g(i) GROUP BY 1, 2),
+{q.classified('pages_in')},
+kept AS (SELECT doc_id, page_no, clean AS text FROM classified WHERE meaningful AND clean <> ''),
+{q.packed('kept', _FLOW_CHARS)},
+keyed AS (SELECT doc_id || '#' || idx AS doc_id, original AS text FROM chunks),
+{q.window_walk('keyed')},
+said AS (SELECT split_part(doc_id, '#', 1) AS doc_id, CAST(split_part(doc_id, '#', 2) AS BIGINT) AS idx, win_idx, win FROM wins),
+broken AS (SELECT doc_id, idx, 'busy' AS error, idx * 1000000 AS place FROM chunks WHERE length(original) % 41 = 0
+    UNION ALL SELECT doc_id, idx, 'no window', idx * 1000000 + 1 + win_idx FROM said WHERE length(win) % 43 = 0),
+failed AS (SELECT doc_id, arg_min(error, place) AS error, min(idx) AS steps FROM broken GROUP BY doc_id),
+whole AS (SELECT doc_id, count(*) AS n_chunks, length({q.text(fv.OVERVIEW_PREFIX)} || string_agg(
+    '[段落 ' || (idx + 1) || ']' || chr(10) || length(original), chr(10) || chr(10) ORDER BY idx)) AS z FROM chunks GROUP BY doc_id),
+fate AS (SELECT content, k, n_chunks, z, coalesce(failed.steps, n_chunks, 0) AS steps,
+    CASE WHEN {_UNREADABLE} THEN '{_FAILED}unreadable' WHEN n_chunks IS NULL THEN '{fv.MSG_NO_TEXT}'
+         WHEN error IS NOT NULL THEN '{_FAILED}' || error WHEN z % 37 = 0 THEN '{_FAILED}no overview' END AS problem
+    FROM kinds LEFT JOIN whole ON whole.doc_id = k LEFT JOIN failed ON failed.doc_id = k),
+seen AS (SELECT DISTINCT content FROM c JOIN fate USING (content) WHERE reject IS NULL AND lang = 'de' AND problem IS NULL),
+o AS (SELECT doc_id, content, reject, reject IS NULL AND NOT refresh AND content IN (SELECT content FROM seen) AS cached FROM c),
+firsts AS (SELECT content, min(doc_id) AS first FROM o WHERE reject IS NULL AND NOT cached GROUP BY content),
+e AS (SELECT o.*, k, z, steps, n_chunks, problem, coalesce(doc_id = first, false) AS ran FROM o LEFT JOIN fate USING (content) LEFT JOIN firsts USING (content)),
+seg AS (SELECT doc_id AS k, idx, CAST(length(original) AS VARCHAR) AS summary, t AS translated FROM chunks
+    JOIN (SELECT doc_id, idx, string_agg({q.strip("'> ' || win")}, chr(10) ORDER BY win_idx) AS t FROM said GROUP BY 1, 2) USING (doc_id, idx))
+SELECT doc_id, reject, reject IS NULL AND problem IS NULL AND NOT ran AS hit, CASE WHEN reject IS NULL THEN problem END AS error,
+    CASE WHEN reject IS NULL THEN CASE WHEN problem IS NULL THEN 'done' ELSE 'error' END END AS status,
+    CASE WHEN reject IS NULL AND problem IS NULL THEN CASE WHEN z % 2 = 0 THEN CAST(z AS VARCHAR) ELSE 'all ' || z END END AS overview,
+    CASE WHEN ran THEN steps ELSE 0 END AS n_steps,
+    CASE WHEN ran AND problem IS NULL THEN 7 * n_chunks + CASE WHEN z % 2 = 0 THEN 8 ELSE 5 END ELSE 0 END AS n_report,
+    idx, summary, translated
+FROM e LEFT JOIN seg ON seg.k = e.k AND reject IS NULL AND problem IS NULL""")
+def upload_flow_model(spark, sf_dir):
+    """Two batches with all features and a model: the first stores results that the second hits; then every result is looked up."""
+    uploads = stage(_uploads(spark, sf_dir), "uploads")
+    config = Config(max_chunk_chars=_FLOW_CHARS)
+
+    def handle(batch: DataFrame, cache: DataFrame, now: float):
+        return handle_uploads(batch, cache, config, fv.FEATURES, lambda: _pages_of_lines, _model, now=now)
+
+    nothing = spark.createDataFrame([], "key string, result string, created_at double")
+    early = handle(uploads.filter("lang = 'de'"), nothing, 1.0)
+    known = stage(early.cache, "cache")
+    late = handle(uploads, known, 2.0)
+    cache = st.cache_upsert(known, late.cache)
+    outcomes = stage(late.outcomes, "outcomes")
+
+    versions = salted_lookup(outcomes.filter("result IS NOT NULL").select("doc_id", "key"), cache.select("key", "created_at"),
+                             "key", F.col("doc_id"), "inner")
+    segments = st.cached_segments(versions, early.segments.unionByName(late.segments)).select(
+        "doc_id", F.col("index").alias("idx"), "summary", "translated")
+    steps = late.events.filter(F.col("message").startswith(fv.MSG_SEGMENT.split("%")[0])).groupBy("doc_id").agg(F.count("*").alias("n_steps"))
+    report = late.report.groupBy("doc_id").agg(F.count("*").alias("n_report"))
+    status = st.fold_history(late.history).select("doc_id", "status")
+    said = F.from_json("result", "global_summary struct<conclusion:string,raw:string>")["global_summary"]
+    told = outcomes.withColumn("overview", F.coalesce(F.nullif(said["conclusion"], F.lit("")), said["raw"])).select(
+        "doc_id", "reject", "hit", "error", "overview")
+    for side in (status, steps, report):
+        told = told.join(side, "doc_id", "left")
+    return told.fillna(0, ["n_steps", "n_report"]).join(segments, "doc_id", "left")

@@ -26,7 +26,8 @@ class Handled:
     ``outcomes``: doc_id, key, reject (400, 413, 415 or null), hit (of the cache or
     of another upload of the batch), result, error.  ``events`` have ``data`` for
     results.  ``cache`` and ``segments`` are writes under the keys analysed,
-    ``history`` operations for ``state.fold_history``.
+    ``history`` operations for ``state.fold_history``, ``report`` the report rows of
+    what was analysed, if reports are asked for.
     """
 
     outcomes: DataFrame
@@ -34,6 +35,7 @@ class Handled:
     cache: DataFrame
     segments: DataFrame
     history: DataFrame
+    report: DataFrame | None
 
 
 def handle_uploads(uploads: DataFrame, cache: DataFrame, config: Config, features: str,
@@ -83,7 +85,7 @@ def handle_uploads(uploads: DataFrame, cache: DataFrame, config: Config, feature
     writes = made.filter("result IS NOT NULL").select("key", "result", F.lit(now).alias("created_at"))
     names = made.select(F.col("first").alias("doc_id"), "key", F.lit(now).alias("created_at"))
     segments = salted_lookup(out.stored_segments, names, "doc_id", F.col("index"), "inner").drop("doc_id")
-    return Handled(outcomes, events, writes, segments, _history(ended, now))
+    return Handled(outcomes, events, writes, segments, _history(ended, now), out.report)
 
 
 def _history(ended: DataFrame, now: float) -> DataFrame:
