@@ -148,7 +148,7 @@ def op9_warc_transactions(spark, sf_dir):
     whole = F.col("type") == "response"
     measured = records.withColumns({"bytes": F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("stated_bytes")),
                                     "digest": F.when(whole, F.sha1("payload")).otherwise(F.col("stated_digest"))}).drop("payload")
-    captures = warc.assemble_transactions(measured).filter("capture IS NOT NULL")
+    captures = warc.assemble_transactions(stage(measured, "records")).filter("capture IS NOT NULL")
     return captures.select(
         "capture.page_id", F.col("capture.bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"), F.col("capture.refers_to_page").alias("refers_to"),

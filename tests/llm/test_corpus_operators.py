@@ -1,5 +1,6 @@
 """Phrase index, near duplicates, mixing, chat, shards, archives: edges, brute force, round trips."""
 
+import gzip
 import hashlib
 import random
 from collections import defaultdict
@@ -386,3 +387,48 @@ def test_mix_of_whole_documents_keeps_the_words_of_a_source(spark):
     share = {r.n: r.m / r.k for r in mixing.mixed(docs.filter("source <> 'c'")).filter("source = 'a'").groupBy("n").agg(F.count("*").alias("m"))
              .join(docs.filter("source = 'a'").groupBy("n").agg(F.count("*").alias("k")), "n").collect()}
     assert set(share) == {500, 5000, 20000} and max(share.values()) - min(share.values()) < 0.1 * max(share.values()), share
+
+
+def test_archives_are_cut_by_bytes(spark):
+    rows = [(i, "u", "x" * n) for i, n in enumerate([10] * 9 + [500] * 5 + [5000] * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch_dir(spark, "warc")
+    warc.write_archives(pages, path, ((100, 4), (1000, 2), (2**40, 1)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    count = {most: sum(f"upto={most}/" in r.path for r in files) for most in (100, 1000, 2**40)}
+    assert count == {100: 3, 1000: 3, 2**40: 3}
+    records = warc.read_archives(spark, path).filter("type IN ('response', 'revisit')")
+    assert sorted(r.page_id for r in records.collect()) == list(range(17))
+    small = scratch_dir(spark, "warc")
+    warc.write_archives(pages.filter("page_id < 9"), small)
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(small).filter("path LIKE '%upto=65536/%'").count() > 0
+
+
+def _warc(kind, block, **headers):
+    named = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{named}".encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_damaged_archives_are_rows(spark, tmp_path):
+    http = {"Content_Type": "application/http; msgtype=response"}
+    good = [_warc("response", b"HTTP/1.1 200 OK\r\n\r\nbody%d" % i, WARC_Page_ID=i, **http) for i in range(4)]
+    headless = _warc("response", b"no header here", WARC_Page_ID="seven", **http)
+    lengthless = good[1].replace(b"Content-Length", b"Content-Height")
+    (tmp_path / "a.warc").write_bytes(good[0] + headless + lengthless + good[2] + b"junk\nWARC/9\r\n" + good[3][:-8])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good[0]) + gzip.compress(good[1]) + gzip.compress(good[2])[:-9])
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"not an archive \xff")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    told = sorted((r.error or "", r.page_id if r.page_id is not None else -1, bytes(r.payload)[:9]) for r in got)
+    assert [t for t in told if not t[0]] == [("", 0, b"body0"), ("", 0, b"body0"), ("", 1, b"body1"), ("", 2, b"body2")]
+    assert [t[:2] for t in told if t[0]] == [("cut off", 3), ("damaged gzip member", -1), ("no HTTP header", -1)] + [("no record", -1)] * 3
+    assert any(bytes(r.payload) == b"no header here" and r.type == "response" for r in got)
+    assert any(bytes(r.payload).startswith(b"WARC/1.1") and r.type is None for r in got)
+
+
+def test_sides_that_name_no_capture_stay_apart(spark):
+    records = spark.createDataFrame([("request", f"<r{i}>", None) for i in range(5)] + [("metadata", "<m>", None), (None, "<x>", None)],
+                                    "type string, record_id string, concurrent_to string")
+    got = warc.assemble_transactions(records.withColumn("refers_to", F.lit(None).cast("string"))).collect()
+    assert sorted((len(r.requests), len(r.metadata)) for r in got) == [(0, 1)] + [(1, 0)] * 5
+    assert all(r.capture is None and r.capture_id is None for r in got)
