@@ -9,9 +9,10 @@ share of the template's words that found a place is its coverage.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 LEAST_COVERAGE = 0.8
 SLACK = 2
+ALIGNMENTS_HELD = 8192  # per worker and direction, of at most SLACK times a template's words each
 SPAN = ("coverage", "first_word", "last_word")
 
 # License notices.
@@ -40,6 +42,23 @@ TEMPLATES = {
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
         "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES "
         "OR CONDITIONS OF ANY KIND, either express or implied."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "GPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "LGPL-3.0-notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 }
 
 _KEPT = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -102,10 +121,42 @@ def align(text: Sequence[bytes], template: Sequence[bytes]) -> list[tuple[int, i
 def around(words: Sequence[bytes], template: Sequence[bytes], p: int, j: int) -> tuple[float, int, int]:
     """Coverage of the template by the words around place ``p``, which holds its word ``j``, and the first and last word aligned."""
     low, high = max(0, p - SLACK * (j + 1)), p + 1 + SLACK * (len(template) - j)
-    before, after = align(words[low:p], template[:j]), align(words[p + 1 : high], template[j + 1 :])
-    first = low + before[0][0] if before else p
-    last = p + 1 + after[-1][0] if after else p
-    return (len(before) + 1 + len(after)) / len(template), first, last
+    n_before, back = _reach_back(tuple(words[low:p]), tuple(template[:j]))
+    n_after, on = _reach_on(tuple(words[p + 1 : high]), tuple(template[j + 1 :]))
+    return (n_before + 1 + n_after) / len(template), p - back, p + on
+
+
+# Notices are repeated, within a text and over texts: what stands around a word was often aligned before.
+
+@lru_cache(ALIGNMENTS_HELD)
+def _reach_back(words: tuple[bytes, ...], template: tuple[bytes, ...]) -> tuple[int, int]:
+    """Number of words aligned and how far the first is from the end of ``words``."""
+    pairs = align(words, template)
+    return len(pairs), len(words) - pairs[0][0] if pairs else 0
+
+
+@lru_cache(ALIGNMENTS_HELD)
+def _reach_on(words: tuple[bytes, ...], template: tuple[bytes, ...]) -> tuple[int, int]:
+    """Number of words aligned and how far the last is from the start of ``words``, counted from one."""
+    pairs = align(words, template)
+    return len(pairs), pairs[-1][0] + 1 if pairs else 0
+
+
+class _Taken:
+    """Stretches of a text of which none meets another."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, low: int, high: int) -> bool:
+        at = bisect_left(self.spans, (high + 1,))
+        return at == 0 or self.spans[at - 1][1] < low
+
+    def add(self, low: int, high: int) -> None:
+        insort(self.spans, (low, high))
+
+    def give_back(self, low: int, high: int) -> None:
+        del self.spans[bisect_left(self.spans, (low, high))]
 
 
 def stretches(words: Sequence[bytes], places: Mapping[bytes, Sequence[int]], template: Sequence[bytes], least: float) -> list[tuple[float, int, int]]:
@@ -135,14 +186,17 @@ def stretches(words: Sequence[bytes], places: Mapping[bytes, Sequence[int]], tem
                 hits.append(hit)
                 whole = hit[2] if hit[0] == 1.0 else whole
     out: list[tuple[float, int, int]] = []
+    taken = _Taken()
     for hit in sorted(hits, key=_rank):
-        if all(hit[2] < low or hit[1] > high for _, low, high in out):
+        if taken.free(hit[1], hit[2]):
             out.append(hit)
+            taken.add(hit[1], hit[2])
     for i, (coverage, low, high) in enumerate(out):
         if coverage < 1.0:
             again = [around(words, template, p, j) for p in range(low, high + 1) for j in offsets.get(words[p], ())]
-            free = [h for h in again if all(h[2] < x or h[1] > y for k, (_, x, y) in enumerate(out) if k != i)]
-            out[i] = min([out[i], *free], key=_rank)
+            taken.give_back(low, high)
+            out[i] = min([out[i], *(h for h in again if taken.free(h[1], h[2]))], key=_rank)
+            taken.add(out[i][1], out[i][2])
     return sorted(out, key=_rank)
 
 

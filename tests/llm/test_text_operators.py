@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -150,6 +151,55 @@ def test_licenses_in_texts(spark, docs, none):
     assert patience.scan_licenses(docs).count() == docs.count() and patience.scan_licenses(none).count() == 0
 
 
+def _found(words, name):
+    template = patience.scan_words(patience.TEMPLATES[name])
+    places = {}
+    for at, x in enumerate(words):
+        places.setdefault(x, []).append(at)
+    return patience.stretches(words, places, template, 0.8)
+
+
+def test_repeated_notices_are_all_found_in_linear_time():
+    mit = patience.scan_words(patience.TEMPLATES["MIT"])
+    started = time.process_time()
+    assert [h[1:] for h in _found(mit * 40_000, "MIT")] == [(at, at + len(mit) - 1) for at in range(0, 40_000 * len(mit), len(mit))]
+    edited = patience.scan_words(patience.TEMPLATES["MIT-text"])
+    edited[40] = b"other"
+    hits = _found(edited * 300, "MIT-text")
+    assert len(hits) == 300 and all(h[0] == (len(edited) - 1) / len(edited) and h[2] - h[1] == len(edited) - 1 for h in hits)
+    assert time.process_time() - started < 60
+
+
+def test_taken_stretches_meet_no_other():
+    rng = random.Random(5)
+    taken, plain = patience._Taken(), []
+    for _ in range(2000):
+        low = rng.randrange(3000)
+        high = low + rng.randrange(40)
+        free = all(high < a or low > b for a, b in plain)
+        assert taken.free(low, high) == free
+        if free:
+            taken.add(low, high)
+            plain.append((low, high))
+        elif rng.random() < 0.3:
+            taken.give_back(*plain.pop(rng.randrange(len(plain))))
+
+
+def test_licenses_with_clashing_columns(clashing):
+    got = patience.scan_licenses(clashing)
+    assert got.columns == ["doc_id", "licenses"] and got.count() == clashing.count()
+    twice = patience.scan_licenses(clashing.withColumn("licenses", clashing["doc_id"]).withColumn("coverage", clashing["doc_id"]))
+    assert twice.columns == ["doc_id", "licenses"] and twice.count() == clashing.count()
+
+
+@pytest.mark.parametrize("name", patience.TEMPLATES)
+def test_each_template_is_found_among_other_words(spark, name):
+    text = f"words before {patience.TEMPLATES[name].upper()} and words after"
+    row = patience.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    best = {x.license: x.coverage for x in row.licenses}
+    assert best[name] == 1.0 and row.licenses[0].coverage == 1.0
+
+
 def test_all_planted_notices_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = queries.op4_license_patience(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
