@@ -105,6 +105,18 @@ def history_get(history: DataFrame, doc_id: str, schema) -> DataFrame:
     return row.withColumn("result", F.from_json("result", schema))
 
 
+def history_records(history: DataFrame, ids: DataFrame, schema) -> DataFrame:
+    """A record with its payload decoded for each different id of ``ids`` (doc_id); ``found`` tells the unknown ones.
+
+    Ids are unique in history, so no key is hot; payloads of other records are
+    dropped by the join and only found ones are decoded.  A null id is not found,
+    a payload that is no JSON of the schema is null.
+    """
+    asked = ids.select("doc_id").distinct()
+    found = asked.join(history.withColumn("found", F.lit(True)), "doc_id", "left")
+    return found.withColumns({"found": F.coalesce("found", F.lit(False)), "result": F.from_json("result", schema)})
+
+
 def history_delete(history: DataFrame, tombstones: DataFrame) -> DataFrame:
     """History without the rows named in ``tombstones``; ids are unique in history."""
     return history.join(tombstones.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -274,6 +274,31 @@ def history_in_buckets(spark, sf_dir):
     return rows(spark, history)
 
 
+@query(f"""WITH {_TOMBSTONES_SQL} SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS idx, l_shipdate::VARCHAR AS text FROM lineitem
+WHERE l_orderkey NOT IN (SELECT doc_id FROM t)""")
+def report_delete(spark, sf_dir):
+    """Stored report rows, of which an order has one a line, without those of deleted documents."""
+    stored = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("index"),
+                                                     F.col("l_shipdate").cast("string").alias("text"))
+    return st.delete_reports(stored, _tombstones(spark, sf_dir)).select("doc_id", F.col("index").alias("idx"), "text")
+
+
+@query("""WITH asked AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS doc_id FROM orders)
+SELECT doc_id, c_custkey IS NOT NULL AS found, CASE WHEN c_acctbal > 0 THEN c_name END AS name,
+    CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey AS BIGINT) END AS n_segments, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS keyword
+FROM asked LEFT JOIN customer ON c_custkey = doc_id""")
+def history_records(spark, sf_dir):
+    """Records of the customers that ordered, with their payloads; negative ids are unknown, some payloads damaged."""
+    payload = F.to_json(F.struct(F.col("c_name").alias("language"), F.col("c_nationkey").cast("long").alias("n_segments"),
+                                 F.array("c_mktsegment").alias("keywords")))
+    history = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"),
+                                                      F.when(F.col("c_acctbal") > 0, payload).otherwise("{").alias("result"))
+    owner = F.col("o_custkey")
+    asked = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", -owner).otherwise(owner).alias("doc_id"))
+    records = st.history_records(history, asked, "language string, n_segments long, keywords array<string>")
+    return records.select("doc_id", "found", F.col("result.language").alias("name"), "result.n_segments", F.col("result.keywords")[0].alias("keyword"))
+
+
 @query(f"WITH {_TOMBSTONES_SQL} SELECT doc_id, doc_id IN (SELECT o_orderkey FROM orders) AS deleted FROM t")
 def delete_outcome(spark, sf_dir):
     return st.delete_outcome(_orders_history(spark, sf_dir), _tombstones(spark, sf_dir))

@@ -304,3 +304,14 @@ def test_all_segments_come_back_from_the_cache(spark):
     got = st.cached_segments(hits, stored)
     assert {(r.doc_id, r.n, r.top) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("index").alias("top")).collect()} == {
         ("d1", 1500, 1499), ("d2", 1500, 1499)}
+
+
+def test_records_by_id(spark):
+    history = spark.createDataFrame([("a", "done", '{"total_pages": 3}'), ("b", "error", None), ("c", "done", "no json")], "doc_id string, status string, result string")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("z",), (None,)], "doc_id string")
+    got = {r.doc_id: r for r in st.history_records(history, ids, "total_pages long").collect()}
+    assert set(got) == {"a", "b", "c", "z", None}
+    assert got["a"].result.total_pages == 3 and got["a"].found and got["b"].found and got["b"].result is None
+    assert got["c"].found and (got["c"].result is None or got["c"].result.total_pages is None)
+    assert not got["z"].found and not got[None].found and got["z"].status is None
+    assert st.history_records(history.limit(0), ids, "total_pages long").filter("found").count() == 0
