@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,17 @@ _JOBS_SQL = f"""{_JOB_EVENTS_SQL}, jobs AS (SELECT doc_id,
     arg_max(data, seq) FILTER (WHERE data IS NOT NULL) AS result FROM je GROUP BY doc_id)"""
 
 
-def _in_turn(rows: DataFrame, path: str, n: int) -> None:
-    """The rows as ``n`` files by time, the earliest first, as a stream would bring them."""
+def _in_turn(rows: DataFrame, path: str, n: int) -> Iterator[None]:
+    """Adds the rows to ``path`` in ``n`` turns by time, the earliest first, as a stream would bring them.
+
+    A turn is written by as many tasks as its rows are read by.  A stream that is
+    run to its end after each of them sees one batch a turn, whatever the number of files.
+    """
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     turn = F.least(F.floor((F.unix_micros("ts") - low) * n / (high - low + 1)), F.lit(n - 1))
     for k in range(n):
-        rows.filter(turn == k).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(turn == k).write.mode("append").parquet(path)
+        yield
 
 
 def _job_events(events: DataFrame, **more: Column) -> DataFrame:
@@ -158,9 +165,9 @@ def job_state_kept(spark, sf_dir):
     out = scratch_dir(spark, "jobs")
     events = _events(spark, sf_dir)
     told = _job_events(events, ts=F.col("ts").cast("timestamp"))
-    _in_turn(told, f"{out}/events", 4)
-    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/events")
-    sj.keep_jobs(stream, f"{out}/states", f"{out}/checkpoint", keep_ms=1, late="1 second", snapshot_every=2).awaitTermination()
+    for _ in _in_turn(told, f"{out}/events", 4):
+        stream = spark.readStream.schema(told.schema).parquet(f"{out}/events")
+        sj.keep_jobs(stream, f"{out}/states", f"{out}/checkpoint", keep_ms=1, late="1 second", snapshot_every=2).awaitTermination()
     return sj.current_jobs(spark, f"{out}/states")
 
 
@@ -370,9 +377,9 @@ def upload_stream(spark, sf_dir):
     sent = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename"), content.alias("content"),
                                                     F.timestamp_seconds("doc_id").alias("ts"))
     sent = up.with_digest(sent.withColumn("length", F.octet_length("content").cast("long")))
-    _in_turn(sent, f"{out}/sent", 4)
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/sent")
-    ingest.store_uploads(stream.drop("ts"), f"{out}/stored", f"{out}/checkpoint", buckets=64, merge_every=2).awaitTermination()
+    for _ in _in_turn(sent, f"{out}/sent", 4):
+        stream = spark.readStream.schema(sent.schema).parquet(f"{out}/sent")
+        ingest.store_uploads(stream.drop("ts"), f"{out}/stored", f"{out}/checkpoint", buckets=64, merge_every=2).awaitTermination()
     stored = spark.read.parquet(f"{out}/stored")
     return stored.groupBy("digest", "length").agg(F.count("*").alias("copies"))
 

@@ -2,10 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 
 import __spark_entry__ as driver
 from check import normal
+from pagewright.plans import state_queries as sq
 from pagewright.plans import text_queries as tq
+from pagewright.streaming.jobs import JobStates
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -37,3 +40,64 @@ def test_ties_round_as_in_sql(spark):
     con = duckdb.connect()
     want = [con.execute("select round(?::double, 3)", [v]).fetchone()[0] for v in values]
     assert [r[0] for r in df.select(tq._thousandths(df.x)).collect()] == want
+
+
+def test_turns_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id", "timestamp_seconds(id) AS ts").repartition(4)
+    seen = []
+    for _ in sq._in_turn(rows, str(tmp_path / "sent"), 4):
+        sent = spark.read.parquet(str(tmp_path / "sent"))
+        seen.append((sent.count(), len(sent.inputFiles())))
+    assert seen == [(1000 * k, 4 * k) for k in (1, 2, 3, 4)]
+
+
+class _Handle:
+    """A state store of one job that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_running_job_asks_the_state_store_twice_a_batch():
+    handle, jobs = _Handle(), JobStates(keep_ms=10, lost_ms=1000)
+    jobs.init(handle)
+
+    def batch(*rows):
+        handle.calls = 0
+        return [list(jobs.handleInputRows((7,), iter([Row(seq=s, type=t, progress=s, message=f"m{s}", data=None, ms=ms) for s, t, ms in rows]), None)), handle.calls]
+
+    def expire(at):
+        handle.timers.discard(at)
+        list(jobs.handleExpiredTimer((7,), None, type("Info", (), {"getExpiryTimeInMs": lambda self: at})()))
+
+    assert batch((1, "queued", 100), (2, "progress", 110))[1] == 3 and handle.timers == {1110}
+    said, calls = batch((3, "progress", 300))
+    assert calls == 2 and handle.timers == {1110} and said[0].any_seq == 3 and said[0].started
+    expire(1110)
+    assert handle.value is not None and handle.timers == {1300}  # put off: the last event was at 300
+    batch((4, "result", 400))
+    assert handle.timers == {410}
+    expire(410)
+    assert handle.value is None
