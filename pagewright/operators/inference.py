@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,13 @@ def _dealt_out(requests: DataFrame, tasks: int | None) -> DataFrame:
     return requests.repartition(tasks, "doc_id", "kind", "index", "win_idx")
 
 
+def _flat(requests: DataFrame, *more: str) -> DataFrame:
+    """What a worker needs of a request: a column each for the two messages, since nested rows are dear to turn into Python's."""
+    says = [F.col("messages")[i]["content"].alias(n) for i, n in enumerate(("system", "user"))]
+    places = [F.col(c).cast("bigint").alias(c) for c in ("index", "win_idx")]
+    return requests.select("doc_id", *places, "kind", *says, *more)
+
+
 def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
                   tasks: int | None = None) -> DataFrame:
     """Requests in, responses out; a failing call is recorded, not raised.
@@ -60,8 +68,7 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
         def call(row: Any) -> tuple[str | None, float, int, str | None]:
             started = time.perf_counter()
             try:
-                text, tokens = client(row.messages[0]["content"], row.messages[1]["content"],
-                                      int(row.max_tokens), float(row.temperature))
+                text, tokens = client(row.system, row.user, int(row.max_tokens), float(row.temperature))
                 return text, time.perf_counter() - started, int(tokens or 0), None
             except Exception as problem:
                 return None, time.perf_counter() - started, 0, str(problem) or type(problem).__name__
@@ -73,7 +80,7 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client],
                 completion_tokens=[o[2] for o in out], error=[o[3] for o in out],
             )
 
-    replies = _dealt_out(requests, tasks).mapInPandas(calls, _responses_schema(requests))
+    replies = _dealt_out(_flat(requests, "max_tokens", "temperature"), tasks).mapInPandas(calls, _responses_schema(requests))
     return replies.withColumn("text", strip_think(F.col("text")))
 
 
@@ -81,27 +88,35 @@ def run_batches(requests: DataFrame, factory: Callable[[], BatchTranslator], bat
                 tasks: int | None = None) -> DataFrame:
     """``sentence_requests`` through a translator that takes lists of sentences of one language."""
 
-    def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def calls(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translate = factory()
         for frame in frames:
-            sources = frame["messages"].map(lambda m: m[0]["content"])
-            for source, same in frame.groupby(sources, sort=False):
-                for at in range(0, len(same), batch_size):
-                    batch = same.iloc[at:at + batch_size]
+            users, places = frame.column("user").to_pylist(), {}
+            for at, source in enumerate(frame.column("system").to_pylist()):
+                places.setdefault(source, []).append(at)
+            texts, errors, each = [None] * len(users), [None] * len(users), [0.0] * len(users)
+            for source, same in places.items():
+                for low in range(0, len(same), batch_size):
+                    batch = same[low:low + batch_size]
                     started = time.perf_counter()
-                    texts, error = [None] * len(batch), None
                     try:
-                        said = list(translate([m[1]["content"] for m in batch["messages"]], source))
+                        said = list(translate([users[at] for at in batch], source))
                         if len(said) != len(batch):
                             raise ValueError(f"{len(said)} translations for {len(batch)} sentences")
-                        texts = said
+                        for at, text in zip(batch, said):
+                            texts[at] = text
                     except Exception as problem:
-                        error = str(problem) or type(problem).__name__
-                    each = (time.perf_counter() - started) / len(batch)
-                    yield batch[["doc_id", "index", "win_idx", "kind"]].assign(
-                        text=texts, elapsed=each, completion_tokens=0, error=error)
-
-    return _dealt_out(requests, tasks).mapInPandas(calls, _responses_schema(requests))
+                        for at in batch:
+                            errors[at] = str(problem) or type(problem).__name__
+                    took = (time.perf_counter() - started) / len(batch)
+                    for at in batch:
+                        each[at] = took
+            yield pa.RecordBatch.from_arrays(
+                [*(frame.column(c) for c in ("doc_id", "index", "win_idx", "kind")), pa.array(texts, pa.string()), pa.array(each, pa.float64()),
+                 pa.array([0] * len(users), pa.int64()), pa.array(errors, pa.string())],
+                ["doc_id", "index", "win_idx", "kind", "text", "elapsed", "completion_tokens", "error"])
+
+    return _dealt_out(_flat(requests), tasks).mapInArrow(calls, _responses_schema(requests))
 
 
 def merge_translations(responses: DataFrame, sep: str = "\n") -> DataFrame:
