@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..schemas import COMPLETION
 from .codes import lookup
 from .text import bind, lines, strip
 
+ROWS_AT_ONCE = 64  # texts that a worker holds as Python strings
+
 
 def strip_think(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?isu)<think>.*?</think>", ""))
@@ -95,13 +99,21 @@ def to_traditional(text: Column, characters: dict[str, str], phrases: dict[str,
         return F.translate(text, "".join(characters), "".join(characters.values()))
     mapper = phrase_mapper(characters, phrases)
 
-    @F.pandas_udf("string")
-    def mapped(texts: pd.Series) -> pd.Series:
-        return texts.map(mapper, na_action="ignore")
+    @F.arrow_udf("string")
+    def mapped(texts: pa.Array) -> pa.Array:
+        return map_slices(texts, mapper)
 
     return mapped(text)
 
 
+def map_slices(texts: pa.Array, mapper: Callable[[str], str], rows: int = ROWS_AT_ONCE) -> pa.Array:
+    """``mapper`` of every text.  Python's strings of a few rows at a time are held, not those of a whole batch."""
+    parts = [pa.array([], pa.string())]
+    for low in range(0, len(texts), rows):
+        parts.append(pa.array([None if t is None else mapper(t) for t in texts.slice(low, rows).to_pylist()], pa.string()))
+    return pa.concat_arrays(parts)
+
+
 def completion(body: Column) -> Column:
     """Text and token count of a chat completion given as JSON."""
     parsed = F.from_json(body, COMPLETION)

@@ -1,11 +1,16 @@
 """Queries on inputs that the given tables have only at size."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from check import normal
+from pagewright.functions import replies
+from pagewright.operators import inference as inf
+from pagewright.operators import requests as rq
 from pagewright.plans import state_queries as sq
 from pagewright.plans import text_queries as tq
 from pagewright.streaming.jobs import JobStates
@@ -101,3 +106,41 @@ def test_a_running_job_asks_the_state_store_twice_a_batch():
     assert handle.timers == {410}
     expire(410)
     assert handle.value is None
+
+
+def test_sentence_batches_come_without_nested_rows(spark):
+    chunks = spark.createDataFrame([(1, "en", "One. Two. Bad."), (2, "fr", "Un. Deux.")], "doc_id long, lang string, original string").withColumn("index", F.lit(0))
+
+    def translate(texts, source):
+        if source == "fr":
+            raise ValueError("no French")
+        return [f"{source} {t}" for t in texts]
+
+    said = inf.run_batches(rq.sentence_requests(chunks, F.col("lang")), lambda: translate, batch_size=2, tasks=1)
+    assert "mapInArrow" in said._jdf.queryExecution().analyzed().toString() or "MapInArrow" in said._jdf.queryExecution().analyzed().toString()
+    rows = [tuple(r) for r in said.select("doc_id", "index", "win_idx", "text", "completion_tokens", "error").orderBy("doc_id", "win_idx").collect()]
+    assert rows == [(1, 0, 0, "en One.", 0, None), (1, 0, 1, "en Two.", 0, None), (1, 0, 2, "en Bad.", 0, None),
+                    (2, 0, 0, None, 0, "no French"), (2, 0, 1, None, 0, "no French")]
+
+
+def test_script_mapping_holds_few_texts(spark):
+    held = []
+
+    class Batch:
+        """An Arrow array of which only slices may become Python's."""
+
+        def __init__(self, array):
+            self.array = array
+
+        def __len__(self):
+            return len(self.array)
+
+        def slice(self, low, n):
+            held.append(n)
+            return self.array.slice(low, n)
+
+    texts = pa.array([None if i % 7 == 0 else f"是不{i}" for i in range(300)])
+    mapped = replies.map_slices(Batch(texts), replies.phrase_mapper({"是": "昰"}, {"是不": "不是"}))
+    assert mapped.to_pylist() == [None if i % 7 == 0 else f"不是{i}" for i in range(300)] and max(held) <= 64
+    df = spark.createDataFrame([(None,), ("",), ("是不是",)], "t string")
+    assert [r[0] for r in df.select(replies.to_traditional(df.t, {"是": "昰"}, {"是不": "不是"})).collect()] == [None, "", "不是昰"]
