@@ -17,7 +17,8 @@ def extractive_summary(texts: DataFrame, keywords: DataFrame, keep: int = 3) ->
 
     A sentence scores the mean weight its words have among the document's
     keywords.  The keyword table of a document is capped by its top-k, so it
-    travels as a small map and the rest is array work inside the row.
+    travels as a small map and the rest is array work inside the row.  A null
+    text has the summary of an empty one.
     """
     weights = keywords.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights")
@@ -32,6 +33,6 @@ def extractive_summary(texts: DataFrame, keywords: DataFrame, keep: int = 3) ->
 
         return F.struct((-F.round(bind(words(sentence), mean), 6)).alias("cost"), at.alias("at"), sentence.alias("s"))
 
-    best = F.slice(F.array_sort(F.transform(sentences(F.col("original")), score)), 1, keep)
+    best = F.slice(F.array_sort(F.transform(sentences(F.coalesce("original", F.lit(""))), score)), 1, keep)
     in_order = F.array_sort(F.transform(best, lambda b: F.struct(b["at"].alias("at"), b["s"].alias("s"))))
     return rows.select("doc_id", "index", F.array_join(F.transform(in_order, lambda b: b["s"]), " ").alias("summary"))

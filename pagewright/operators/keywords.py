@@ -2,12 +2,14 @@
 
 A text table here is (doc_id, ord, text): a document may come in any number of
 parts, ``ord`` gives their order.  Parts are never put back together; words are
-counted where they are and the counts are combined on the map side.
+counted where they are and the counts are combined on the map side.  Documents
+of one part are counted within their row, so their words are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +52,44 @@ def _position(texts: DataFrame) -> Column:
     return scale + F.col("pos")
 
 
+def _by_parts(texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Documents that are one row, and the rows of all others; None for a side without rows.
+
+    A job reads the ids.  Where both kinds occur, the ids of those in parts are
+    stored, so that Spark knows the size of the list before it plans the joins;
+    where most are in parts, all are treated as such and nothing is joined.
+    """
+    rows = texts.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    lone, several = rows.agg(F.count_if(F.expr("rows = 1")), F.count_if(F.expr("rows > 1"))).first()
+    if not several:
+        return texts, None
+    if lone <= several:
+        return None, texts
+    ids = stage(rows.filter("rows > 1").select(F.col("doc_id").alias("_id")), "in-parts")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return texts.join(ids, same, "left_anti"), texts.join(ids, same, "left_semi")
+
+
+def _counted(terms: Column) -> Column:
+    """(word, n, first) of the terms of one text: in a sorted array equal words stand together, the earliest in front."""
+    kept = F.filter(F.transform(terms, F.lower), lambda w: ~tx.is_stop_word(w))
+    placed = F.sort_array(F.transform(kept, lambda w, i: F.struct(w.alias("word"), i.alias("first"))))
+
+    def runs(found: Column) -> Column:
+        def opening(t: Column, i: Column) -> Column:
+            return F.when(~t["word"].eqNullSafe(F.get(found, i - 1)["word"]), i)
+
+        def run(opens: Column, at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(opens, k + 1), F.size(found)) - at
+            first = F.get(found, at)
+            return F.struct(first["word"].alias("word"), n.cast("bigint").alias("n"), first["first"].alias("first"))
+
+        opens = F.filter(F.transform(found, opening), F.isnotnull)
+        return tx.bind(opens, lambda o: F.transform(o, lambda at, k: run(o, at, k)))
+
+    return tx.bind(placed, runs)
+
+
 def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
     """(doc_id, word, n, first): count and first position of every term.
 
@@ -73,10 +113,30 @@ def most_frequent(counts: DataFrame, top_k: int) -> DataFrame:
     return top.select("doc_id", "rank", "word", ratio_4_digits(F.col("n"), F.col("most")).alias("weight"))
 
 
+def _most_frequent_in_row(texts: DataFrame, top_k: int, terms: Callable[[Column], Column]) -> DataFrame:
+    """``most_frequent`` for documents of one row each, without a shuffle."""
+    def ranked(counts: Column) -> Column:
+        order = F.transform(counts, lambda c: F.struct((-c["n"]).alias("less"), c["first"].alias("first"), c["word"].alias("word")))
+        return F.slice(F.sort_array(order), 1, top_k)
+
+    def listed(top: Column) -> Column:
+        most = -F.get(top, F.lit(0))["less"]
+        return F.transform(top, lambda t, i: F.struct((i + 1).alias("rank"), t["word"].alias("word"), (-t["less"]).alias("n"), most.alias("most")))
+
+    top = texts.select("doc_id", F.inline(tx.bind(tx.bind(_counted(terms(F.col("text"))), ranked), listed)))
+    return top.select("doc_id", "rank", "word", ratio_4_digits(F.col("n"), F.col("most")).alias("weight"))
+
+
 def frequency_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
                        terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
-    """(doc_id, rank, word, weight) by word frequency."""
-    return most_frequent(term_counts(texts, terms), top_k)
+    """(doc_id, rank, word, weight) by word frequency; reads the ids first, see ``_by_parts``."""
+    whole, parts = _by_parts(texts)
+    found = []
+    if whole is not None:
+        found.append(_most_frequent_in_row(whole, top_k, terms))
+    if parts is not None:
+        found.append(most_frequent(term_counts(parts, terms), top_k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def with_idf(counts: DataFrame) -> DataFrame:

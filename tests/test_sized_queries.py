@@ -144,3 +144,25 @@ def test_script_mapping_holds_few_texts(spark):
     assert mapped.to_pylist() == [None if i % 7 == 0 else f"不是{i}" for i in range(300)] and max(held) <= 64
     df = spark.createDataFrame([(None,), ("",), ("是不是",)], "t string")
     assert [r[0] for r in df.select(replies.to_traditional(df.t, {"是": "昰"}, {"是不": "不是"})).collect()] == [None, "", "不是昰"]
+
+
+_WORDY = [(1, "Beta alpha BETA the gamma-ray alpha beta. Delta alpha? No.", "en", "a"), (2, "", "en", "a"), (3, None, "fr", "b"), (4, "a be the and", "fr", "b"),
+          (5, "omega " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)) + " omega", "en", "c"), (6, "Alpha one. Alpha two alpha!", "en", "c")]
+_IN_PARTS = [(7, "kappa kappa kappa lambda", "de", "d"), (7, "sigma rho lambda lambda kappa", "de", "d")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("more", [[], _IN_PARTS, _IN_PARTS + [(n, t, "en", "e") for n in range(8, 20) for t in ("mu nu xix", "xix xix ypsilon ypsilon ypsilon")]])
+def test_documents_of_one_row_and_in_parts_have_the_keywords_of_sql(both, more):
+    got, want = both("keywords_topk", _WORDY + more)
+    assert got == want and len(got) > 60
+
+
+def test_a_summary_shuffles_no_words(spark, both):
+    got, want = both("extractive_summary", _WORDY)
+    assert got == want and len(got) == 6
+    df = driver.queries()["extractive_summary"](spark, SF_DIR)
+    assert "Exchange" in _plan(df) and not [x for x in _plan(df).splitlines() if "Exchange" in x and "word#" in x.split("hashpartitioning")[-1]]
