@@ -42,14 +42,14 @@ def ratio_4_digits(part: Column, whole: Column) -> Column:
     return F.when(tie, (below + F.when(up, 1).otherwise(0)) / 10000.0).otherwise(F.bround(x, 4))
 
 
-def _position(texts: DataFrame) -> Column:
-    """(ord, pos) as one sortable number, so that counting stays a hash aggregate.
+def _position(texts: DataFrame, pos: str) -> Column:
+    """(ord, ``pos``) as one sortable number, so that counting stays a hash aggregate.
 
     A struct would force sorting.  32-bit ordinals fit a long, wider ones a decimal.
     """
     narrow = texts.schema["ord"].dataType in (T.IntegerType(), T.ShortType(), T.ByteType())
     scale = F.col("ord").cast("bigint" if narrow else "decimal(20,0)") * F.lit(1 << 31)
-    return scale + F.col("pos")
+    return scale + F.col(pos)
 
 
 def _by_parts(texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -90,14 +90,23 @@ def _counted(terms: Column) -> Column:
     return tx.bind(placed, runs)
 
 
-def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
-    """(doc_id, word, n, first): count and first position of every term.
-
-    Case and stop words are seen to after the terms are rows, in compiled code.
-    """
+def _counted_by_parts(texts: DataFrame, terms: Callable[[Column], Column]) -> DataFrame:
+    """Case and stop words are seen to after the terms are rows, in compiled code."""
     found = texts.select("doc_id", "ord", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
     found = found.withColumn("word", F.lower("term")).filter(~tx.is_stop_word(F.col("word")))
-    return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min(_position(texts)).alias("first"))
+    return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min(_position(texts, "pos")).alias("first"))
+
+
+def term_counts(texts: DataFrame, terms: Callable[[Column], Column] = tx.raw_words) -> DataFrame:
+    """(doc_id, word, n, first): count and first position of every term; reads the ids first, see ``_by_parts``."""
+    whole, parts = _by_parts(texts)
+    found = []
+    if whole is not None:
+        rows = whole.select("doc_id", "ord", F.inline(_counted(terms(F.col("text")))))
+        found.append(rows.select("doc_id", "word", "n", _position(texts, "first").alias("first")))
+    if parts is not None:
+        found.append(_counted_by_parts(parts, terms))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _top(df: DataFrame, order: list[Column], top_k: int) -> DataFrame:
@@ -135,7 +144,7 @@ def frequency_keywords(texts: DataFrame, top_k: int = fv.TOP_KEYWORDS,
     if whole is not None:
         found.append(_most_frequent_in_row(whole, top_k, terms))
     if parts is not None:
-        found.append(most_frequent(term_counts(parts, terms), top_k))
+        found.append(most_frequent(_counted_by_parts(parts, terms), top_k))
     return reduce(DataFrame.unionByName, found)
 
 

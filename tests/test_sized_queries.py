@@ -10,6 +10,7 @@ import __spark_entry__ as driver
 from check import normal
 from pagewright.functions import replies
 from pagewright.operators import inference as inf
+from pagewright.operators import keywords as kw
 from pagewright.operators import requests as rq
 from pagewright.plans import state_queries as sq
 from pagewright.plans import text_queries as tq
@@ -166,3 +167,12 @@ def test_a_summary_shuffles_no_words(spark, both):
     assert got == want and len(got) == 6
     df = driver.queries()["extractive_summary"](spark, SF_DIR)
     assert "Exchange" in _plan(df) and not [x for x in _plan(df).splitlines() if "Exchange" in x and "word#" in x.split("hashpartitioning")[-1]]
+
+
+@pytest.mark.parametrize("more", [[], _IN_PARTS])
+def test_terms_of_whole_documents_are_counted_without_a_shuffle(spark, both, more):
+    got, want = both("tfidf_keywords", _WORDY + more)
+    assert got == want and len(got) > 60
+    df = spark.createDataFrame([r[:2] for r in _WORDY + more], "doc_id long, text string").withColumn("ord", F.lit(0))
+    counted = _plan(kw.term_counts(df))
+    assert ("hashpartitioning" in counted) == bool(more)
