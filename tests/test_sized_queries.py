@@ -176,3 +176,7 @@ def test_terms_of_whole_documents_are_counted_without_a_shuffle(spark, both, mor
     df = spark.createDataFrame([r[:2] for r in _WORDY + more], "doc_id long, text string").withColumn("ord", F.lit(0))
     counted = _plan(kw.term_counts(df))
     assert ("hashpartitioning" in counted) == bool(more)
+
+
+def test_keywords_of_whole_documents_are_ranked_without_a_shuffle(spark):
+    assert "hashpartitioning" not in _plan(driver.queries()["keywords_topk"](spark, SF_DIR))
