@@ -302,20 +302,25 @@ _SEGMENT_SQL = f"""seg AS (SELECT doc_id, idx, original,
     CASE WHEN doc_id NOT LIKE '%c1%' THEN replace(original, 'e', '&') END AS translated FROM chunks)"""
 
 
-def _segments(chunks: DataFrame) -> DataFrame:
-    """Chunks with replies; a few documents have no summaries or no translations."""
+def _replies(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries and translations; a few documents have none of a kind."""
     doc = F.col("doc_id")
     summaries = chunks.filter(~doc.endswith("1")).select(
         "doc_id", "index", F.concat(F.upper("doc_id"), F.lit(": "), "original").alias("text"))
     translations = chunks.filter(~doc.contains("c1")).select(
         "doc_id", "index", F.replace("original", F.lit("e"), F.lit("&")).alias("text"))
-    return asm.assemble_segments(chunks, summaries, translations)
+    return summaries, translations
+
+
+def _segments(chunks: DataFrame) -> DataFrame:
+    return asm.assemble_segments(chunks, *_replies(chunks))
 
 
 @query(f"""WITH RECURSIVE {_PAGES_SQL}, {q.packed('pages_in')}, {_SEGMENT_SQL}
 SELECT doc_id, idx // 1024 AS part, idx, original, translated, summary FROM seg""")
 def segments_nested(spark, sf_dir):
-    nested = asm.nest_segments(_segments(_chunks(spark, sf_dir)), 1024)
+    chunks = stage(_chunks(spark, sf_dir), "chunks")
+    nested = asm.nest_replies(chunks, *_replies(chunks), 1024)
     flat = nested.select("doc_id", "part", F.inline("segments"))
     return flat.withColumnRenamed("index", "idx")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from check import normal
 from pagewright.functions import replies
+from pagewright.operators import assemble as asm
 from pagewright.operators import inference as inf
 from pagewright.operators import keywords as kw
 from pagewright.operators import requests as rq
@@ -180,3 +181,22 @@ def test_terms_of_whole_documents_are_counted_without_a_shuffle(spark, both, mor
 
 def test_keywords_of_whole_documents_are_ranked_without_a_shuffle(spark):
     assert "hashpartitioning" not in _plan(driver.queries()["keywords_topk"](spark, SF_DIR))
+
+
+def test_segments_and_replies_meet_in_one_shuffle(spark):
+    rows = [("d", 3, "d3"), ("d", 0, "d0"), ("d", 1, ""), ("d", 2, None), ("d", 4, "d4"), ("e", 0, "e0"), (None, 0, "n0")]
+    said = [("d", 0, "S0"), ("d", 3, None), ("d", 4, "S4"), ("d", 9, "no chunk"), ("f", 0, "no document"), (None, 0, "no id"), ("e", None, "no index"), ("d", 1, "")]
+    told = [("d", 0, "T0"), ("d", 2, "T2"), ("d", 3, "T3"), ("e", 0, "T"), (None, 0, "no id"), ("d", 90, "no chunk")]
+    chunks = spark.createDataFrame(rows, "doc_id string, index long, original string")
+    summaries, translations = (spark.createDataFrame(r, "doc_id string, index int, text string") for r in (said, told))
+
+    def flat(nested):
+        return sorted(map(repr, nested.collect()))
+
+    for sides in ((summaries, translations), (summaries, None), (None, translations), (None, None)):
+        for per_row in (1, 2, 10):
+            want = asm.nest_segments(asm.assemble_segments(chunks, *sides), per_row)
+            got = asm.nest_replies(chunks, *sides, per_row)
+            assert flat(got) == flat(want) and got.schema.simpleString() == want.schema.simpleString()
+    plan = _plan(driver.queries()["segments_nested"](spark, SF_DIR))
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
